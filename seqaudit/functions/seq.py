@@ -223,7 +223,7 @@ def base_tokens(c, max_length: int) -> Column:
     """A0 C1 G2 T3; other symbols get id 0 and mask 0; padded or truncated to ``max_length``."""
     seq = normalize_dna(c)
     kept = F.least(F.length(seq), F.lit(max_length))
-    symbols = F.slice(F.split(seq, ""), 1, max_length)
+    symbols = F.slice(F.split(seq, ""), F.lit(1), kept)
     pad = F.array_repeat(F.lit(0), F.lit(max_length) - kept)
     ids = F.transform(symbols, _base_id)
     mask = F.transform(symbols, lambda s: F.when(s.isin("A", "C", "G", "T"), 1).otherwise(0))

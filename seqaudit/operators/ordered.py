@@ -36,27 +36,34 @@ def with_bucket(df: DataFrame, lead: Column, rows_per_task: int | None = None) -
     return df.withColumn("__bucket", bucket(lead)), wanted
 
 
-def running_sum(df: DataFrame, name: str, value: Column, order: list[Column], lead: Column,
-                group: list[str] = [], rows_per_task: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` in ``order`` within ``group``."""
-    df, buckets = with_bucket(df.withColumn("__v", value), lead, rows_per_task)
+def running_sums(df: DataFrame, values: dict[str, Column], order: list[Column], lead: Column,
+                 group: list[str] = [], rows_per_task: int | None = None) -> DataFrame:
+    """Inclusive running sums of several values in ``order`` within ``group``."""
+    df = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    df, buckets = with_bucket(df, lead, rows_per_task)
     if buckets > 1:
         keys = [*group, "__bucket"]
-        totals = df.groupBy(*keys).agg(F.sum("__v").alias("__t"))
+        totals = df.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
         before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*keys, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"))
+        offsets = totals.select(*keys, *[
+            F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in values])
         df = df.join(offsets, keys)
     inside = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("__v").over(inside)
-    if buckets > 1:
-        total = total + F.col("__before")
-    return df.withColumn(name, total).drop("__v", "__bucket", "__before")
+    out = {}
+    for n in values:
+        total = F.sum(f"__v_{n}").over(inside)
+        out[n] = total + F.col(f"__before_{n}") if buckets > 1 else total
+    return df.withColumns(out).drop("__bucket", *[f"__{x}_{n}" for n in values for x in ("v", "before")])
+
+
+def running_sum(df: DataFrame, name: str, value: Column, order: list[Column], lead: Column,
+                group: list[str] = [], rows_per_task: int | None = None) -> DataFrame:
+    return running_sums(df, {name: value}, order, lead, group, rows_per_task)
 
 
 def row_number(df: DataFrame, name: str, order: list[Column], lead: Column, group: list[str] = [],
                rows_per_task: int | None = None) -> DataFrame:
-    out = running_sum(df, name, F.lit(1).cast("bigint"), order, lead, group, rows_per_task)
-    return out
+    return running_sums(df, {name: F.lit(1).cast("bigint")}, order, lead, group, rows_per_task)
 
 
 def average_rank(df: DataFrame, name: str, value: str, group: list[str] = [],

@@ -161,3 +161,36 @@ SELECT *, {sql_float('target')} AS target_value,
       WHEN {sql_missing('target')} THEN 'missing_target' WHEN {sql_float('target')} IS NULL THEN 'non_numeric_target' END AS reason
 FROM (SELECT *, CASE WHEN {sql_missing('sequence')} THEN '' ELSE upper(regexp_replace(sequence,'\\s+','','g')) END AS seq FROM raw_assay)""",
     ("raw_assay",))
+
+
+def _cut_text(df: DataFrame, *keys: str) -> DataFrame:
+    dna = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), ALPHABET, BASES)
+    pieces = F.regexp_extract_all(dna, F.lit(".{1,%d}" % WIDTH), F.lit(0))
+    return spread(df.select(*keys, "text"), *keys).select(*keys, F.posexplode(pieces).alias("win", "sequence"))
+
+
+def benchmark_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_text(read(spark, sf_dir, "benchmark"), "item_id").withColumn(
+        "cand_id", F.col("item_id") * 1000 + F.col("win"))
+
+
+def talk_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_text(read(spark, sf_dir, "conversations"), "conv_id", "turn").withColumn(
+        "train_id", F.col("conv_id") * 1000000 + F.col("turn") * 1000 + F.col("win"))
+
+
+def _cut_sql(table: str, keys: str) -> str:
+    return (f"SELECT {keys}, unnest(p) AS sequence, generate_subscripts(p,1)-1 AS win FROM (SELECT {keys}, regexp_extract_all("
+            f"translate(regexp_replace(lower(text),'[^a-z]','','g'),'{ALPHABET}','{BASES}'),'.{{1,{WIDTH}}}') AS p FROM {table})")
+
+
+cte("benchmark_seqs", f"SELECT *, item_id*1000+win AS cand_id FROM ({_cut_sql('benchmark', 'item_id')})")
+cte("talk_seqs", f"SELECT *, conv_id*1000000+turn*1000+win AS train_id FROM ({_cut_sql('conversations', 'conv_id, turn')})")
+# neighbouring constructs of one document, as parent and child
+cte("neighbors", "SELECT a.row_id, a.sequence AS parent, b.sequence AS child FROM constructs a JOIN constructs b ON b.row_id=a.row_id+1", ("constructs",))
+
+
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = constructs(spark, sf_dir).select("row_id", F.col("sequence").alias("parent"))
+    b = constructs(spark, sf_dir).select((F.col("row_id") - 1).alias("row_id"), F.col("sequence").alias("child"))
+    return a.join(b, "row_id")
