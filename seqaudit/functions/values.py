@@ -74,3 +74,8 @@ def reasons(*pairs: tuple[Column, Column | str]) -> Column:
         for cond, text in pairs
     ]
     return F.array_compact(F.array(*items))
+
+
+def fixed(c, digits: int) -> Column:
+    """Number with a fixed number of decimals, rounded from its exact binary value."""
+    return F.regexp_replace(F.format_number(col(c), digits), ",", "")

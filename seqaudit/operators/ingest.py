@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seq
-from ..functions.values import MISSING, class_label, first_non_blank, is_missing, non_blank, parse_float
+from ..functions.values import MISSING, class_label, first_non_blank, fixed, is_missing, non_blank, parse_float
 from . import ordered
 
 
@@ -136,7 +136,7 @@ def audit_warnings(validated: DataFrame, columns: list[str], low_n: int = 200) -
     stats = balance_summary(group_balance(ok, columns))
     few = F.concat(F.lit("Group column '"), "column", F.lit("' has fewer than 2 groups after validation."))
     lop = F.concat(F.lit("Group column '"), "column", F.lit("' is imbalanced; largest group contains "),
-                   F.format_string("%.1f%%", F.col("largest_fraction") * 100), F.lit(" of accepted rows."))
+                   fixed(F.col("largest_fraction") * 100, 1), F.lit("% of accepted rows."))
     text = F.when(F.col("num_groups") < 2, few).when(F.col("largest_fraction") >= 0.80, lop)
     return rows.union(stats.select(F.col("column").alias("subject"), text.alias("warning")).where("warning IS NOT NULL"))
 
