@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import non_blank, parse_float
@@ -141,38 +144,47 @@ def canonical_event() -> Column:
 GENESIS = "0" * 64
 
 
-def verify_chain(events: DataFrame, order_col: str) -> DataFrame:
+def verify_chain(events: DataFrame, order_col: str, chain: list[str] = []) -> DataFrame:
     """Events whose hash does not match their content or whose predecessor is not the one they name.
 
-    Events are numbered once; an equi-join on the number gives each its predecessor.
+    Events are numbered once per chain; an equi-join on the number gives each its predecessor.
     """
-    numbered = cut(ordered.row_number(events, "n", [F.col(order_col)], F.col(order_col).cast("double")))
-    before = numbered.select((F.col("n") + 1).alias("n"), F.col("event_hash").alias("actual_previous"))
-    chained = numbered.join(before, "n", "left")
+    numbered = cut(ordered.row_number(events, "n", [F.col(order_col)], F.col(order_col).cast("double"), chain))
+    before = numbered.select(*chain, (F.col("n") + 1).alias("n"), F.col("event_hash").alias("actual_previous"))
+    chained = numbered.join(before, [*chain, "n"], "left")
     expected = F.sha2(canonical_event(), 256)
     broken = (F.col("previous_hash") != F.coalesce("actual_previous", F.lit(GENESIS))) | (F.col("event_hash") != expected)
     return chained.withColumn("invalid", broken)
 
 
-def build_chain(events: DataFrame, chain: str, order_col: str) -> DataFrame:
-    """Hash one chain per key; a chain is sequential by definition, chains run in parallel.
+def build_chain(events: DataFrame, chain: str, order_col: str, chunk: int = 50_000) -> DataFrame:
+    """Hash every chain in its order.
 
-    Each chain's link needs the link before it, so a chain is folded in its order.
+    A link needs the link before it, so a chain is sequential by definition. Chains run
+    in parallel, and each is walked in chunks of bounded size whose last hash is carried on.
     """
-    import hashlib
-
-    import pandas as pd
-
     chain_type, order_type = (events.schema[c].dataType.simpleString() for c in (chain, order_col))
     rows = events.withColumn("previous_hash", F.lit("@@@")).withColumn("body", canonical_event())
+    numbered = ordered.row_number(rows.select(chain, order_col, "body"), "n", [F.col(order_col)], F.col(order_col).cast("double"), [chain])
+    numbered = cut(numbered.withColumn("part", F.floor((F.col("n") - 1) / chunk)))
+    parts = (numbered.agg(F.max("part")).first()[0] or 0) + 1
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        previous, out = GENESIS, []
-        for r in pdf.sort_values(order_col).to_dict("records"):
-            made = hashlib.sha256(r["body"].replace('"previous_hash":"@@@"', f'"previous_hash":"{previous}"').encode()).hexdigest()
-            out.append((r[chain], r[order_col], previous, made))
+        pdf = pdf.sort_values(order_col)
+        previous, out = pdf["last"].iloc[0] or GENESIS, []
+        for key, at, body in zip(pdf[chain], pdf[order_col], pdf["body"]):
+            text = body.replace('"previous_hash":"@@@"', f'"previous_hash":"{previous}"')
+            made = hashlib.sha256(text.encode()).hexdigest()
+            out.append((key, at, previous, made))
             previous = made
         return pd.DataFrame(out, columns=[chain, order_col, "previous_hash", "event_hash"])
 
-    hashed = rows.groupBy(chain).applyInPandas(link, f"{chain} {chain_type}, {order_col} {order_type}, previous_hash string, event_hash string")
-    return events.join(hashed, [chain, order_col])
+    schema = f"{chain} {chain_type}, {order_col} {order_type}, previous_hash string, event_hash string"
+    done, last = None, None
+    for i in range(parts):
+        part = numbered.where(F.col("part") == i)
+        fed = part.withColumn("last", F.lit(None).cast("string")) if last is None else part.join(last, chain, "left")
+        made = cut(fed.groupBy(chain).applyInPandas(link, schema))
+        done = made if done is None else done.unionByName(made)
+        last = made.groupBy(chain).agg(F.max_by("event_hash", order_col).alias("last"))
+    return events.join(done, [chain, order_col])

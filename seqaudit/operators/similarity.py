@@ -550,3 +550,32 @@ def _scan_block(train, ids, token_sets, cand_type, train_type, k, best):
 
     return train.select("train_id", seq.kmers("train_seq", k).alias("t")).mapInPandas(
         scan, f"cand_id {cand_type}, train_id {train_type}, similarity double")
+
+
+def nearest_cosine(df: DataFrame, id_col: str, vector_col: str, block: int = 1024) -> DataFrame:
+    """(id, neighbor, similarity): the most similar other row by cosine.
+
+    Rows are cut into blocks; a task multiplies two blocks and returns one best match
+    per row, so the pair matrix exists only block by block inside tasks.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    blocks = max(1, math.ceil(rows.count() / block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = rows.select("id", "v", own.alias("a"), F.explode(every).alias("b"))
+    right = rows.select("id", "v", F.explode(every).alias("a"), own.alias("b"))
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "neighbor": [], "similarity": []})
+        unit = lambda f: (lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) < 1e-9, 1.0, n))(np.stack(f["v"].to_numpy()))
+        s = unit(x) @ unit(y).T
+        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
+        at = s.argmax(axis=1)
+        out = pd.DataFrame({"id": x["id"].to_numpy(), "neighbor": y["id"].to_numpy()[at], "similarity": s[np.arange(len(x)), at]})
+        return out[np.isfinite(out["similarity"])]
+
+    local = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, f"id {id_type}, neighbor {id_type}, similarity double")
+    top = F.max(F.struct("similarity", "neighbor"))
+    return local.groupBy("id").agg(top.alias("m")).select("id", "m.neighbor", "m.similarity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seq
-from ..functions.values import is_missing, non_blank
+from ..functions.values import is_missing
 from ..session import cut
 from . import ordered
 from .similarity import leakage_components
@@ -134,5 +134,11 @@ def hash_split(c) -> Column:
     return F.when(bucket == 0, "test").when(bucket == 1, "validation").otherwise("train")
 
 
-def nonblank_clusters(split: DataFrame) -> Column:
-    return F.count_distinct(F.when(non_blank("leakage_cluster"), F.col("leakage_cluster")))
+
+def homology_benchmark(df: DataFrame, id_col: str, sequence_col: str, evaluate, threshold: float = 0.70,
+                       val_fraction: float = 0.10, test_fraction: float = 0.15, seed: int = 13):
+    """Split at a loose threshold and hand (train, val, test) tables to a caller's evaluation."""
+    parts = leakage_safe_split(df, id_col, sequence_col, val_fraction=val_fraction, test_fraction=test_fraction,
+                               threshold=threshold, seed=seed)
+    rows = cut(df.join(parts.select(F.col("id").alias(id_col), "split", "leakage_cluster"), id_col))
+    return evaluate(*[rows.where(F.col("split") == s) for s in ("train", "val", "test")])

@@ -104,7 +104,7 @@ def spl11(spark, sf):
 
 @query("SPL12_length_batches", with_ctes("""SELECT doc_id, batch, md5('9:'||batch) AS batch_order FROM (SELECT doc_id, (row_number() OVER (ORDER BY n, doc_id)-1)//16 AS batch FROM genomes)""", "genomes"))
 def spl12(spark, sf):
-    return cp.length_batches(genomes(spark, sf).select("doc_id", "n"), "doc_id", "n", 16, 7, 2)
+    return cp.length_batches(genomes(spark, sf).select("doc_id", "n"), "doc_id", "n", 16, 7, 2).drop("n")
 
 
 @query("SPL13_weighted_sources", f"""WITH w AS (SELECT source, count(*)::double AS weight FROM documents GROUP BY source), t AS (SELECT sum(weight) AS t FROM w),
@@ -174,7 +174,7 @@ def agg12(spark, sf):
 
 
 def grams(t, k):
-    return f"SELECT substr(g,1,{k - 1}) AS context, substr(g,{k},1) AS next, count(*) AS rows FROM (SELECT unnest(list_transform(range(1,length(sequence)-{k - 2}), lambda i: substr(sequence,i,{k}))) AS g FROM {t} WHERE length(sequence)>={k}) GROUP BY ALL"
+    return f"SELECT substr(g,1,{k - 1}) AS context, substr(g,{k},1) AS next, count(*) AS rows FROM (SELECT unnest(list_transform(range(1,length(sequence)+({2 - k})), lambda i: substr(sequence,i,{k}))) AS g FROM {t} WHERE length(sequence)>={k}) GROUP BY ALL"
 
 
 @query("AGG14_ngram_counts", with_ctes(grams("genomes", 3), "genomes"))
@@ -216,9 +216,9 @@ def _cohort(spark, sf):
     return cp.prefix_lookup(constructs(spark, sf).select("row_id", "sequence"), "sequence", act, "pre")
 
 
-@query("JOIN12_prefix_lookup", with_ctes(f", {PREF} SELECT row_id, {r6('a')} AS a, {r6('b')} AS b, amb AS ambiguous FROM j", "assay"))
+@query("JOIN12_prefix_lookup", with_ctes(f", {PREF} SELECT row_id, {r6('a', 8)} AS a, {r6('b', 8)} AS b, amb AS ambiguous FROM j", "assay"))
 def join12(spark, sf):
-    return _r(_cohort(spark, sf).select("row_id", "a", "b", "ambiguous"), "row_id")
+    return _r(_cohort(spark, sf).select("row_id", "a", "b", "ambiguous"), "row_id", digits=8)
 
 
 @query("AGG17_cohort_counters", with_ctes(f""", {PREF} SELECT count(*) AS rows, count(*) FILTER (a IS NOT NULL) AS joined_rows, count(*) FILTER (a IS NOT NULL AND amb) AS ambiguous_prefix_rows,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import similarity as sim, split as sp
+from ..functions import seq
+from ..operators import components as comp, similarity as sim, split as sp
+from ..session import read
 from .catalog import query
-from .views import RC, assay, constructs, cte, with_ctes
+from .views import RC, assay, benchmark_seqs, constructs, cte, neighbors, r6, with_ctes
 
 T = 0.9
 K = 8
@@ -18,8 +20,8 @@ MOTIFS = (f"CASE WHEN length(sequence)<{K} THEN ['0:'||sequence] ELSE list_trans
           f" lambda i: (i-1)||':'||substr(sequence,i,{K})) END")
 
 
-def jaccard_ctes(prefix: str, tokens: str, t: float) -> None:
-    cte(f"{prefix}_sets", f"SELECT row_id, list_sort({tokens}) AS toks FROM constructs", ("constructs",))
+def jaccard_ctes(prefix: str, tokens: str, t: float, table: str = "constructs") -> None:
+    cte(f"{prefix}_sets", f"SELECT row_id, list_sort({tokens}) AS toks FROM {table}", (table,))
     cte(f"{prefix}_reps", f"SELECT toks, min(row_id) AS rep FROM {prefix}_sets GROUP BY toks", (f"{prefix}_sets",))
     cte(f"{prefix}_tok", f"SELECT rep, unnest(toks) AS tok, len(toks) AS n FROM {prefix}_reps", (f"{prefix}_reps",))
     cte(f"{prefix}_freq", f"SELECT tok, count(*) AS f FROM {prefix}_tok GROUP BY tok", (f"{prefix}_tok",))
@@ -106,3 +108,132 @@ def leakage_safe_split(spark, sf):
     "SELECT split, count(*) AS rows, count(DISTINCT leakage_cluster) AS clusters FROM split_rows GROUP BY split", "split_rows", recursive=True))
 def split_sizes(spark, sf):
     return sp.split_sizes(_split(spark, sf))
+
+
+# --- pair scores, groups, cross-split checks --------------------------------------
+
+PK = KMERS.replace("sequence", "{0}")
+PM = MOTIFS.replace("sequence", "{0}")
+JAC = "len(list_intersect({0},{1}))::double/(len({0})+len({1})-len(list_intersect({0},{1})))"
+
+
+@query("JOIN1_kmer_jaccard", with_ctes(f"SELECT row_id, {r6(JAC.format('a', 'b'))} AS similarity FROM (SELECT row_id, {PK.format('parent')} AS a, {PK.format('child')} AS b FROM neighbors)", "neighbors"))
+def kmer_jaccard(spark, sf):
+    return neighbors(spark, sf).select("row_id", F.round(sim.jaccard(seq.kmers("parent", K), seq.kmers("child", K)), 6).alias("similarity"))
+
+
+@query("JOIN8_pair_scores", with_ctes(f"""SELECT row_id, {r6(JAC.format('pa', 'pb'))} AS motif, {r6('1-levenshtein(parent,child)::double/greatest(length(parent),length(child))')} AS edit,
+ (least(parent,{RC.format('parent')})=least(child,{RC.format('child')}))::int::double AS strand FROM (SELECT row_id, parent, child, {PM.format('parent')} AS pa, {PM.format('child')} AS pb FROM neighbors)""", "neighbors"))
+def pair_scores(spark, sf):
+    p = lambda name: F.round(sim.pair_similarity("parent", "child", name, K), 6)
+    return neighbors(spark, sf).select("row_id", p("position_aware_motif").alias("motif"), p("edit_distance").alias("edit"), p("exact_reverse_complement").alias("strand"))
+
+
+cte("family_edges", """SELECT min(doc_id) OVER (PARTITION BY n_chars) AS a, doc_id AS b FROM documents UNION ALL SELECT min(doc_id) OVER (PARTITION BY md5(text)), doc_id FROM documents""")
+component_ctes("family", "family_edges", "documents", "doc_id", ("family_edges",))
+
+
+@query("JOIN7_family_components", with_ctes("SELECT row_id AS doc_id, component FROM family_comp", "family_comp", recursive=True))
+def family(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars", F.md5("text").alias("body"))
+    return sim.leakage_components(docs, "doc_id", "body", ["n_chars", "body"], "customer_family_labels").select(F.col("id").alias("doc_id"), "component")
+
+
+@query("JOIN9_connected_components", """WITH RECURSIVE w AS (SELECT c_custkey AS v, c_custkey AS low FROM customer UNION ALL SELECT w.v, c.c_custkey-c.c_nationkey*7-1 FROM w JOIN customer c ON c.c_custkey=w.low WHERE c.c_custkey-c.c_nationkey*7-1>=0)
+SELECT v AS id, min(low) AS component FROM w GROUP BY v""")
+def connected(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") - F.col("c_nationkey") * 7 - 1).alias("up"))
+    edges = c.where("up >= 0").select(F.col("id").alias("src"), F.col("up").alias("dst"))
+    return comp.connected_components(c.select("id"), edges)
+
+
+SIDE = "CASE ('0x'||left(md5(doc_id::varchar),8))::bigint%5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
+cte("sides", f"SELECT row_id, sequence, source, {SIDE} AS split FROM constructs WHERE {SIDE}<>'val'", ("constructs",))
+jaccard_ctes("xs", KMERS, T, "sides")
+component_ctes("xs", "xs_edges", "sides", "row_id", ("xs_edges",))
+
+
+def _sides(spark, sf):
+    b = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 5
+    return constructs(spark, sf).withColumn("split", F.when(b == 0, "test").when(b == 1, "val").otherwise("train"))
+
+
+@query("JOIN10_cross_split_similarity", with_ctes("""SELECT component, count(*) FILTER (split='train') AS train_rows, count(*) FILTER (split='test') AS test_rows FROM xs_comp JOIN sides USING (row_id)
+ GROUP BY component HAVING count(*) FILTER (split='train')>0 AND count(*) FILTER (split='test')>0""", "xs_comp", recursive=True))
+def cross_split(spark, sf):
+    return sim.spanning_components(_sides(spark, sf), "row_id", "sequence", "split", "canonical_kmer_jaccard", T, K)
+
+
+@query("JOIN10_cross_split_groups", with_ctes("""SELECT 'source' AS group_col, source AS value FROM sides GROUP BY source HAVING count(*) FILTER (split='train')>0 AND count(*) FILTER (split='test')>0""", "sides"))
+def cross_groups(spark, sf):
+    return sim.group_overlaps(_sides(spark, sf), "split", ["source"])
+
+
+cte("gc_pairs", """SELECT a.cand_id AS a, b.cand_id AS b FROM (SELECT cand_id, (length(sequence)-length(replace(replace(sequence,'G',''),'C','')))::double/length(sequence) AS g FROM benchmark_seqs) a
+ JOIN (SELECT cand_id, (length(sequence)-length(replace(replace(sequence,'G',''),'C','')))::double/length(sequence) AS g FROM benchmark_seqs) b ON a.cand_id<b.cand_id AND 1-abs(a.g-b.g)>=0.995""", ("benchmark_seqs",))
+component_ctes("gcp", "gc_pairs", "benchmark_seqs", "cand_id", ("gc_pairs",))
+
+
+@query("JOIN3_plugin_components", with_ctes("SELECT row_id AS cand_id, component FROM gcp_comp", "gcp_comp", recursive=True))
+def plugin(spark, sf):
+    def near_gc(a, b):
+        share = lambda s: s.str.count("[GC]") / s.str.len()
+        return 1 - (share(a) - share(b)).abs()
+
+    sim.register_similarity_policy("gc_nearness", near_gc, replace=True)
+    df = benchmark_seqs(spark, sf).select("cand_id", "sequence")
+    return sim.leakage_components(df, "cand_id", "sequence", policy="gc_nearness", threshold=0.995).select(F.col("id").alias("cand_id"), "component")
+
+
+@query("UDF1_registered_policy_scores", with_ctes(f"SELECT row_id, {r6('1-abs((length(parent)-length(child))::double/200)')} AS similarity FROM neighbors", "neighbors"))
+def udf1(spark, sf):
+    sim.register_similarity_policy("length_nearness", lambda a, b: 1 - (a.str.len() - b.str.len()).abs() / 200, replace=True)
+    return neighbors(spark, sf).select("row_id", F.round(sim.pair_similarity("parent", "child", "length_nearness"), 6).alias("similarity"))
+
+
+COS = "list_sum(list_transform(list_zip(a.e,b.e), lambda p: p[1]*p[2]))/(a.n*b.n)"
+
+
+@query("JOIN20_nearest_cosine", f"""WITH e AS (SELECT vec_id, embedding::double[] AS e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x*x))) AS n FROM embeddings)
+SELECT vec_id, {r6('max(s)')} AS similarity FROM (SELECT a.vec_id, {COS} AS s FROM e a JOIN e b ON a.vec_id<>b.vec_id) GROUP BY vec_id""")
+def nearest_cosine(spark, sf):
+    df = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return sim.nearest_cosine(df, "vec_id", "x").select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("SPL3_split_warnings", """SELECT 'DO NOT TRUST: fewer than 3 leakage-safe clusters are available; validation/test splits may be empty.' AS warning
+UNION ALL SELECT 'DO NOT TRUST: requested leakage-safe validation and test split is empty; collect more independent groups.'""")
+def warnings(spark, sf):
+    """All constructs share one batch value, so there is a single cluster."""
+    df = constructs(spark, sf).select("row_id", "sequence", F.lit("one").alias("batch"))
+    split = sp.leakage_safe_split(df, "row_id", "sequence", ["batch"], policy="customer_family_labels")
+    return sp.split_warnings(sp.split_sizes(split))
+
+
+@query("SPL17_homology_benchmark")
+def homology_benchmark(spark, sf):
+    from ..operators import metrics as m
+
+    df = assay(spark, sf).select("row_id", "sequence", "target", "prediction")
+    return sp.homology_benchmark(df, "row_id", "sequence", lambda tr, va, te: m.regression_metrics(te, "target", "prediction"))
+
+
+@query("AGG10_membership_digest", with_ctes("""SELECT 'test' AS split, count(*) AS test_rows, sha256(string_agg(h, chr(10) ORDER BY h)) AS test_membership_sha256 FROM (SELECT sha256(sequence) AS h, CASE WHEN ('0x'||left(sha256(sequence),8))::bigint%10=0 THEN 'test' END AS s FROM constructs) WHERE s='test'""", "constructs"))
+def membership(spark, sf):
+    df = constructs(spark, sf).select(F.sha2("sequence", 256).alias("h"))
+    return sp.membership_digest(df.withColumn("split", sp.hash_split("h")), "h")
+
+
+@query("AGG11_cluster_fingerprints", with_ctes("""SELECT doc_id AS component, count(*) AS size, sha256(string_agg(sha256(sequence)||'|doc_id='||doc_id, chr(10) ORDER BY sha256(sequence)||'|doc_id='||doc_id)) AS fingerprint FROM constructs GROUP BY doc_id""", "constructs"))
+def fingerprints(spark, sf):
+    df = constructs(spark, sf).select("row_id", "sequence", "doc_id")
+    return sp.fingerprints(df, df.select(F.col("row_id").alias("id"), F.col("doc_id").alias("component")), "row_id", "sequence", ["doc_id"])
+
+
+@query("GATE9_similarity_sensitivity")
+def sensitivity(spark, sf):
+    from .sensitivity import similarity_sensitivity
+
+    df = assay(spark, sf).select("row_id", "sequence", "doc_id", "target", "prediction")
+    return similarity_sensitivity(df, "row_id", "sequence", "target", "prediction", ["doc_id"], thresholds=[0.9, 0.95],
+                                  policies=["exact_reverse_complement"])
