@@ -23,7 +23,9 @@ from ..session import cut, parallelism
 from .components import connected_components, contract, group_edges
 
 HOT_BUCKET = 512
-PAIRS_PER_POSTING = 1000
+PAIRS_PER_POSTING = 300
+COMMON_TOKENS = 4096
+COUNTED_ROWS = 20_000
 EPS = 1e-9
 
 # Accepted policy names and the policy each stands for.
@@ -256,15 +258,33 @@ def without_largest(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- set similarity ---------------------------------------------------------------
 
+def common_tokens(df: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """One row holding the most frequent tokens, rarest of them first; at most ``COMMON_TOKENS`` entries.
+
+    Only the order of comparison depends on it, never the result, so counting a hashed
+    share of a large table is enough.
+    """
+    step = max(1, df.count() // COUNTED_ROWS)
+    share = df.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
+    counts = share.select(F.explode(tokens(F.col("payload"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.where("c > 1").orderBy(F.desc("c"), "t").limit(COMMON_TOKENS)
+    listed = F.array_sort(F.collect_list(F.struct("c", "t")))
+    return top.agg(F.transform(listed, lambda x: x["t"]).alias("common"))
+
+
 def summarise(df: DataFrame, tokens: Callable[[Column], Column], threshold: float) -> DataFrame:
-    """Per row: set size, identity digest, sorted token hashes of the prefix, 256-bit bitmap.
+    """Per row: set size, identity digest, token hashes of the prefix, 256-bit bitmap.
 
-    The prefix order is the order of token hashes: no frequency table has to be built
-    or joined, and with exact verification any common order is complete.
+    The prefix order is: uncommon tokens by hash, then the common ones from rare to
+    frequent. Any order shared by all rows is complete with exact verification; this
+    one keeps frequent tokens out of the prefixes without a lookup per token.
     """
     toks = df.withColumn("tokens", tokens(F.col("payload"))).withColumn("n", F.size("tokens"))
     toks = toks.withColumn("digest", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
-    toks = toks.withColumn("hashed", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))))
+    toks = toks.join(F.broadcast(common_tokens(df, tokens)))
+    uncommon = F.array_sort(F.transform(F.array_except("tokens", "common"), lambda t: F.xxhash64(t)))
+    common = F.transform(F.array_intersect("common", "tokens"), lambda t: F.xxhash64(t))
+    toks = toks.withColumn("hashed", F.concat(uncommon, common)).drop("common")
     need = F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int")
     keep = F.least(F.col("n"), F.col("n") - need + 2)
     toks = toks.withColumn("prefix", F.when(F.col("n") > 0, F.slice("hashed", F.lit(1), keep)).otherwise(

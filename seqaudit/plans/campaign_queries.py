@@ -334,11 +334,12 @@ def str1(spark, sf):
     return a.union(b).groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("STR2_streaming_outcomes", m(f"""SELECT round_id, candidate_id, replicate, measured_value::double AS measured_value FROM ({BADO}) WHERE candidate_id NOT LIKE 'x%' AND measured_value<>'n.a.' AND measured_at>2"""))
+@query("STR2_streaming_outcomes", m(f"""SELECT DISTINCT round_id, candidate_id, replicate||'/'||measured_value AS replicate, measured_value::double AS measured_value FROM ({BADO}) WHERE candidate_id NOT LIKE 'x%' AND measured_value<>'n.a.' AND measured_at>2"""))
 def str2(spark, sf):
     from ..streaming import stream
 
-    rows = _stream(spark, _bad_outcomes(spark, sf), "outcomes")
+    named = _bad_outcomes(spark, sf).withColumn("replicate", F.concat_ws("/", "replicate", "measured_value"))
+    rows = _stream(spark, named, "outcomes")
     store, bad, ck = (_scratch(spark, n) for n in ("store", "bad", "ck"))
     rounds = selections(spark, sf).select("round_id").distinct().withColumn("selected_at", F.lit(2))
     stream.start_outcome_import(rows, selections(spark, sf), rounds, store, bad, ck).awaitTermination()
@@ -376,7 +377,7 @@ def str3d(spark, sf):
     return spark.read.parquet(out).select("sequence_hash")
 
 
-@query("STR4_streaming_error_monitor", f"""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, {r6('avg(abs(value-10))')} AS mae, {r6('avg(value-10)')} AS bias FROM events GROUP BY 1,2""")
+@query("STR4_streaming_error_monitor", f"""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, {r6('avg(abs(value-10))', 9)} AS mae, {r6('avg(value-10)', 9)} AS bias FROM events GROUP BY 1,2""")
 def str4(spark, sf):
     from ..streaming import stream
 
@@ -389,4 +390,4 @@ def str4(spark, sf):
 
     q = live.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
-    return _r(spark.read.parquet(out), "start", "event_type")
+    return _r(spark.read.parquet(out), "start", "event_type", digits=9)

@@ -49,7 +49,7 @@ def current_outcomes(store: DataFrame, order_col: str) -> DataFrame:
     """Last imported version of each (round, candidate, replicate)."""
     key = ["round_id", "candidate_id", "replicate"]
     rest = [c for c in store.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.struct("batch", order_col))
+    newest = F.max_by(F.struct(*rest), F.struct("batch", order_col, *rest))
     return store.groupBy(*key).agg(newest.alias("r")).select(*key, *[f"r.{c}" for c in rest])
 
 
