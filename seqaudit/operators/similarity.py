@@ -22,10 +22,8 @@ from ..functions.values import col, is_missing
 from ..session import cut, parallelism
 from .components import connected_components, contract, group_edges
 
-HOT_BUCKET = 512
+HUB_SHARE = 512
 PAIRS_PER_POSTING = 300
-COMMON_TOKENS = 4096
-COUNTED_ROWS = 20_000
 EPS = 1e-9
 
 # Accepted policy names and the policy each stands for.
@@ -164,6 +162,7 @@ class Block:
     threshold: float
     sizes: DataFrame | None = None
     derive: Callable[[Column], Column] = lambda c: c
+    merge: DataFrame | None = None
 
 
 def bucket_sizes(postings: DataFrame) -> DataFrame:
@@ -197,34 +196,51 @@ def candidate_pairs(block: Block, left: DataFrame, right: DataFrame, extra: Colu
 
 
 def merging_edges(block: Block, hot: int | None = None) -> DataFrame:
-    """Edges that give the same components as all similar pairs would."""
-    hot = hot or HOT_BUCKET
+    """Edges that give the same components as all similar pairs would.
+
+    First near-copies are merged with one comparison per row and merge key. Then the
+    rows that share a key but not yet a component are compared.
+    """
+    hot = hot or HUB_SHARE
+    found = near_copy_links(block, hot)
     sizes = bucket_sizes(block.postings) if block.sizes is None else block.sizes
-    largest = sizes.agg(F.max("held")).first()[0] or 0
     shared = block.postings.join(sizes, "key")
+    before = F.col("l.id") < F.col("r.id")
+    if found is None:
+        return verified(block, candidate_pairs(block, shared, shared, before)).select("src", "dst")
+    labels = cut(contract(found))
+    largest = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    shared = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = F.col("l.component") != F.col("r.component")
     if largest <= hot:
-        return verified(block, candidate_pairs(block, shared, shared, F.col("l.id") < F.col("r.id")))
+        pairs = candidate_pairs(block, shared, shared, apart & before)
+    else:
+        rest, everything = without_largest(shared)
+        pairs = candidate_pairs(block, rest, everything, apart & (before | (F.col("r.component") == F.col("r.big"))))
+    return verified(block, pairs).select("src", "dst").union(found)
 
-    shared = cut(shared)
-    found: DataFrame | None = None
-    labelled = shared.withColumn("component", F.col("id"))
-    for turn in range(4):
+
+def near_copy_links(block: Block, hot: int) -> DataFrame | None:
+    """Links between rows and the hub of their merge key; two turns with different hubs."""
+    sizes = block.merge.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    members = cut(block.merge.join(sizes, "key"))
+    if members.isEmpty():
+        return None
+    found, labelled = None, members.withColumn("component", F.col("id"))
+    for turn in range(2):
         links = cut(verified(block, hub_pairs(block, labelled, hot, turn)).select("src", "dst"))
         if links.isEmpty():
             break
         found = links if found is None else found.union(links)
-        labels = cut(contract(found))
-        labelled = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest, everything = without_largest(labelled)
-    pairs = candidate_pairs(block, rest, everything, F.col("l.component") != F.col("r.component"))
-    last = verified(block, pairs).select("src", "dst")
-    return last if found is None else found.union(last)
+        if turn == 0:
+            labels = contract(found)
+            labelled = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return found
 
 
 def hub_pairs(block: Block, labelled: DataFrame, hot: int, turn: int) -> DataFrame:
-    """One comparison per posting of a hot bucket: against a hub of its salted share."""
-    salted = labelled.where(F.col("held") > hot).withColumn(
-        "share", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("held") / F.lit(hot))))
+    """One comparison per member: against the hub of its salted share; then each hub against the key's hub."""
+    salted = labelled.withColumn("share", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("held") / F.lit(hot))))
     low = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), "id", "component", *block.carried))
     hubs = salted.groupBy("key", "share").agg(low.alias("h"))
     top = hubs.groupBy("key").agg(F.min("h").alias("h"))
@@ -244,47 +260,28 @@ def candidate_hub(block: Block, members: DataFrame, hubs: DataFrame, keys: list[
 
 
 def without_largest(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings outside their bucket's largest component, and the postings of those buckets.
+    """Postings outside their bucket's largest component, and all postings of those buckets.
 
     A pair inside the largest component needs no comparison, so only the others probe.
     """
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     biggest = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("big"), F.count(F.lit(1)).alias("parts"))
-    mixed = labelled.join(biggest.where("parts > 1"), "key")
-    mixed = cut(mixed)
+    mixed = cut(labelled.join(biggest.where("parts > 1"), "key"))
     return mixed.where("component <> big"), mixed
 
 
 # --- set similarity ---------------------------------------------------------------
 
-def common_tokens(df: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """One row holding the most frequent tokens, rarest of them first; at most ``COMMON_TOKENS`` entries.
-
-    Only the order of comparison depends on it, never the result, so counting a hashed
-    share of a large table is enough.
-    """
-    step = max(1, df.count() // COUNTED_ROWS)
-    share = df.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
-    counts = share.select(F.explode(tokens(F.col("payload"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.where("c > 1").orderBy(F.desc("c"), "t").limit(COMMON_TOKENS)
-    listed = F.array_sort(F.collect_list(F.struct("c", "t")))
-    return top.agg(F.transform(listed, lambda x: x["t"]).alias("common"))
-
-
 def summarise(df: DataFrame, tokens: Callable[[Column], Column], threshold: float) -> DataFrame:
-    """Per row: set size, identity digest, token hashes of the prefix, 256-bit bitmap.
+    """Per row: set size, identity digest, sorted token hashes of the prefix, 256-bit bitmap.
 
-    The prefix order is: uncommon tokens by hash, then the common ones from rare to
-    frequent. Any order shared by all rows is complete with exact verification; this
-    one keeps frequent tokens out of the prefixes without a lookup per token.
+    The prefix order is the order of token hashes: no frequency table has to be built
+    or joined, and with exact verification any common order is complete.
     """
     toks = df.withColumn("tokens", tokens(F.col("payload"))).withColumn("n", F.size("tokens"))
     toks = toks.withColumn("digest", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
-    toks = toks.join(F.broadcast(common_tokens(df, tokens)))
-    uncommon = F.array_sort(F.transform(F.array_except("tokens", "common"), lambda t: F.xxhash64(t)))
-    common = F.transform(F.array_intersect("common", "tokens"), lambda t: F.xxhash64(t))
-    toks = toks.withColumn("hashed", F.concat(uncommon, common)).drop("common")
+    toks = toks.withColumn("hashed", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))))
     need = F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int")
     keep = F.least(F.col("n"), F.col("n") - need + 2)
     toks = toks.withColumn("prefix", F.when(F.col("n") > 0, F.slice("hashed", F.lit(1), keep)).otherwise(
@@ -337,10 +334,18 @@ def set_similarity_edges(df: DataFrame, tokens: Callable[[Column], Column], thre
         long_enough = (a("n") >= threshold * b("n") - EPS) & (b("n") >= threshold * a("n") - EPS)
         return long_enough & ((a("n") + b("n") - differing) / 2 >= overlap_needed(threshold, a("n"), b("n")))
 
-    block = Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, tokens)
+    merge = reps.select("id", "n", *words, F.explode(merge_keys("prefix")).alias("key"))
+    block = Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, tokens, merge)
     return merging_edges(block, hot).select("src", "dst").union(stars)
 
 
+def merge_keys(name: str) -> Column:
+    """Up to five keys of three neighbouring prefix tokens: near-copies share some, other rows hardly any."""
+    starts = F.filter(F.array(*[F.lit(i) for i in (1, 4, 7, 10, 13)]), lambda i: i + 2 <= F.size(name))
+    at = lambda i: F.element_at(name, i)
+    return F.transform(starts, lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+
+
 def token_pairs(name: str) -> Column:
     """Keys of all two-token combinations of a short sorted array."""
     last = F.size(name)
@@ -381,7 +386,8 @@ def edit_distance_edges(df: DataFrame, threshold: float, hot: int | None = None)
         dist = F.call_function("levenshtein", a, b, limit(a, b))
         return F.when(dist >= 0, 1 - dist / F.greatest(F.length(a), F.length(b), F.lit(1))).otherwise(F.lit(-1.0))
 
-    block = Block(postings, ["n", "own"], keep, reps, score, threshold)
+    merge = postings.where("own")
+    block = Block(postings, ["n", "own"], keep, reps, score, threshold, merge=merge)
     return merging_edges(block, hot).select("src", "dst").union(stars)
 
 
