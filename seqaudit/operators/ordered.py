@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import parallelism
+
 ROWS_PER_TASK = 1_000_000
 MAX_BUCKETS = 4096
 
@@ -80,8 +82,9 @@ def average_rank(df: DataFrame, name: str, value: str, group: list[str] = [],
     return df.join(ranks, [*group, value])
 
 
-def top_k(df: DataFrame, k: int, order: list[Column], group: list[str], salt: Column, shards: int = 64) -> DataFrame:
+def top_k(df: DataFrame, k: int, order: list[Column], group: list[str], salt: Column, shards: int | None = None) -> DataFrame:
     """First k rows of each group: k per shard first, then k of those, so no group is one task."""
+    shards = shards or max(64, parallelism(df.sparkSession))
     shard = F.pmod(F.xxhash64(salt), F.lit(shards))
     local = Window.partitionBy(*group, "__shard").orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)

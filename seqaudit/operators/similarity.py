@@ -391,8 +391,18 @@ def edit_distance_edges(df: DataFrame, threshold: float, hot: int | None = None)
     return merging_edges(block, hot).select("src", "dst").union(stars)
 
 
+MAX_LAYOUT_ROWS = 2_000_000
+
+
 def edit_spans(lengths: list[int], threshold: float) -> list[tuple]:
-    """Where each piece of a longer string may start in a string of length n."""
+    """Where each piece of a longer string may start in a string of length n.
+
+    The table is broadcast, so its size is estimated first; long sequences at a loose
+    threshold are refused.
+    """
+    allowed = lambda n: math.floor((1 - threshold) * n + EPS)
+    if sum((min(allowed(n), len(lengths)) + 1) * (allowed(n) + 1) for n in lengths) > MAX_LAYOUT_ROWS:
+        raise ValueError("these lengths need too many edit-distance pieces; raise the threshold or use k-mer similarity")
     out = []
     for longer in lengths:
         d = math.floor((1 - threshold) * longer + EPS)

@@ -335,6 +335,12 @@ def src3(spark, sf):
     return tables.apply_aliases(_lab_table(spark, sf), ALIAS).select("sequence_id", "sequence")
 
 
+@query("SRC4_strict_aliases", with_ctes("SELECT sequence_id, sequence, target::varchar AS target FROM assay", "assay"))
+def src4(spark, sf):
+    one = _lab_table(spark, sf).drop("DNA (5'-3')")
+    return tables.apply_aliases(one, {**ALIAS, "target": ["Measured--Value"]}, strict=True).select("sequence_id", "sequence", "target")
+
+
 @query("SRC5_multi_file_union", """SELECT kind, count(*) AS rows, count(score) AS scored FROM (SELECT 'customer' AS kind, c_acctbal AS score FROM customer UNION ALL SELECT 'supplier', NULL FROM supplier) GROUP BY kind""")
 def src5(spark, sf):
     a, b = _scratch(spark, "customer") + ".csv", _scratch(spark, "supplier") + ".tsv"
