@@ -24,6 +24,7 @@ from .components import connected_components, contract, group_edges
 
 HUB_SHARE = 512
 PAIRS_PER_POSTING = 300
+BROADCAST_ROWS = 500_000
 EPS = 1e-9
 
 # Accepted policy names and the policy each stands for.
@@ -177,6 +178,8 @@ def verified(block: Block, pairs: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs)
     used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    if pairs.count() <= BROADCAST_ROWS // 2:
+        used = F.broadcast(used)
     rows = block.sets.join(used, "id", "left_semi").select("id", block.derive(F.col("payload")).alias("payload"))
     rows = cut(rows.repartition(parallelism(pairs.sparkSession), "id"))
     a = rows.select(F.col("id").alias("src"), F.col("payload").alias("pa"))
@@ -209,8 +212,11 @@ def merging_edges(block: Block, hot: int | None = None) -> DataFrame:
     if found is None:
         return verified(block, candidate_pairs(block, shared, shared, before)).select("src", "dst")
     labels = cut(contract(found))
-    largest = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    shared = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("top"), F.sum("c").alias("rows")).first()
+    largest = held["top"] or 0
+    # few linked rows: send them to the postings instead of shuffling the postings by id
+    near = F.broadcast(labels) if (held["rows"] or 0) <= BROADCAST_ROWS else labels
+    shared = shared.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = F.col("l.component") != F.col("r.component")
     if largest <= hot:
         pairs = candidate_pairs(block, shared, shared, apart & before)
