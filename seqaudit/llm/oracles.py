@@ -1,10 +1,104 @@
 """SQL that the native operators must agree with."""
 
+from . import chat_windows, license_rules, url_vocabulary
 from .quality_table import STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    """Sentences in one list per document, then one step per rule, each claiming what it matches."""
+    known = ", ".join(f"{_text(s)}: {_text(k)}" for k, all_ in license_rules.SENTENCES.items() for s in all_)
+    clean = lambda x: f"regexp_replace(regexp_replace({x}, '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g')"
+    steps, last = [], "s0"
+    for n, rule in enumerate(license_rules.RULES, 1):
+        ids = _text(f",{','.join(rule.sentences)},")
+        steps.append(f"s{n} as (select *exclude (rest, names), replace(rest, {ids}, ',~,') as rest, case when contains(rest, {ids}) "
+                     f"then list_append(names, {_text(rule.licence)}) else names end as names from {last})")
+        last = f"s{n}"
+    family = " ".join(
+        f"when list_has_any(names, [{', '.join(sorted({_text(r.licence) for r in license_rules.RULES if r.family == f}))}]) then {_text(f)}"
+        for f in license_rules.FAMILIES)
+    return f"""
+with k as materialized (select map {{{known}}} as m),
+d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{license_rules.UPPER}', '{license_rules.LOWER}') as t from documents),
+p as (select r, doc_id, regexp_split_to_array(t, '[.;:!?]+[\\x20\\x09-\\x0D]+|\\n[\\x20\\x09\\x0D]*\\n') as parts from d),
+q as (
+    select r, doc_id, flatten(list_transform(parts, lambda x: case when map_contains(m, {clean('x')}) then [{clean('x')}]
+        else list_transform(string_split(x, chr(10)), lambda y: {clean('y')}) end)) as found from p, k),
+s0 as (
+    select r, doc_id, list_transform(list_filter(found, lambda x: map_contains(m, x)), lambda x: m[x]) as ids,
+        ',' || array_to_string(list_transform(list_filter(found, lambda x: map_contains(m, x)), lambda x: m[x]), ',') || ',' as rest,
+        []::varchar[] as names from q, k),
+{", ".join(steps)}
+select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentences,
+    case when len(ids) > 0 and len(names) = 0 then '{license_rules.UNRECOGNISED}' else coalesce(array_to_string((
+        select list(x order by i) from (select x, min(i) as i from (select unnest(names) as x, unnest(range(len(names))) as i) group by x)), ','), '')
+        end as licences,
+    case {family} when len(ids) > 0 then 'unknown' end as family
+from {last}"""
+
+
+def _url_sql() -> str:
+    u = url_vocabulary
+    low = f"translate(coalesce(url, ''), '{u.UPPER}', '{u.LOWER}')"
+    split = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    hits = lambda terms: " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms)
+    fits = lambda r: f"(host = {_text(r.host)} or ends_with(host, {_text('.' + r.host)})) and starts_with(path, {_text(r.path)})"
+    rules = sorted(u.RULES, key=lambda r: (-len(r.name), r.name))
+    name = " ".join(f"when {fits(r)} then {_text(r.name)}" for r in rules)
+    allow = " ".join(f"when {fits(r)} then {str(r.allow).lower()}" for r in rules)
+    return f"""
+with p as (
+    select page_id, {low} as low, regexp_extract({low}, {split}, 1) as host, regexp_extract(coalesce(url, ''), {split}, 2) as path from pages),
+h as (select *, {hits(u.STRICT)} as n_strict, {hits(u.SOFT)} as n_soft, case {name} end as rule, case {allow} end as allowed from p)
+select page_id, host, path, rule, n_strict, n_soft,
+    case when coalesce(allowed, n_strict < 1 and n_soft < {u.SOFT_LIMIT}) then 'allow' else 'block' end as verdict
+from h"""
+
+
+def _chat_sql() -> str:
+    c = chat_windows
+    escaped = "replace({0}, chr(92), chr(92) || chr(92))"
+    for control in c._CONTROL:
+        escaped = f"regexp_replace({escaped}, {_text(control)}, '\\1\\\\\\2', 'g')"
+    marks = len(c.START) + len(c.END) + 2
+    chars = f"{marks} + length(replace({escaped.format('role')}, chr(10), '<\\n')) + length({escaped.format('text')})"
+    return f"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (
+    select *, {c.OVERHEAD} + (strlen(text) + 3) // 4 as tokens, {chars} as chars,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) as no, count(*) over (partition by conv_id) as n from c),
+y as (select conv_id, tokens as sys_tokens, chars as sys_chars from t where no = 1 and role = 'system' and n > 1),
+s as (
+    select t.*, greatest({c.BUDGET - c.HISTORY} - coalesce(sys_tokens, 0), {max(1, c.BUDGET // 4)}) as fresh,
+        sum(tokens) over (partition by conv_id order by no) as e
+    from t left join y using (conv_id) where sys_tokens is null or no > 1),
+w as (select *, (e - tokens)::bigint // fresh as a, (e - 1)::bigint // fresh as b, (e - tokens)::bigint as s from s),
+heads as (select conv_id, a, b, min(s) as start from w group by all),
+repeated as (
+    select h.conv_id, sum(p.chars) as chars from heads h join w p on p.conv_id = h.conv_id and p.e <= h.start and h.start - p.s <= {c.HISTORY}
+    group by 1),
+system as (select h.conv_id, sum(sys_chars) as chars from heads h join y using (conv_id) group by 1),
+own as (select conv_id, sum(chars) as chars from w group by 1),
+told as (
+    select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by no)) as turns_sha256,
+        coalesce(string_agg(text, '' order by no) filter (where role = 'assistant'), '') as loss from t group by 1)
+select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256,
+    (own.chars + coalesce(repeated.chars, 0) + coalesce(system.chars, 0))::bigint as formatted_chars
+from told join own using (conv_id) left join repeated using (conv_id) left join system using (conv_id)"""
+
+
 SQL = {
+    "op1_license_sentences": _licence_sql(),
+    "op4_url_vocabulary": _url_sql(),
+    "op5_chat_windows": _chat_sql(),
     "op8_quality_rules": f"""
 with d as (
     select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),

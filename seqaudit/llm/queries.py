@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read
-from . import oracles, pseudonyms, quality_table, sliced_simhash, spaced_seeds, swap_packing
+from . import (chat_windows, license_rules, main_text, oracles, pseudonyms, pu_quality, quality_table, sliced_simhash, spaced_seeds,
+               swap_packing, url_vocabulary)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -21,6 +22,35 @@ def _register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return fn
 
 
+@_register
+def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    found = license_rules.licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"),
+                        F.array_join("licences", ",").alias("licences"), "family")
+
+
+@_register
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_register
+def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_vocabulary.judge(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@_register
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of one made of control strings, read back from their windows."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_windows.digests(chat_windows.windows(rows))
+
+
 @_register
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values that were."""
@@ -50,3 +80,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = sliced_simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_register
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.main_text(pages, main_text.learn(pages))
