@@ -20,6 +20,8 @@ Sequence ids are unique, not dense; offsets leave no gap.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,8 +40,8 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces packed together in one task: a working size, about 40 bytes each.
 SHARD = 25_000
-#: Words a worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+#: Words in each of a worker's two memories; a full one replaces the older, so frequent words survive.
+REMEMBERED = 250_000
 #: Exchanges looked at per bin before it is left as it is.
 PARTNERS = 64
 
@@ -50,20 +52,29 @@ class WordCoder:
     """Ids of whole texts, as little-endian 32-bit words, with a memory of words.
 
     Words are taken in lower case, as the tokenizer would; words that hold ``<|``, which may
-    start a special token, are left as they are. New words are tokenised in long lines with a
-    separator between them, as a call per word costs more than the word itself.
+    start a special token, are left as they are. A word of letters alone is one unit of the
+    tokenizer's BPE model and goes to it directly; all others take the whole tokenizer.
     """
 
-    MARK = "★"
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.mark = self._ids(self.MARK)
-        assert len(self.mark) == 1
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        self.older: dict[bytes, bytes] = {}
+        # the model reads bytes as letters: printable ones as they are, the others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = iter(range(256, 512))
+        self.letters = {b: b if b in plain else next(spare) for b in range(256)}
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode()
+        low = text.lower()
+        if low.isalpha() and (low.isascii() or (
+                len(low) == len(text) and not set("σςı") & set(low) and unicodedata.is_normalized("NFC", low))):
+            ids = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [self._words((t or "").encode("utf-8", "replace")) for t in texts]
@@ -71,9 +82,11 @@ class WordCoder:
         lack = [k for k, found in enumerate(got) if None in found]
         new = {w for k in lack for w, known in zip(split[k], got[k]) if known is None}
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*(split[k] for k in lack))
-        self._learn(list(new))
+            self.older, self.known = self.known, {}
+            new = set().union(*split)
+            lack = list(range(len(split)))
+        for w in new:
+            self.known[w] = self.older.get(w) or self._code(w)
         for k in lack:
             got[k] = list(map(self.known.__getitem__, split[k]))
         for found in got:
@@ -86,32 +99,18 @@ class WordCoder:
             return [w if b"<|" in w else w.lower() for w in raw.split()]
         return raw.lower().split()
 
-    def _learn(self, new: list[bytes], line: int = 500) -> None:
-        plain, odd, ended = set(), [], []
-        for w in new:
-            if b"<|" in w or self.MARK.encode() in w:
-                odd.append(w)
-                continue
-            core = w.rstrip(b".,;:!?*#$%&")
-            # after an ASCII letter or digit such marks are a token run of their own
-            if core != w and core[-1:].isalnum() and b"'" not in w:
-                ended.append((w, core, w[len(core):]))
-                plain.update(x for x in (core, w[len(core):]) if x not in self.known)
-            else:
-                plain.add(w)
-        for w in odd:
-            self.known[w] = self._ids(w.decode()).tobytes()
-        words, between = list(plain), f" {self.MARK} "
-        lines = [words[at:at + line] for at in range(0, len(words), line)]
-        coded = self.tokenizer.encode_batch_fast([between.join(w.decode() for w in part) for part in lines],
-                                                 add_special_tokens=False)
-        for part, e in zip(lines, coded):
-            ids = np.array(e.ids, "<u4")
-            marks = np.flatnonzero(ids == self.mark[0])
-            data, starts = ids.tobytes(), [0, *(4 * (marks + 1)).tolist()]
-            self.known.update(zip(part, (data[a:b] for a, b in zip(starts, [*(4 * marks).tolist(), len(data)]))))
-        for w, core, end in ended:
-            self.known[w] = self.known[core] + self.known[end]
+    def _code(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,;:!?*#$%&")
+        # after an ASCII letter or digit such marks are a token run of their own
+        if core == word or not core[-1:].isalnum() or b"'" in word or b"<|" in word:
+            return self._ids(word)
+        out = b""
+        for part in (core, word[len(core):]):
+            coded = self.known.get(part) or self.older.get(part)
+            if coded is None:
+                coded = self.known[part] = self._ids(part)
+            out += coded
+        return out
 
 
 def _coder(path: str) -> WordCoder:
