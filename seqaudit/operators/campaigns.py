@@ -106,11 +106,15 @@ def prospective_protocol(rounds: DataFrame) -> DataFrame:
 
 
 def export_events(events: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Events of each campaign or of one of its rounds (``{campaign}-r…``)."""
-    owner = F.regexp_extract("resource_id", r"^(.*?)(-r.*)?$", 1)
-    exact = events.select(F.col("resource_id").alias("campaign_id"), "*")
-    rounds = events.where(F.col("resource_id").contains("-r")).select(owner.alias("campaign_id"), "*")
-    return exact.unionByName(rounds).join(campaigns.select("campaign_id"), "campaign_id", "left_semi").dropDuplicates(["campaign_id", "event_id"])
+    """Events of each campaign or of one of its rounds (``{campaign}-r…``).
+
+    An id may itself hold ``-r``, so every text before a ``-r`` of a resource is a possible
+    owner; the campaign table decides.
+    """
+    pieces = F.split("resource_id", "-r")
+    heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "-r"))
+    owned = events.select(F.explode(heads).alias("campaign_id"), "*")
+    return owned.join(campaigns.select("campaign_id"), "campaign_id", "left_semi").dropDuplicates(["campaign_id", "event_id"])
 
 
 def archive(campaigns: DataFrame, ids: DataFrame, now: Column) -> DataFrame:

@@ -54,28 +54,44 @@ def mode_rate(mode: str, rate: float) -> float:
     return {"Diversity sampling": min(0.5, rate * 2.5 + 0.04), "Random mutagenesis": rate}.get(mode, rate * 0.35)
 
 
+ATTEMPTS_PER_DESIGN = 80
+
+
 def masked_pool(parents: DataFrame, key: str, parent_col: str, count: int, mode: str, rate: float, seed: int) -> DataFrame:
-    """Fill N sites and mutate the rest, ``count`` distinct sequences per parent at most."""
+    """Fill N sites and mutate the rest, ``count`` distinct sequences per parent.
+
+    Draws come in rounds that double, and only parents that still lack designs draw again; a
+    parent ends with fewer designs only after ``ATTEMPTS_PER_DESIGN`` draws for each wanted one.
+    """
     target = count * 6 if mode == "Diversity sampling" else count
-    draws = parents.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(target * 2))))
-    k = (F.lit(seed), F.col(key), F.col("draw"))
     raw = F.replace(F.upper(parent_col), F.lit("[MASK]"), F.lit("N"))
     effective = 0.0 if mode == "Mask-fill" else mode_rate(mode, rate)
-    made = draws.withColumn("sequence", mutate(raw, effective, *k))
-    first = made.groupBy(key, "sequence").agg(F.min("draw").alias("draw"), F.first(parent_col).alias(parent_col))
+    needy, made, drawn = parents, None, 0
+    while drawn < target * ATTEMPTS_PER_DESIGN:
+        upto = min(max(2 * target, 2 * drawn), target * ATTEMPTS_PER_DESIGN)
+        draws = needy.withColumn("draw", F.explode(F.sequence(F.lit(drawn + 1), F.lit(upto))))
+        new = draws.withColumn("sequence", mutate(raw, effective, F.lit(seed), F.col(key), F.col("draw"))).select(key, "sequence", "draw", parent_col)
+        both = new if made is None else made.unionByName(new)
+        made = cut(both.groupBy(key, "sequence").agg(F.min("draw").alias("draw"), F.first(parent_col).alias(parent_col)))
+        full = made.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= target)
+        needy, drawn = cut(parents.join(full, key, "left_anti")), upto
+        if needy.isEmpty():
+            break
     from .ordered import top_k
 
-    return top_k(first, target, [F.col("draw")], [key], F.col("draw")).withColumnRenamed("rank", "position")
+    return top_k(made, target, [F.col("draw")], [key], F.col("draw")).withColumnRenamed("rank", "position")
 
 
 def evolve(train: DataFrame, sequence_col: str, proposals: int, score, seed: int = 13, batch: int = 512, parents: int = 256,
-           rate: float = 0.08, max_homopolymer: int = 6, forbidden: tuple[str, ...] = (), min_distance: int = 8,
-           max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+           rate: float = 0.08, max_homopolymer: int = 6, forbidden: tuple[str, ...] = (),
+           min_distance: int = 8) -> tuple[DataFrame, DataFrame]:
     """(accepted designs, rejection counts) of an evolutionary search.
 
     Each round proposes a batch from the best designs so far (at most ``parents`` rows,
-    the only part that is broadcast), drops what was seen, filters and scores. ``score``
-    takes the batch and returns it with a ``generation_score`` column.
+    the only part that is broadcast), drops what was proposed before, filters and scores.
+    ``score`` takes the batch and returns it with a ``generation_score`` column. The search
+    ends with enough designs or at the attempt limit; the rejection table counts every
+    proposal that is no design, repeated ones as ``duplicate``.
     """
     limits = inferred_limits(train, sequence_col).first()
     length, low, high = int(limits["sequence_length"]), limits["gc_low"], limits["gc_high"]
@@ -84,15 +100,16 @@ def evolve(train: DataFrame, sequence_col: str, proposals: int, score, seed: int
     accepted, rejects, pool, count, turn = None, None, None, 0, 0
     limit = max(proposals * 50, 2000)
     tries = 0
-    while count < proposals and tries < limit and turn < max_rounds:
+    while count < proposals and tries < limit:
         size = min(max(batch, (proposals - count) * 2), limit - tries)
         made = _propose(spark, size, turn, seed, length, low, high, rate, pool, parents)
         tries += size
         once = made.groupBy("sequence").agg(F.min("attempt").alias("attempt"))
-        fresh = once.join(seen, "sequence", "left_anti") if accepted is None else once.join(seen, "sequence", "left_anti").join(
-            accepted.select("sequence"), "sequence", "left_anti")
+        fresh = cut(once.join(seen, "sequence", "left_anti"))
+        seen = seen.unionByName(fresh.select("sequence"))  # rejected proposals too
         judged = cut(synthesis_filter(fresh, "attempt", "sequence", train, sequence_col, (low, high), max_homopolymer, forbidden, min_distance))
         why = judged.where("filter_reason IS NOT NULL").groupBy(F.col("filter_reason").alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+        why = why.unionByName(fresh.agg((F.lit(size).cast("bigint") - F.count(F.lit(1))).alias("rows")).select(F.lit("duplicate").alias("reason"), "rows"))
         rejects = why if rejects is None else rejects.unionByName(why)
         good = cut(score(judged.where("filter_reason IS NULL").orderBy("attempt").limit(proposals - count)).withColumn("round", F.lit(turn)))
         accepted = good if accepted is None else cut(accepted.unionByName(good))

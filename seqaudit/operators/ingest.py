@@ -39,11 +39,16 @@ def rejected(df: DataFrame, row_col: str, id_col: str, sequence_col: str = "sequ
         F.col(row_col).alias("row_index"), F.col(id_col).alias("id"), F.col(sequence_col).alias("sequence"), "reason")
 
 
+def zero_padded(number: Column, digits: int) -> Column:
+    """At least ``digits`` digits; a longer number is never cut."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))
+
+
 def fill_ids(df: DataFrame, id_col: str, order_col: str, project: str) -> DataFrame:
     """Blank ids become ``{project}_{accepted position, six digits}``."""
     numbered = ordered.row_number(df, "__pos", [F.col(order_col)], F.col(order_col).cast("double"))
-    made = F.concat(F.lit(f"{project}_"), F.lpad((F.col("__pos") - 1).cast("string"), 6, "0"))
-    made = F.when(F.col("__pos") > 1_000_000, F.concat(F.lit(f"{project}_"), (F.col("__pos") - 1).cast("string"))).otherwise(made)
+    made = F.concat(F.lit(f"{project}_"), zero_padded(F.col("__pos") - 1, 6))
     return numbered.withColumn(id_col, F.when(non_blank(id_col), F.col(id_col)).otherwise(made)).drop("__pos")
 
 
@@ -175,24 +180,29 @@ def binary_labels(df: DataFrame, label_col: str, positive: str | None = None) ->
     return negative, positive
 
 
-def encode_labels(df: DataFrame, label_col: str, positive: str | None = None, limit: int = 1000) -> DataFrame:
-    """Add ``encoded``: 0/1 for known words or a declared positive label, else alphabetical position."""
+def encode_labels(df: DataFrame, label_col: str, positive: str | None = None) -> DataFrame:
+    """Add ``encoded``: 0/1 for known words or a declared positive label, else alphabetical position.
+
+    Labels are counted and numbered in Spark and joined back, however many there are.
+    """
     from ..functions.values import LABEL_CODES
 
-    label = class_label(label_col)
-    found = sorted(r[0] for r in df.select(label.alias("l")).where("l IS NOT NULL").distinct().limit(limit + 1).collect())
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} class labels")
+    labelled = df.withColumn("__label", class_label(label_col))
+    counted = labelled.where("__label IS NOT NULL").groupBy("__label").agg(F.count(F.lit(1)).alias("n"))
+    words = list(LABEL_CODES)
+    seen = counted.agg(F.count(F.lit(1)).alias("labels"), F.count_if(~F.col("__label").isin(words)).alias("other"),
+                       F.count_if(F.col("__label") == F.lit(positive or "")).alias("declared")).first()
     if positive is not None:
-        if positive not in found or len(found) != 2:
+        if seen["declared"] != 1 or seen["labels"] != 2:
             raise ValueError("a positive label needs exactly two labels, one of them the positive one")
-        codes = {l: int(l == positive) for l in found}
-    elif set(found) <= set(LABEL_CODES):
-        codes = {l: LABEL_CODES[l] for l in found}
-    else:
-        codes = {l: i for i, l in enumerate(found)}
-    pairs = [F.lit(x) for item in codes.items() for x in item]
-    return df.withColumn("encoded", F.element_at(F.create_map(*pairs), label) if pairs else F.lit(None).cast("int"))
+        return labelled.withColumn("encoded", (F.col("__label") == positive).cast("int")).drop("__label")
+    if not seen["other"]:
+        codes = F.create_map(*[F.lit(x) for item in LABEL_CODES.items() for x in item])
+        return labelled.withColumn("encoded", F.element_at(codes, F.col("__label"))).drop("__label")
+    lead = F.conv(F.hex(F.substring(F.rpad(F.col("__label"), 6, " ").cast("binary"), 1, 6)), 16, 10).cast("double")
+    placed = ordered.row_number(counted, "__at", [F.col("__label")], lead)
+    codes = placed.select("__label", (F.col("__at") - 1).cast("int").alias("encoded"))
+    return labelled.join(codes, "__label", "left").drop("__label")
 
 
 def display_id(prefix: str, position: Column, *columns: str) -> Column:
@@ -200,4 +210,4 @@ def display_id(prefix: str, position: Column, *columns: str) -> Column:
     return F.coalesce(
         first_non_blank(*columns) if columns else F.lit(None),
         F.when(non_blank("sequence_hash"), F.concat(F.lit("hash:"), F.substring("sequence_hash", 1, 12))),
-        F.concat(F.lit(f"{prefix}_"), F.lpad(position.cast("string"), 4, "0")))
+        F.concat(F.lit(f"{prefix}_"), zero_padded(position, 4)))

@@ -138,26 +138,38 @@ def logistic_baseline(train: DataFrame, test: DataFrame, sequence_col: str, labe
     if seen["lo"] == seen["hi"]:
         return test.withColumn(name, F.lit(float(seen["lo"])))
     vector = array_to_vector(seq.gc_length_features(sequence_col)) if k == 0 else sequence_vector(sequence_col, k)
-    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / seen["n"], maxIter=100, standardization=True).fit(
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / seen["n"], maxIter=100, standardization=True,
+                               predictionCol="__class", probabilityCol="__prob", rawPredictionCol="__raw").fit(
         train.select(vector.alias("__x"), F.col(label).cast("double").alias("__y")))
     scored = model.transform(test.withColumn("__x", vector))
-    return scored.withColumn(name, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction_" + name)
+    return scored.withColumn(name, vector_to_array("__prob")[1]).drop("__x", "__raw", "__prob", "__class")
 
 
 def forest_baseline(train: DataFrame, test: DataFrame, sequence_col: str, target: str, name: str, trees: int = 100,
                     depth: int = 10, seed: int = 13, classify: bool = False) -> DataFrame:
+    """Random forest on 3-mer frequencies; ``depth`` may be raised to 30, the limit of the library.
+
+    Without training rows the prediction is null; with one class it is that class.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
+    seen = train.agg(F.count(F.lit(1)).alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi")).first()
+    if not seen["n"]:
+        return test.withColumn(name, F.lit(None).cast("double"))
+    if classify and seen["lo"] == seen["hi"]:
+        return test.withColumn(name, F.lit(float(seen["lo"])))
+    own = {"probabilityCol": "__prob", "rawPredictionCol": "__raw"} if classify else {}
     kind = RandomForestClassifier if classify else RandomForestRegressor
     model = kind(featuresCol="__x", labelCol="__y", numTrees=trees, minInstancesPerNode=2, maxDepth=depth, seed=seed,
-                 featureSubsetStrategy="sqrt" if classify else "all", predictionCol="__p").fit(
+                 featureSubsetStrategy="sqrt" if classify else "all", predictionCol="__p", **own).fit(
         train.select(sequence_vector(sequence_col, 3).alias("__x"), F.col(target).cast("double").alias("__y")))
     scored = model.transform(test.withColumn("__x", sequence_vector(sequence_col, 3)))
-    value = vector_to_array("probability")[1] if classify else F.col("__p")
-    return scored.withColumn(name, value).drop("__x", "__p", "rawPrediction", "probability")
+    value = vector_to_array("__prob")[1] if classify else F.col("__p")
+    return scored.withColumn(name, value).drop("__x", "__p", "__raw", "__prob")
 
 
+# Names of the baselines.
 BASELINES = ("gc_length_baseline", "kmer_ridge_or_logistic", "kmer_random_forest", "kmer4_linear_probe")
 
 

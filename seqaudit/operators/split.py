@@ -14,8 +14,7 @@ from .similarity import leakage_components
 def fingerprints(df: DataFrame, comps: DataFrame, id_col: str, sequence_col: str, group_cols: list[str]) -> DataFrame:
     """(component, size, fingerprint): digest of the sorted member texts of each cluster.
 
-    A cluster can hold a third of all rows, so its members are first digested in
-    shards; a cluster that fits one shard keeps the digest of the plain sorted list.
+    See ``list_digest`` for the definition, which does not depend on the cluster's size.
     """
     parts = [F.when(~is_missing(c), F.concat(F.lit(f"{c}="), F.trim(F.col(c).cast("string")))) for c in group_cols]
     member = F.concat_ws("|", seq.sequence_hash(sequence_col), *parts)
@@ -23,29 +22,23 @@ def fingerprints(df: DataFrame, comps: DataFrame, id_col: str, sequence_col: str
     return list_digest(rows, "m", ["component"], "fingerprint", "size")
 
 
-SHARD_ROWS = 100_000
+#: Leading characters of a value that decide its shard; of a hash, 65,536 shards.
+SHARD_PREFIX = 4
 
 
 def list_digest(rows: DataFrame, value: str, keys: list[str], name: str, size: str) -> DataFrame:
-    """sha256 of the sorted values joined by newlines, per key.
+    """Digest of the values of each key with their numbers, and how many rows there are.
 
-    Up to ``SHARD_ROWS`` values per key the text is built in one aggregation buffer.
-    A larger key is cut by value prefix into ordered shards whose digests are joined
-    and digested again, so no task ever holds the whole list.
+    Equal values become one line ``value x copies``. The lines of each value prefix, in
+    order, are one sha256; the digests of the prefixes, in order, are digested again. Copies
+    are counted before anything is listed, and no buffer holds more than one prefix.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-    big = cut(counts.where(F.col(size) > SHARD_ROWS))
-    text = F.array_join(F.array_sort(F.collect_list(value)), "\n")
-    if big.isEmpty():
-        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(size), F.sha2(text, 256).alias(name))
-    small = rows.join(big.select(*keys), keys, "left_anti")
-    plain = small.groupBy(*keys).agg(F.count(F.lit(1)).alias(size), F.sha2(text, 256).alias(name))
-    wide = rows.join(big, keys).withColumn("__shard", F.substring(value, 1, 4))
-    shards = wide.groupBy(*keys, size, "__shard").agg(F.sha2(text, 256).alias("d"))
-    whole = shards.groupBy(*keys, size).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__shard", "d"))),
-                                        lambda s: s["d"]), "\n"), 256).alias(name))
-    return plain.unionByName(whole)
+    lines = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__line", F.concat(F.col(value), F.lit(" x"), F.col("__n").cast("string")))
+    shards = lines.groupBy(*keys, F.substring(value, 1, SHARD_PREFIX).alias("__shard")).agg(
+        F.sum("__n").alias("__n"), F.sha2(F.array_join(F.array_sort(F.collect_list("__line")), "\n"), 256).alias("d"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("__shard", "d"))), lambda s: s["d"])
+    return shards.groupBy(*keys).agg(F.sum("__n").alias(size), F.sha2(F.array_join(digests, "\n"), 256).alias(name))
 
 
 def desired(n: int, fraction: float, clusters: int) -> int:

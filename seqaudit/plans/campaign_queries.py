@@ -180,10 +180,13 @@ def camp7(spark, sf):
     return ca.prospective_protocol(rounds).select("protocol_identifier", "selection_manifest_sha256", "outcome_data_sha256")
 
 
-@query("CAMP8_campaign_export", "SELECT 'c'||user_id AS campaign_id, count(*) AS events FROM events GROUP BY user_id")
+@query("CAMP8_campaign_export", "SELECT CASE WHEN user_id%2=1 THEN 'c-rna' ELSE 'c' END||user_id AS campaign_id, count(*) AS events FROM events GROUP BY user_id")
 def camp8(spark, sf):
+    """Odd users' campaigns hold ``-r`` in their own id."""
     e = audit_events(spark, sf).drop("event_id").withColumnRenamed("eid", "event_id")
-    camps = e.select(F.regexp_extract("resource_id", "^(.*)-r", 1).alias("campaign_id")).distinct()
+    odd = F.concat(F.lit("c-rna"), F.col("user_id").cast("string"), F.lit("-r001"))
+    e = e.withColumn("resource_id", F.when(F.col("user_id") % 2 == 1, odd).otherwise(F.col("resource_id")))
+    camps = e.select(F.regexp_extract("resource_id", "^(.*)-r001$", 1).alias("campaign_id")).distinct()
     return ca.export_events(e, camps).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -370,12 +370,12 @@ def src9(spark, sf):
     return tables.select_columns(spark, f"{sf}/documents.parquet", ["doc_id", "source"])
 
 
-@query("SRC10_measurement_lines", with_ctes("SELECT sequence, round(target,3) AS activity FROM assay", "assay"))
+@query("SRC10_measurement_lines", with_ctes("SELECT * FROM (SELECT sequence, round(target,3) AS activity, row_number() OVER (ORDER BY row_id) AS n FROM assay WHERE target IS NOT NULL) WHERE n>7", "assay"))
 def src10(spark, sf):
     path = _scratch(spark, "lines")
     sep = F.when(F.col("row_id") % 3 == 0, "\t").when(F.col("row_id") % 3 == 1, ",").otherwise("  ")
-    assay(spark, sf).select(F.concat(F.lower("sequence"), sep, F.round("target", 3).cast("string"))).write.text(path)
-    return tables.read_measurements(spark, path).select("sequence", "activity")
+    assay(spark, sf).where("target is not null").orderBy("row_id").select(F.concat(F.lower("sequence"), sep, F.round("target", 3).cast("string"))).write.text(path)
+    return tables.read_measurements(spark, path, offset=7)
 
 
 @query("SNK1_formula_guard", r"""SELECT doc_id, CASE WHEN regexp_matches(t,'^\s*[=+\-@]') OR regexp_matches(t,'^[\t\r\n]') THEN '''' || t ELSE t END AS cell FROM (

@@ -182,19 +182,6 @@ def ml14(spark, sf):
     return ml.predict(test, ["sequence"], build, heads, "raw").select("row_id", F.round(mean, 5).alias("prediction"), F.round(std, 5).alias("uncertainty"))
 
 
-@query("ML15_heuristic_scores", with_ctes(f""", s AS (SELECT row_id, sequence, gc, list_max(list_transform(regexp_extract_all(sequence,'A+|C+|G+|T+'), lambda x: length(x))) AS run, {u("'13'", "'novelty'", 'row_id')} AS un, {u("'13'", "'plausible'", 'row_id')} AS up,
- {u("'13'", "'spread'", 'row_id')} AS us, {u("'13'", "'g1'", 'row_id')} AS g1, {u("'13'", "'g2'", 'row_id')} AS g2 FROM assay),
- p AS (SELECT *, greatest(0,least(1,0.88-0.38*least(1,abs(gc-0.5)/0.2)-0.30*greatest(0,run-6)/6.0+0.12*up-0.06)) AS pl, greatest(0.02,least(0.45,0.06+0.45*(0.05+0.40*un)+0.05*us)) AS mu FROM s)
-SELECT row_id, {r6('gc')} AS gc_fraction, run AS max_homopolymer, {r6('pl')} AS mlm_plausibility, {r6('mu')} AS model_uncertainty,
- {r6('greatest(0,8+5*pl+0.35*sqrt(-2*ln(greatest(g1,1e-12)))*cos(2*pi()*g2))')} AS predicted_activity, coalesce(nullif(array_to_string(list_filter([CASE WHEN gc<0.4 THEN 'GC below minimum' END, CASE WHEN gc>0.6 THEN 'GC above maximum' END,
- CASE WHEN run>6 THEN 'Homopolymer exceeds limit' END], lambda x: x IS NOT NULL),'; '),''),'Eligible under sequence constraints') AS filter_result FROM p""", "assay"))
-def ml15(spark, sf):
-    from ..operators.candidates import heuristic_scores
-
-    out = heuristic_scores(assay(spark, sf), "sequence", (0.4, 0.6), 6, 13, "row_id")
-    return _r(out.select("row_id", "gc_fraction", "max_homopolymer", "mlm_plausibility", "model_uncertainty", "predicted_activity", "filter_result"), "row_id")
-
-
 @query("ML16_scored_batch", with_ctes(f"SELECT row_id, {r6('2*gc+0.3*uncertainty')} AS ucb FROM assay ORDER BY round(2*gc+0.3*uncertainty,6) DESC, row_id LIMIT 96", "assay"))
 def ml16(spark, sf):
     import pandas as pd

@@ -187,9 +187,9 @@ def q_masked(spark, sf):
 
 @query("SEQ20_display_id", with_ctes("""
 SELECT row_id, CASE WHEN trim(sequence_id)<>'' THEN sequence_id WHEN sequence IS NOT NULL THEN 'hash:'||left(sha256(sequence),12)
- ELSE 'row_'||lpad((row_id%13)::varchar,4,'0') END AS display_id FROM raw_assay""", "raw_assay"))
+ ELSE 'row_'||CASE WHEN length(row_id::varchar)<4 THEN lpad(row_id::varchar,4,'0') ELSE row_id::varchar END END AS display_id FROM raw_assay""", "raw_assay"))
 def q_display(spark, sf):
     from ..operators.ingest import display_id
 
     df = raw_assay(spark, sf).withColumn("sequence_hash", F.sha2("sequence", 256))
-    return df.select("row_id", display_id("row", F.col("row_id") % 13, "sequence_id").alias("display_id"))
+    return df.select("row_id", display_id("row", F.col("row_id"), "sequence_id").alias("display_id"))

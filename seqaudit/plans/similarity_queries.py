@@ -89,8 +89,15 @@ def _split(spark, sf, **kw):
 cte("doc_links", """SELECT DISTINCT a//100000 AS a, b//100000 AS b FROM kj_edges WHERE a//100000 <> b//100000""", ("kj_edges",))
 cte("doc_vertices", "SELECT DISTINCT doc_id FROM constructs", ("constructs",))
 component_ctes("doc", "doc_links", "doc_vertices", "doc_id", ("doc_links", "doc_vertices"))
-cte("clusters", """SELECT d.component, count(*) AS size, sha256(string_agg(sha256(sequence)||'|doc_id='||doc_id, chr(10) ORDER BY sha256(sequence)||'|doc_id='||doc_id)) AS fingerprint
- FROM constructs c JOIN doc_comp d ON c.doc_id=d.row_id GROUP BY d.component""", ("constructs", "doc_comp"))
+def digest_ctes(prefix: str, rows: str, key: str, value: str, needs: tuple[str, ...]) -> None:
+    """Size and digest per key: counted values, one digest per four leading characters, and a digest of those."""
+    cte(f"{prefix}_lines", f"SELECT {key} AS k, {value} AS v, {value}||' x'||count(*) AS line, count(*) AS n FROM {rows} GROUP BY {key}, {value}", needs)
+    cte(f"{prefix}_shards", f"SELECT k, left(v,4) AS shard, sum(n) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM {prefix}_lines GROUP BY k, left(v,4)", (f"{prefix}_lines",))
+    cte(f"{prefix}_digest", f"SELECT k, sum(n)::bigint AS size, sha256(string_agg(d, chr(10) ORDER BY shard)) AS digest FROM {prefix}_shards GROUP BY k", (f"{prefix}_shards",))
+
+
+digest_ctes("dc", "constructs c JOIN doc_comp d ON c.doc_id=d.row_id", "d.component", "sha256(sequence)||'|doc_id='||doc_id", ("constructs", "doc_comp"))
+cte("clusters", "SELECT k AS component, size, digest AS fingerprint FROM dc_digest", ("dc_digest",))
 cte("filled", """SELECT *, sum(size) OVER (ORDER BY size, sha256('13:'||fingerprint) DESC, component ROWS UNBOUNDED PRECEDING)-size AS ex,
  row_number() OVER (ORDER BY size, sha256('13:'||fingerprint) DESC, component) AS pos, count(*) OVER () AS c, sum(size) OVER () AS n FROM clusters""", ("clusters",))
 cte("tested", """SELECT *, greatest(1, round_even(n*0.15,0)) AS want, ex < greatest(1, round_even(n*0.15,0)) AND pos < c AS is_test FROM filled""", ("filled",))
@@ -218,13 +225,17 @@ def homology_benchmark(spark, sf):
     return sp.homology_benchmark(df, "row_id", "sequence", lambda tr, va, te: m.regression_metrics(te, "target", "prediction"))
 
 
-@query("AGG10_membership_digest", with_ctes("""SELECT 'test' AS split, count(*) AS test_rows, sha256(string_agg(h, chr(10) ORDER BY h)) AS test_membership_sha256 FROM (SELECT sha256(sequence) AS h, CASE WHEN ('0x'||left(sha256(sequence),8))::bigint%10=0 THEN 'test' END AS s FROM constructs) WHERE s='test'""", "constructs"))
+digest_ctes("mb", "(SELECT 'test' AS s, sha256(sequence) AS h FROM constructs WHERE ('0x'||left(sha256(sequence),8))::bigint%10=0)", "s", "h", ("constructs",))
+digest_ctes("cf", "constructs", "doc_id", "sha256(sequence)||'|doc_id='||doc_id", ("constructs",))
+
+
+@query("AGG10_membership_digest", with_ctes("SELECT k AS split, size AS test_rows, digest AS test_membership_sha256 FROM mb_digest", "mb_digest"))
 def membership(spark, sf):
     df = constructs(spark, sf).select(F.sha2("sequence", 256).alias("h"))
     return sp.membership_digest(df.withColumn("split", sp.hash_split("h")), "h")
 
 
-@query("AGG11_cluster_fingerprints", with_ctes("""SELECT doc_id AS component, count(*) AS size, sha256(string_agg(sha256(sequence)||'|doc_id='||doc_id, chr(10) ORDER BY sha256(sequence)||'|doc_id='||doc_id)) AS fingerprint FROM constructs GROUP BY doc_id""", "constructs"))
+@query("AGG11_cluster_fingerprints", with_ctes("SELECT k AS component, size, digest AS fingerprint FROM cf_digest", "cf_digest"))
 def fingerprints(spark, sf):
     df = constructs(spark, sf).select("row_id", "sequence", "doc_id")
     return sp.fingerprints(df, df.select(F.col("row_id").alias("id"), F.col("doc_id").alias("component")), "row_id", "sequence", ["doc_id"])

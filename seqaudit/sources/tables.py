@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 
@@ -61,15 +61,26 @@ def union_tables(spark: SparkSession, paths: list[str], aliases: dict[str, list[
 
 
 def read_measurements(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """``sequence activity`` lines split by tab, comma or blanks, with an offset and limit over usable lines."""
-    from ..operators.ordered import row_number
+    """``sequence activity`` lines split by tab, comma or blanks, with an offset and limit over usable lines.
 
+    Lines are numbered file by file (by path), block by block, in reading order: a number
+    within each block plus the counts of the blocks before it.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                          F.monotonically_increasing_id().alias("at"))
     parts = F.split(F.trim("value"), r"[\t, ]+")
     rows = lines.select("file", "block", "at", F.upper(F.get(parts, F.lit(0))).alias("sequence"), F.get(parts, F.lit(1)).try_cast("double").alias("activity"))
     rows = rows.where("sequence rlike '^[ACGTN]+$' and activity is not null")
-    numbered = row_number(rows, "n", [F.col("file"), F.col("block"), F.col("at")], F.col("at").cast("double"))
+    # one row per block of a file: a window over files, and one over the blocks of each file
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"))
+    files = blocks.groupBy("file").agg(F.sum("rows").alias("in_file"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("in_blocks", F.coalesce(F.sum("rows").over(before), F.lit(0))).join(
+        files.select("file", F.coalesce(F.sum("in_file").over(earlier), F.lit(0)).alias("in_files")), "file")
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    numbered = rows.join(starts.select("file", "block", (F.col("in_blocks") + F.col("in_files")).alias("lead")), ["file", "block"]).withColumn(
+        "n", F.col("lead") + F.row_number().over(inside))
     end = F.lit(True) if limit is None else F.col("n") <= offset + limit
     return numbered.where((F.col("n") > offset) & end).select("sequence", "activity", "n")
 
