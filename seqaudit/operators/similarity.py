@@ -293,22 +293,44 @@ def without_largest(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- set similarity ---------------------------------------------------------------
 
-def summarise(df: DataFrame, tokens: Callable[[Column], Column], threshold: float) -> DataFrame:
-    """Per row: set size, identity digest, sorted token hashes of the prefix, 256-bit bitmap.
-
-    The prefix order is the order of token hashes: no frequency table has to be built
-    or joined, and with exact verification any common order is complete.
-    """
+def summarise(df: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """Per row: set size, identity digest, sorted token hashes, 256-bit bitmap."""
     toks = df.withColumn("tokens", tokens(F.col("payload"))).withColumn("n", F.size("tokens"))
     toks = toks.withColumn("digest", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
     toks = toks.withColumn("hashed", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))))
-    need = F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int")
-    keep = F.least(F.col("n"), F.col("n") - need + 2)
-    toks = toks.withColumn("prefix", F.when(F.col("n") > 0, F.slice("hashed", F.lit(1), keep)).otherwise(
-        F.array().cast("array<bigint>")))
     for word in range(4):
         toks = toks.withColumn(f"w{word}", bitmap_word("hashed", word))
-    return toks.select("id", "payload", "n", "digest", "prefix", "w0", "w1", "w2", "w3")
+    return toks.select("id", "payload", "n", "digest", "hashed", "w0", "w1", "w2", "w3")
+
+
+#: Entries of the frequency table that every task gets (16 bytes each).
+FREQUENT = 200_000
+
+
+def rarest_first(reps: DataFrame, keep: Column, frequent: int = FREQUENT) -> DataFrame:
+    """Add ``prefix``: the ``keep`` rarest of the token hashes, in one order for all rows.
+
+    Tokens are ordered by (frequency, hash). Only the ``frequent`` most frequent shared
+    tokens have a place in the table; all others count as unique, which changes the order
+    but not its being common to all rows, so a prefix filter stays exact.
+    """
+    counts = reps.select(F.explode("hashed").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    top = counts.orderBy(F.desc("held"), "key").limit(frequent).toPandas().sort_values("key")
+    table = reps.sparkSession.sparkContext.broadcast((top["key"].to_numpy("int64"), top["held"].to_numpy("int64")))
+
+    @F.pandas_udf("array<bigint>")
+    def order(hashed: pd.Series, wanted: pd.Series) -> pd.Series:
+        keys, held = table.value
+        sizes = hashed.str.len().to_numpy("int64")
+        flat = np.concatenate([np.asarray(h, "int64") for h in hashed]) if len(hashed) else np.zeros(0, "int64")
+        at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
+        often = np.where(keys[at] == flat, held[at], 1) if len(keys) else np.ones(len(flat), "int64")
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        sorted_ = flat[np.lexsort((flat, often, row))]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        return pd.Series([sorted_[a:a + max(0, k)] for a, k in zip(starts, wanted)])
+
+    return reps.withColumn("prefix", order("hashed", keep))
 
 
 def bitmap_word(hashed: str, word: int) -> Column:
@@ -335,13 +357,15 @@ def overlap_needed(threshold: float, na: Column, nb: Column) -> Column:
 def set_similarity_edges(df: DataFrame, tokens: Callable[[Column], Column], threshold: float,
                          hot: int | None = None) -> DataFrame:
     """Edges spanning the components of ``jaccard >= threshold`` over (id, payload) rows."""
-    table = cut(summarise(df, tokens, threshold))
+    table = cut(summarise(df, tokens))
     reps, stars = collapse(table, "digest")
-    reps = cut(reps)
     words = ["w0", "w1", "w2", "w3"]
     need = F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int")
+    keep_tokens = F.least(F.col("n"), F.col("n") - need + 2)
+    # near-copies meet under their lowest hashes, which a change rarely touches; pairs are sought under the rarest tokens
+    reps = cut(rarest_first(cut(reps), keep_tokens).withColumn("hashed", F.slice("hashed", 1, F.greatest(keep_tokens, F.lit(0)))))
     postings = reps.select("id", "n", *words,
-                           F.explode(F.slice("prefix", F.lit(1), F.col("n") - need + 1)).alias("key"))
+                           F.explode(F.slice("prefix", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)))).alias("key"))
     sizes = bucket_sizes(postings)
     cost = sizes.agg(F.sum(F.col("held") * (F.col("held") - 1) / 2).alias("pairs"), F.sum("held").alias("rows")).first()
     if threshold >= 0.8 and (cost["pairs"] or 0) > PAIRS_PER_POSTING * max(1, cost["rows"] or 0):
@@ -354,13 +378,13 @@ def set_similarity_edges(df: DataFrame, tokens: Callable[[Column], Column], thre
         long_enough = (a("n") >= threshold * b("n") - EPS) & (b("n") >= threshold * a("n") - EPS)
         return long_enough & ((a("n") + b("n") - differing) / 2 >= overlap_needed(threshold, a("n"), b("n")))
 
-    merge = reps.select("id", "n", *words, F.explode(merge_keys("prefix")).alias("key"))
+    merge = reps.select("id", "n", *words, F.explode(merge_keys("hashed")).alias("key"))
     block = Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, tokens, merge)
     return merging_edges(block, hot).select("src", "dst").union(stars)
 
 
 def merge_keys(name: str) -> Column:
-    """Up to five keys of three neighbouring prefix tokens: near-copies share some, other rows hardly any."""
+    """Up to five keys of three neighbouring lowest token hashes: near-copies share some, other rows hardly any."""
     starts = F.filter(F.array(*[F.lit(i) for i in (1, 4, 7, 10, 13)]), lambda i: i + 2 <= F.size(name))
     at = lambda i: F.element_at(name, i)
     return F.transform(starts, lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
