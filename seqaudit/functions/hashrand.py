@@ -6,6 +6,8 @@ partitioning or a re-planned stage gives the same result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from .values import col
@@ -28,3 +30,13 @@ def uniform(*parts) -> Column:
 def pick(size, *parts) -> Column:
     """Uniform index in [0, size)."""
     return draw_int(*parts) % col(size) if not isinstance(size, int) else draw_int(*parts) % F.lit(size)
+
+
+def poisson_steps() -> list[float]:
+    """P(X <= 0), P(X <= 1), … of a Poisson(1) count, up to eight."""
+    return [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(8)]
+
+
+def poisson(u: Column) -> Column:
+    """Poisson(1) count (at most eight) of a uniform number: a bootstrap weight."""
+    return sum((F.when(u > c, 1.0).otherwise(0.0) for c in poisson_steps()), F.lit(0.0))

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seq
-from ..functions.hashrand import uniform
+from ..functions.hashrand import poisson, uniform
 from ..functions.values import MISSING, UNKNOWN, col
 
 Featurize = Callable[[pd.DataFrame], np.ndarray]
@@ -198,16 +198,7 @@ def best_baseline(scores: DataFrame, name_col: str, value_col: str, order_col: s
 
 def poisson_weights(members: int, seed: int, row_id: str, first_plain: bool = False) -> Column:
     """Bootstrap counts per member: Poisson(1) from a hashed uniform, no shuffle and no row index."""
-    cuts, p, total = [], np.exp(-1.0), 0.0
-    for i in range(8):
-        total += p
-        cuts.append(float(total))
-        p /= i + 1
-
-    def count(u: Column) -> Column:
-        return sum((F.when(u > c, 1.0).otherwise(0.0) for c in cuts), F.lit(0.0))
-
-    cells = [F.lit(1.0) if first_plain and m == 0 else count(uniform(F.lit(seed), F.lit(m), row_id)) for m in range(members)]
+    cells = [F.lit(1.0) if first_plain and m == 0 else poisson(uniform(F.lit(seed), F.lit(m), row_id)) for m in range(members)]
     return F.array(*cells)
 
 

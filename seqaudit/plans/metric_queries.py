@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashrand import poisson_steps
 from ..operators import bootstrap as bs, metrics as m
 from ..session import read
 from .catalog import query
@@ -87,8 +88,10 @@ cte("units", """SELECT unit, row_number() OVER (ORDER BY ('0x'||left(md5(unit),1
 
 
 def draws(reps, seed):
-    return f"""draws AS (SELECT rep, pick, count(*) AS w FROM (SELECT rep, {u_int(f"'{seed}'", 'rep', 'slot')} % n AS pick FROM (SELECT max(n) AS n FROM units), range({reps}) r(rep), range((SELECT max(n) FROM units)) s(slot)) GROUP BY rep, pick),
- weights AS (SELECT rep, unit, w FROM draws JOIN units USING (pick))"""
+    """Poisson(1) weight of every (replicate, unit), from the hash that the operator uses."""
+    u = f"{u_int(f"'{seed}'", 'rep', 'unit')}/4294967296.0::double"
+    steps = "+".join(f"(CASE WHEN u>{c!r}::double THEN 1 ELSE 0 END)" for c in poisson_steps())
+    return f"""weights AS (SELECT rep, unit, ({steps})::double AS w FROM (SELECT rep, unit, {u} AS u FROM units, range({reps}) r(rep)) WHERE u>{poisson_steps()[0]!r}::double)"""
 
 
 def r2_by_rep(pred, name):
@@ -102,12 +105,12 @@ def met9(spark, sf):
     return _r(bs.metric_interval(assay(spark, sf), "regression", "target", "prediction", "doc_id", "row_id"))
 
 
-@query("MET9_bootstrap_interval_auroc", with_ctes(f""", {draws(50, 42)}, rows AS (SELECT rep, score, sum(w) FILTER (label=1) AS pw, sum(w) FILTER (label=0) AS nw FROM weights JOIN assay ON unit=doc_id::varchar GROUP BY rep, score),
+@query("MET9_bootstrap_interval_auroc", with_ctes(f""", {draws(200, 42)}, rows AS (SELECT rep, score, sum(w) FILTER (label=1) AS pw, sum(w) FILTER (label=0) AS nw FROM weights JOIN assay ON unit=doc_id::varchar GROUP BY rep, score),
  c AS (SELECT rep, coalesce(pw,0) AS pw, coalesce(nw,0) AS nw, sum(coalesce(nw,0)) OVER (PARTITION BY rep ORDER BY score ROWS UNBOUNDED PRECEDING) AS t FROM rows),
  v AS (SELECT rep, sum(pw*(t-nw/2.0))/(sum(pw)*sum(nw)) AS value FROM c GROUP BY rep)
 SELECT {r6('quantile_cont(value,0.025)')} AS ci_low, {r6('quantile_cont(value,0.975)')} AS ci_high, count(value) AS valid_resamples, 'leakage_cluster' AS bootstrap_unit FROM v""", "units"))
 def met9a(spark, sf):
-    return _r(bs.metric_interval(assay(spark, sf), "classification", "label", "score", "doc_id", "row_id", reps=50))
+    return _r(bs.metric_interval(assay(spark, sf), "classification", "label", "score", "doc_id", "row_id"))
 
 
 @query("MET10_paired_lift", with_ctes(f""", {draws(500, 42)}, {r2_by_rep('prediction', 'a')}, {r2_by_rep('round(4*gc+2.1,6)', 'b')}
