@@ -100,9 +100,11 @@ def duplicate_labels(df: DataFrame, order_col: str, hash_col: str = "sequence_ha
 
 def target_summary(df: DataFrame, value: str = "target_value", group: list[str] = []) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*group).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"),
-        F.percentile(v, 0.5).alias("median"), F.max(v).alias("max"))
+    plain = df.groupBy(*group).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    median = ordered.quantiles(df, value, {"median": 0.5}, group)
+    joined = plain.join(median, group, "left") if group else plain.join(F.broadcast(median), how="left")
+    return joined.select(*group, "count", "mean", "std", "min", "median", "max")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

@@ -21,6 +21,28 @@ def test_bucketed_running_sums_equal_plain_ones(spark):
     assert {r["id"]: r["s"] for r in one} == {r["id"]: r["s"] for r in many}
 
 
+def test_one_value_for_all_rows_is_split(spark):
+    df = spark.createDataFrame([(i, 1.0, "g") for i in range(1000)], "id long, x double, g string").repartition(7)
+    bucketed, n = ordered.with_bucket(df, [F.col("x")], 25)
+    assert n == 40 and max(r["count"] for r in bucketed.groupBy("__bucket").count().collect()) <= 50
+    ranks = ordered.row_number(df, "r", [F.col("x"), F.col("id")], None, [], 25).collect()
+    assert all(r["r"] == r["id"] + 1 for r in ranks)
+
+
+@pytest.mark.parametrize("rows_per_task", [None, 10])
+def test_quantiles_equal_numpy(spark, rows_per_task):
+    rnd = random.Random(4)
+    rows = [("ab"[rnd.random() < 0.3], rnd.choice([rnd.random(), 0.5, None])) for _ in range(200)] + [("c", None), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in ordered.quantiles(df, "v", {"m": 0.5, "q": 0.9}, ["g"], rows_per_task).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for g, r in got.items():
+        held = [v for k, v in rows if k == g and v is not None]
+        assert abs(r["m"] - np.quantile(held, 0.5)) < 1e-12 and abs(r["q"] - np.quantile(held, 0.9)) < 1e-12
+    one = ordered.quantiles(df, "v", {"m": 0.5}).first()
+    assert abs(one["m"] - np.quantile([v for _, v in rows if v is not None], 0.5)) < 1e-12
+
+
 def test_metrics_of_constant_columns_are_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "t double, p double")
     row = m.regression_metrics(df, "t", "p").first()
