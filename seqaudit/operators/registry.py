@@ -43,10 +43,10 @@ def latest_candidates(runs: DataFrame, candidates: DataFrame, limit: int) -> Dat
     return joined.orderBy(F.desc("updated_at"), "run_id", "rank").limit(limit)
 
 
-def reindex(spark: SparkSession, folder: str) -> DataFrame:
+def reindex(spark: SparkSession, folder: str, names: str = "*summary*.json") -> DataFrame:
     """One row per summary file found below a folder, unreadable files marked."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*summary*.json").text(folder)
+        "pathGlobFilter", names).text(folder)
     valid = F.try_parse_json("value").isNotNull() if hasattr(F, "try_parse_json") else F.lit(True)
     return raw.select(F.col("_metadata.file_path").alias("path"), "value", valid.alias("readable"))
 

@@ -258,18 +258,22 @@ def reg3(spark, sf):
     return rg.list_runs(runs(spark, sf), 50).select("run_id", "updated_at")
 
 
-@query("JOIN14_latest_candidates", with_ctes("SELECT run_id, conv_id AS rank FROM reg JOIN conversations ON conv_id=doc_id AND turn=0 ORDER BY updated_at DESC, run_id, rank LIMIT 40", "reg"))
+@query("JOIN14_latest_candidates", with_ctes("SELECT run_id, conv_id*1000+turn AS rank FROM reg JOIN conversations ON conv_id=doc_id ORDER BY updated_at DESC, run_id, rank LIMIT 40", "reg"))
 def join14(spark, sf):
-    c = read(spark, sf, "conversations").where("turn = 0").select(F.concat(F.lit("run"), F.col("conv_id").cast("string")).alias("run_id"), F.col("conv_id").alias("rank"))
+    c = read(spark, sf, "conversations").select(F.concat(F.lit("run"), F.col("conv_id").cast("string")).alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("rank"))
     return rg.latest_candidates(runs(spark, sf), c, 40).select("run_id", "rank")
 
 
-@query("REG4_reindexed_summaries", with_ctes("SELECT count(*) AS files FROM (SELECT DISTINCT project FROM reg)", "reg"))
+@query("REG4_reindexed_summaries", with_ctes("SELECT project, sum(test_rows)::bigint AS test_rows, project<>'src3' AS readable FROM reg GROUP BY project", "reg"))
 def reg4(spark, sf):
     path = _scratch(spark, "summaries")
-    runs(spark, sf).select("project").distinct().withColumn("value", F.to_json(F.struct("project"))).select("value", "project").write.partitionBy("project").text(path)
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return found.agg(F.count(F.lit(1)).alias("files"))
+    sums = runs(spark, sf).groupBy("project").agg(F.sum("test_rows").alias("test_rows"))
+    text = F.to_json(F.struct("project", "test_rows"))
+    text = F.when(F.col("project") == "src3", F.rtrim(text, F.lit("}"))).otherwise(text)  # one file that is no JSON
+    sums.select(text.alias("value"), F.concat("project", F.lit("-summary")).alias("part")).write.partitionBy("part").text(path)
+    found = rg.reindex(spark, path, "*")
+    return found.select(F.regexp_extract("path", "part=(.*)-summary", 1).alias("project"),
+                        F.regexp_extract("value", '"test_rows":([0-9]+)', 1).cast("bigint").alias("test_rows"), "readable")
 
 
 @query("JOIN16_prediction_output_check", """SELECT k, unnest(list_filter([CASE WHEN k::bigint%9=0 THEN 'missing identifier' END, CASE WHEN k::bigint%9<>0 AND k::bigint%10=0 THEN 'duplicate identifier' END, CASE WHEN k::bigint%9<>0 AND k::bigint%13=0 THEN 'non-numeric prediction' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT doc_id::varchar AS k FROM documents)
@@ -318,11 +322,11 @@ def gate12(spark, sf):
 
 # --- streams ----------------------------------------------------------------------
 
-def _stream(spark, df, name):
-    """Write a table as files and read them as a stream, one file per trigger."""
+def _stream(spark, df, name, files=1):
+    """Write a table as two files and read them as a stream, ``files`` per trigger."""
     path = _scratch(spark, name)
     df.repartition(2).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("STR1_streaming_validation", with_ctes("SELECT coalesce(reason,'accepted') AS outcome, count(*) AS rows FROM ingested GROUP BY 1", "ingested"))
@@ -337,12 +341,13 @@ def str1(spark, sf):
     return a.union(b).groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("STR2_streaming_outcomes", m(f"""SELECT DISTINCT round_id, candidate_id, replicate||'/'||measured_value AS replicate, measured_value::double AS measured_value FROM ({BADO}) WHERE candidate_id NOT LIKE 'x%' AND measured_value<>'n.a.' AND measured_at>2"""))
+@query("STR2_streaming_outcomes", m(f"""SELECT round_id, candidate_id, replicate, measured_value::double AS measured_value FROM (SELECT *, row_number() OVER (PARTITION BY round_id, candidate_id, replicate ORDER BY measured_at DESC, measured_value::double DESC) AS newest
+ FROM ({BADO}) WHERE candidate_id NOT LIKE 'x%' AND measured_value<>'n.a.' AND measured_at>2) WHERE newest=1"""))
 def str2(spark, sf):
     from ..streaming import stream
 
-    named = _bad_outcomes(spark, sf).withColumn("replicate", F.concat_ws("/", "replicate", "measured_value"))
-    rows = _stream(spark, named, "outcomes")
+    """Several versions of one replicate arrive; the latest measurement is the current one."""
+    rows = _stream(spark, _bad_outcomes(spark, sf), "outcomes", 2)
     store, bad, ck = (_scratch(spark, n) for n in ("store", "bad", "ck"))
     rounds = selections(spark, sf).select("round_id").distinct().withColumn("selected_at", F.lit(2))
     stream.start_outcome_import(rows, selections(spark, sf), rounds, store, bad, ck).awaitTermination()
@@ -350,22 +355,25 @@ def str2(spark, sf):
     return kept.select("round_id", "candidate_id", "replicate", "measured_value")
 
 
-@query("STR3_streaming_label_conflicts", """WITH c AS (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY md5(text)) SELECT h AS sequence_hash, n-1 AS later_copies FROM c WHERE n>1""")
+@query("STR3_streaming_label_conflicts", """WITH f AS (SELECT md5(text) AS h, arg_min(doc_id%3, doc_id) AS first, count(*) AS n FROM documents GROUP BY 1)
+SELECT md5(text) AS sequence_hash, any_value(n)-1 AS later_copies, count(*) FILTER (doc_id%3<>first) AS conflicts FROM documents JOIN f ON f.h=md5(text) WHERE n>1 GROUP BY 1""")
 def str3(spark, sf):
     from ..streaming import stream
 
-    docs = read(spark, sf, "documents").select(F.md5("text").alias("sequence_hash"), F.col("doc_id").alias("row_id"), (F.col("doc_id") % 3).alias("target"))
+    docs = read(spark, sf, "documents").select(F.md5("text").alias("sequence_hash"), F.col("doc_id").alias("row_id"), (F.col("doc_id") % 3).alias("target"),
+                                             F.lit("2024-01-01").cast("timestamp").alias("ts"))
     out, ck = _scratch(spark, "conflicts"), _scratch(spark, "ck")
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, provider)
     try:
-        q = stream.label_conflicts(_stream(spark, docs, "copies")).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q = stream.label_conflicts(_stream(spark, docs, "copies", 2), "ts", "1 hour", keep_ms=3_600_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema("sequence_hash string, row_id long, target string, conflict boolean").parquet(out).groupBy("sequence_hash").agg(F.count(F.lit(1)).alias("later_copies"))
+    return spark.read.schema("sequence_hash string, row_id long, target string, conflict boolean").parquet(out).groupBy("sequence_hash").agg(
+        F.count(F.lit(1)).alias("later_copies"), F.count_if("conflict").alias("conflicts"))
 
 
 @query("STR3_streaming_distinct", "SELECT md5(text) AS sequence_hash FROM documents GROUP BY 1")
@@ -380,17 +388,16 @@ def str3d(spark, sf):
     return spark.read.parquet(out).select("sequence_hash")
 
 
-@query("STR4_streaming_error_monitor", f"""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, {r6('avg(abs(value-10))', 9)} AS mae, {r6('avg(value-10)', 9)} AS bias FROM events GROUP BY 1,2""")
+@query("STR4_streaming_error_monitor", f"""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, {r6('avg(abs(value-10))', 9)} AS mae, {r6('avg(value-10)', 9)} AS bias FROM events GROUP BY 1,2
+HAVING time_bucket(INTERVAL '1 day', any_value(ts)) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '2 days'""")
 def str4(spark, sf):
     from ..streaming import stream
 
     e = read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     out, ck = _scratch(spark, "windows"), _scratch(spark, "ck")
-    live = stream.error_monitor(_stream(spark, e, "events"), "ts", "event_type", F.col("value") - 10, "1 day", "60 days")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(out)
-
-    q = live.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    live = stream.error_monitor(_stream(spark, e, "events", 2), "ts", "event_type", F.col("value") - 10, "1 day", "2 days")
+    # append: a window is written once, when the watermark has passed it, and its state is released
+    q = live.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
-    return _r(spark.read.parquet(out), "start", "event_type", digits=9)
+    written = spark.read.schema("start timestamp, event_type string, n long, mae double, bias double").parquet(out)
+    return _r(written, "start", "event_type", digits=9)

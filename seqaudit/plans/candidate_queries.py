@@ -58,7 +58,7 @@ def cand5(spark, sf):
 
 @query("CAND6_greedy_diverse_ranking")
 def cand6(spark, sf):
-    return _r(c.greedy_diverse(assay(spark, sf), "source", "row_id", "sequence", "prediction", top_k=16), "pool", "id", "rank")
+    return _r(c.greedy_diverse(assay(spark, sf), "source", "row_id", "sequence", "prediction", top_k=96), "pool", "id", "rank")
 
 
 def _nearest(spark, sf):

@@ -152,12 +152,12 @@ def spl16(spark, sf):
     return out.select("train_id", count("labels", lambda x: x != -100).alias("chosen"), count("masked_ids", lambda x: x == 4).alias("masked"))
 
 
-@query("SPL16_span_masking", with_ctes("SELECT train_id, greatest(1,round(length(sequence)*0.2))::bigint AS masked_at_most, length(sequence) AS n FROM talk_seqs", "talk_seqs"))
+@query("SPL16_span_masking", with_ctes("SELECT train_id, greatest(1,round(length(sequence)*0.2))::bigint AS masked_at_most, length(sequence) AS n, true AS within FROM talk_seqs", "talk_seqs"))
 def spl16s(spark, sf):
     out = cp.mask_spans(_ids(spark, sf), "train_id", "ids", 0.2, 5, 8)
     want = F.greatest(F.lit(1), F.round(F.size("ids") * 0.2)).cast("bigint")
     held = F.size(F.filter("masked_ids", lambda x: x == 4))
-    return out.where(held <= want).select("train_id", want.alias("masked_at_most"), F.size("masked_ids").alias("n"))
+    return out.select("train_id", want.alias("masked_at_most"), F.size("masked_ids").alias("n"), (held <= want).alias("within"))
 
 
 @query("SPL2_desired_sizes", with_ctes("SELECT source, greatest(1,round_even(count(*)*0.15,0))::bigint AS desired FROM constructs GROUP BY source", "constructs"))

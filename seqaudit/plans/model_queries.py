@@ -23,6 +23,13 @@ def _sides(spark, sf, target="target"):
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
+def _validation(spark, sf):
+    """Validation rows, or the training rows where there are none."""
+    df = assay(spark, sf).select("row_id", "sequence", "target").withColumn("split", sp.hash_split(F.sha2("sequence", 256)))
+    val = df.where("split = 'validation'")
+    return df.where("split = 'train'") if val.isEmpty() else val
+
+
 def _baseline(spark, sf, kind):
     train, test = _sides(spark, sf)
     out = ml.linear_baseline(train, test, "sequence", "target", kind, "prediction")
@@ -52,7 +59,7 @@ def ml2c(spark, sf):
 @query("ML3_kmer_random_forest")
 def ml3(spark, sf):
     train, test = _sides(spark, sf)
-    out = ml.forest_baseline(train, test, "sequence", "target", "prediction", trees=20, depth=6)
+    out = ml.forest_baseline(train, test, "sequence", "target", "prediction")
     return out.select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
@@ -81,8 +88,17 @@ def ml5(spark, sf):
 @query("ML6_baseline_predictions")
 def ml6(spark, sf):
     train, test = _sides(spark, sf)
-    out = ml.run_baselines(train, test, "sequence", "target", names=("gc_length_baseline", "kmer_ridge_or_logistic", "kmer4_linear_probe"))
-    return out.select("row_id", *[F.round(n, 5).alias(n) for n in ("gc_length_baseline", "kmer_ridge_or_logistic", "kmer4_linear_probe")])
+    out = ml.run_baselines(train, test, "sequence", "target")
+    return out.select("row_id", *[F.round(n, 5).alias(n) for n in ml.BASELINES])
+
+
+@query("ML6_classification_baselines")
+def ml6c(spark, sf):
+    """All baselines of a two-class task, next to the model's own prediction column."""
+    train, test = _sides(spark, sf)
+    with_model = test.withColumn("prediction", F.lit(0.5))
+    out = ml.run_baselines(train.withColumn("prediction", F.lit(0.5)), with_model, "sequence", "label", "classification")
+    return out.select("row_id", "prediction", *[F.round(n, 5).alias(n) for n in ml.BASELINES])
 
 
 @query("ML7_best_baseline", with_ctes("""SELECT source, name, r2 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r2 DESC, pos) AS rn FROM (
@@ -121,7 +137,9 @@ def ml10(spark, sf):
     scored = ml.predict(test, ["sequence"], build, heads, "raw")
     mean, std = ml.ensemble_mean_std("raw")
     scored = scored.withColumns({"prediction": mean, "std": std})
-    error = ml.calibration_rmse(scored, "prediction", "target")
+    # calibrated on rows that are neither fitted nor scored
+    val = ml.predict(_validation(spark, sf), ["sequence"], build, heads, "raw").withColumn("prediction", mean)
+    error = ml.calibration_rmse(val, "prediction", "target")
     return scored.select("row_id", F.round("prediction", 5).alias("prediction"), F.round(ml.calibrated_std(scored, "std", error), 5).alias("uncertainty"))
 
 
@@ -132,10 +150,11 @@ def _vectors(spark, sf):
 @query("ML11_embedding_ensemble_training")
 def ml11(spark, sf):
     df = _vectors(spark, sf)
-    heads = ml.fit_ensemble(df, ["x"], ml.array_features("x"), "y", "vec_id", members=4, first_plain=True)
+    side = sp.hash_split(F.sha2(F.col("vec_id").cast("string"), 256))
+    heads = ml.fit_ensemble(df.where(side == "train"), ["x"], ml.array_features("x"), "y", "vec_id", members=4, first_plain=True)
     rows = [(i, float(h[0]), [float(v) for v in h[1:]]) for i, h in enumerate(heads)]
     table = spark.createDataFrame(rows, "member int, bias double, weights array<double>")
-    scored = ml.score_embeddings(df, "x", table)
+    scored = ml.score_embeddings(df.where(side != "train"), "x", table)
     return scored.select("vec_id", F.round("prediction", 5).alias("prediction"), F.round("uncertainty", 5).alias("uncertainty"))
 
 

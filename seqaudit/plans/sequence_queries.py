@@ -139,10 +139,13 @@ CODE = "list_reduce(list_transform(range(1,7), lambda i: (instr('ACGT',substr({0
 
 
 @query("SEQ15_kmer_codes", with_ctes(f"""
-SELECT row_id, CASE WHEN regexp_matches(w,'^[ACGT]+$') THEN {CODE.format('w')} ELSE 0 END AS code FROM (
- SELECT row_id, substr({NORM},1,6) AS w, {NORM} AS s FROM raw_assay) WHERE length(s)>=6""", "raw_assay"))
+SELECT row_id, count(*) AS windows, sum(CASE WHEN regexp_matches(w,'^[ACGT]+$') THEN {CODE.format('w')} ELSE 0 END)::bigint AS total FROM (
+ SELECT row_id, unnest(list_transform(range(1,length(s)-4), lambda i: substr(s,i,6))) AS w FROM (SELECT row_id, {NORM} AS s FROM raw_assay) WHERE length(s)>=6) GROUP BY row_id""", "raw_assay"))
 def q_codes(spark, sf):
-    return _raw(spark, sf).where(F.length("s") >= 6).select("row_id", seq.kmer_code(F.substring("s", 1, 6)).alias("code"))
+    """Codes of all 6-mers of every sequence."""
+    long_enough = _raw(spark, sf).where(F.length("s") >= 6)
+    codes = F.transform(F.sequence(F.lit(1), F.length("s") - 5), lambda i: seq.kmer_code(F.substr("s", i, F.lit(6))))
+    return long_enough.select("row_id", F.size(codes).cast("bigint").alias("windows"), F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 @query("SEQ16_base_tokens", with_ctes(f"""

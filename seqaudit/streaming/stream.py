@@ -59,33 +59,48 @@ def distinct_sequences(rows: DataFrame, hash_col: str, time_col: str, delay: str
 
 
 class FirstLabel(StatefulProcessor):
-    """Remembers the first label of a sequence and reports later copies; state expires by processing time."""
+    """Remembers the first label of a sequence and reports later copies until the watermark passes its expiry.
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    Within a chunk the smallest row id comes first; across chunks and batches, arrival decides.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "target string", self.ttl_ms)
+        self.handle = handle
+        self.first = handle.getValueState("first", "target string")
 
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
-            out = []
-            for row_id, target in zip(pdf["row_id"], pdf["target"]):
-                if not self.first.exists():
-                    self.first.update((target,))
-                    continue
-                out.append((key[0], row_id, target, self.first.get()[0] != target))
-            if out:
-                yield pd.DataFrame(out, columns=["sequence_hash", "row_id", "target", "conflict"])
+            pdf = pdf.sort_values("row_id", ignore_index=True)
+            if not self.first.exists():
+                self.first.update((pdf["target"].iloc[0],))
+                self.handle.registerTimer(int(pdf["seen_at"].iloc[0].timestamp() * 1000) + self.keep_ms)
+                pdf = pdf.iloc[1:]
+            if len(pdf):
+                known = self.first.get()[0]
+                same = pdf["target"].isna() if known is None else pdf["target"] == known
+                yield pdf.assign(sequence_hash=key[0], conflict=~same)[["sequence_hash", "row_id", "target", "conflict"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.first.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def label_conflicts(rows: DataFrame, ttl_ms: int = 0) -> DataFrame:
-    """(sequence_hash, row_id, target, conflict) for every later copy of a sequence."""
-    return rows.select("sequence_hash", "row_id", F.col("target").cast("string").alias("target")).groupBy("sequence_hash").transformWithStateInPandas(
-        FirstLabel(ttl_ms), "sequence_hash string, row_id long, target string, conflict boolean", "Append", "None")
+def label_conflicts(rows: DataFrame, time_col: str, delay: str, keep_ms: int) -> DataFrame:
+    """(sequence_hash, row_id, target, conflict) for every later copy of a sequence.
+
+    A first label is kept until the watermark of ``time_col`` is ``keep_ms`` past its row.
+    """
+    if keep_ms <= 0:
+        raise ValueError("the state needs an expiry")
+    narrow = rows.select("sequence_hash", "row_id", F.col("target").cast("string").alias("target"), F.col(time_col).alias("seen_at"))
+    return narrow.withWatermark("seen_at", delay).groupBy("sequence_hash").transformWithStateInPandas(
+        FirstLabel(keep_ms), "sequence_hash string, row_id long, target string, conflict boolean", "Append", "EventTime")
 
 
 def error_monitor(rows: DataFrame, time_col: str, slice_col: str, error: Column, width: str, delay: str) -> DataFrame:
