@@ -178,6 +178,7 @@ class Block:
     sizes: DataFrame | None = None
     derive: Callable[[Column], Column] = lambda c: c
     merge: DataFrame | None = None
+    tally: list[tuple[int, int]] | None = None  # per comparison step: pairs compared, pairs found similar
 
 
 def bucket_sizes(postings: DataFrame) -> DataFrame:
@@ -192,14 +193,19 @@ def verified(block: Block, pairs: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs)
     used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    if pairs.count() <= BROADCAST_ROWS // 2:
+    compared = pairs.count()
+    if compared <= BROADCAST_ROWS // 2:
         used = F.broadcast(used)
     rows = block.sets.join(used, "id", "left_semi").select("id", block.derive(F.col("payload")).alias("payload"))
     rows = cut(rows.repartition(parallelism(pairs.sparkSession), "id"))
     a = rows.select(F.col("id").alias("src"), F.col("payload").alias("pa"))
     b = rows.select(F.col("id").alias("dst"), F.col("payload").alias("pb"))
     scored = pairs.join(a, "src").join(b, "dst").withColumn("similarity", block.score(F.col("pa"), F.col("pb")))
-    return scored.where(F.col("similarity") >= block.threshold - EPS).select("src", "dst", "similarity")
+    found = scored.where(F.col("similarity") >= block.threshold - EPS).select("src", "dst", "similarity")
+    if block.tally is not None:
+        found = cut(found)
+        block.tally.append((compared, found.count()))
+    return found
 
 
 def candidate_pairs(block: Block, left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
@@ -355,7 +361,7 @@ def overlap_needed(threshold: float, na: Column, nb: Column) -> Column:
 
 
 def set_similarity_edges(df: DataFrame, tokens: Callable[[Column], Column], threshold: float,
-                         hot: int | None = None) -> DataFrame:
+                         hot: int | None = None, tally: list[tuple[int, int]] | None = None) -> DataFrame:
     """Edges spanning the components of ``jaccard >= threshold`` over (id, payload) rows."""
     table = cut(summarise(df, tokens))
     reps, stars = collapse(table, "digest")
@@ -379,10 +385,27 @@ def set_similarity_edges(df: DataFrame, tokens: Callable[[Column], Column], thre
         return long_enough & ((a("n") + b("n") - differing) / 2 >= overlap_needed(threshold, a("n"), b("n")))
 
     merge = reps.select("id", "n", *words, F.explode(merge_keys("hashed")).alias("key"))
-    block = Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, tokens, merge)
+    block = Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, tokens, merge, tally)
     return merging_edges(block, hot).select("src", "dst").union(stars)
 
 
+def pair_diagnostics(df: DataFrame, tokens: Callable[[Column], Column], threshold: float) -> DataFrame:
+    """One row: rows, possible pairs, pairs compared, pairs verified, pairs skipped, components.
+
+    Takes (id, payload). Equal sets are one row of the search; a pair is compared only if
+    its rows share a key, pass the size and bitmap bounds and are still in different components.
+    """
+    tally: list[tuple[int, int]] = []
+    edges = cut(set_similarity_edges(df, tokens, threshold, tally=tally))
+    comps = connected_components(df.select("id"), edges)
+    n = df.count()
+    possible, compared, verified = n * (n - 1) // 2, sum(a for a, _ in tally), sum(b for _, b in tally)
+    count = lambda value, name: F.lit(value).cast("bigint").alias(name)
+    return comps.agg(F.countDistinct("component").alias("components")).select(
+        count(n, "rows"), count(possible, "possible_pairs"), count(compared, "candidate_pairs"), count(verified, "verified_pairs"),
+        count(possible - compared, "skipped_pairs"), "components")
+
+
 def merge_keys(name: str) -> Column:
     """Up to five keys of three neighbouring lowest token hashes: near-copies share some, other rows hardly any."""
     starts = F.filter(F.array(*[F.lit(i) for i in (1, 4, 7, 10, 13)]), lambda i: i + 2 <= F.size(name))

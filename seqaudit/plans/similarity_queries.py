@@ -111,6 +111,17 @@ def leakage_safe_split(spark, sf):
     return _split(spark, sf).select(F.col("id").alias("row_id"), "leakage_cluster", "split")
 
 
+@query("SPL1_pair_diagnostics", with_ctes("""SELECT count(*) AS rows, (count(*)*(count(*)-1)//2)::bigint AS possible_pairs, count(DISTINCT component) AS components, true AS few_candidates, true AS adds_up
+ FROM kj_comp""", "kj_comp", recursive=True))
+def pair_diagnostics(spark, sf):
+    """How many pairs the exact search compares: at most 2 % of all."""
+    df = constructs(spark, sf).select(F.col("row_id").alias("id"), F.col("sequence").alias("payload"))
+    d = sim.pair_diagnostics(df, lambda c: seq.kmers(c, K), T)
+    return d.select("rows", "possible_pairs", "components", (F.col("candidate_pairs") <= 0.02 * F.col("possible_pairs")).alias("few_candidates"),
+                    ((F.col("candidate_pairs") + F.col("skipped_pairs") == F.col("possible_pairs")) & (
+                        F.col("verified_pairs") <= F.col("candidate_pairs"))).alias("adds_up"))
+
+
 @query("AGG9_split_sizes", with_ctes(
     "SELECT split, count(*) AS rows, count(DISTINCT leakage_cluster) AS clusters FROM split_rows GROUP BY split", "split_rows", recursive=True))
 def split_sizes(spark, sf):
@@ -226,6 +237,7 @@ def homology_benchmark(spark, sf):
 
 
 digest_ctes("mb", "(SELECT 'test' AS s, sha256(sequence) AS h FROM constructs WHERE ('0x'||left(sha256(sequence),8))::bigint%10=0)", "s", "h", ("constructs",))
+digest_ctes("ts", "(SELECT 'test' AS s, sha256(sequence) AS h FROM split_rows WHERE split='test')", "s", "h", ("split_rows",))
 digest_ctes("cf", "constructs", "doc_id", "sha256(sequence)||'|doc_id='||doc_id", ("constructs",))
 
 
@@ -246,5 +258,18 @@ def sensitivity(spark, sf):
     from .sensitivity import similarity_sensitivity
 
     df = assay(spark, sf).select("row_id", "sequence", "doc_id", "target", "prediction")
-    return similarity_sensitivity(df, "row_id", "sequence", "target", "prediction", ["doc_id"], thresholds=[0.9, 0.95],
-                                  policies=["exact_reverse_complement"])
+    return similarity_sensitivity(df, "row_id", "sequence", "target", "prediction", ["doc_id"])
+
+
+@query("GATE1_prediction_audit", with_ctes(f"""SELECT count(*) AS test_rows, count(DISTINCT leakage_cluster) AS test_clusters, {r6('1-sum(power(prediction-target,2))/(var_pop(target)*count(*))')} AS model_metric,
+ {r6('avg(abs(prediction-target))')} AS mean_abs_error, any_value(digest) AS test_membership_sha256, true AS judged
+ FROM split_rows JOIN assay USING (row_id), ts_digest WHERE split='test'""", "split_rows", "assay", "ts_digest", recursive=True))
+def whole_audit(spark, sf):
+    """Validation, split, baselines, metrics, intervals and gates of the whole assay as one operator."""
+    from .sensitivity import prediction_audit
+
+    df = assay(spark, sf).select("row_id", "sequence", "doc_id", "target", "prediction", "uncertainty")
+    run = prediction_audit(df, "row_id", "sequence", "target", "prediction", "uncertainty", ["doc_id"], "predicted_absolute_error").run
+    six = lambda c: F.round(c, 6).alias(c)
+    return run.select("test_rows", "test_clusters", six("model_metric"), six("mean_abs_error"), "test_membership_sha256",
+                      (F.col("verdict").isNotNull() & F.col("baseline_metric").isNotNull() & F.col("lift_low").isNotNull()).alias("judged"))

@@ -166,3 +166,43 @@ def test_rarest_tokens_order(spark):
 def test_label_state_needs_an_expiry(spark):
     with pytest.raises(ValueError):
         stream.label_conflicts(spark.readStream.format("rate").load(), "timestamp", "1 hour", 0)
+
+
+@pytest.mark.parametrize("n", [100, 500])
+def test_few_pairs_are_compared(spark, n):
+    from seqaudit.functions import seq
+
+    rnd = random.Random(42)
+    rows = [(i, "".join(rnd.choice("ACGT") for _ in range(100))) for i in range(n)]
+    d = sim.pair_diagnostics(spark.createDataFrame(rows, "id long, payload string"), lambda c: seq.kmers(c, 8), 0.9).first()
+    assert d["possible_pairs"] == n * (n - 1) // 2 and d["candidate_pairs"] <= 0.02 * d["possible_pairs"] and d["components"] == n
+
+
+def test_dense_sets_need_about_one_comparison_a_row(spark):
+    shared = [f"shared_{i}" for i in range(100)]
+    rows = [(i, [*shared, f"unique_{i}"]) for i in range(500)]
+    d = sim.pair_diagnostics(spark.createDataFrame(rows, "id long, payload array<string>"), lambda c: c, 0.9).first()
+    assert d["components"] == 1 and 499 <= d["verified_pairs"] <= 600 and d["skipped_pairs"] > 100_000  # a row meets the hub of each of its keys
+
+
+def test_audit_is_one_operator(spark):
+    from seqaudit.operators import gates
+    from seqaudit.plans.sensitivity import prediction_audit
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(150):
+        s = "".join(rnd.choice("ACGT") for _ in range(50))
+        y = s.count("G") / 10 + rnd.random() / 5
+        rows.append((i, s if i % 30 else "not dna", f"g{i // 2}", y, y + rnd.gauss(0, 0.05) if i % 31 else None, abs(rnd.gauss(0, 0.05))))
+    df = spark.createDataFrame(rows, "row_id long, sequence string, grp string, target double, prediction double, u double")
+    done = prediction_audit(df, "row_id", "sequence", "target", "prediction", "u", ["grp"], "predicted_absolute_error",
+                            baselines=("gc_length_baseline", "kmer_ridge_or_logistic"), model_reps=50, lift_reps=50)
+    run = done.run.collect()
+    bad = {i for i in range(150) if i % 30 == 0 or i % 31 == 0}
+    assert len(run) == 1 and {r["row_id"] for r in done.rejected.collect()} == bad
+    assert sum(r["rows"] for r in done.split.collect()) == 150 - len(bad)
+    r = run[0]
+    assert r["model_metric"] > 0.9 > r["baseline_metric"] and r["lift_low"] > 0 and r["leakage_ok"] == (r["test_rows"] >= 20)
+    assert r["evidence"] in gates.EVIDENCE_LABELS and r["verdict"].startswith(gates.EVIDENCE_LABELS[r["evidence"]])
+    assert {b["name"] for b in done.baselines.collect()} == {"gc_length_baseline", "kmer_ridge_or_logistic"}
