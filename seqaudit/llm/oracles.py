@@ -116,6 +116,7 @@ m as (
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
         len(l) as n_lines, len(list_filter(w, lambda x: x in ({_STOP}))) as n_stop,
+        len(list_filter(w, lambda x, i: i > 1 and x = w[i - 1])) as n_stutter,
         len(list_filter(l, lambda x: length(x) < 12)) as n_short,
         len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) as n_bullets,
         len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) as n_ellipses
@@ -123,7 +124,7 @@ m as (
 v as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and n_words >= 20 and word_chars / n_words between 2.0 and 14.0 and n_symbols / n_words <= 0.10
-    and n_stop / n_words >= 0.02 and n_dup_lines / n_lines <= 0.50 and n_short / n_lines <= 0.90
+    and n_stop / n_words >= 0.02 and n_stutter / n_words <= 0.30 and n_dup_lines / n_lines <= 0.50 and n_short / n_lines <= 0.90
     and n_bullets / n_lines <= 0.90 and n_ellipses / n_lines <= 0.30 as kept
 from v""",
 }

@@ -48,6 +48,7 @@ THRESHOLDS = (
     Threshold("mean_word_length", low=2.0, high=14.0),
     Threshold("symbol_ratio", high=0.10),
     Threshold("stop_word_ratio", low=0.02),
+    Threshold("stutter_ratio", high=0.30),
     Threshold("duplicate_line_ratio", high=0.50),
     Threshold("short_line_ratio", high=0.90),
     Threshold("bullet_line_ratio", high=0.90),
@@ -110,6 +111,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size(line).cast("bigint"),
         "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("bigint"),
         "n_stop": _count(word, lambda w: w.isin(STOP_WORDS)),
+        "n_stutter": _count(word, lambda w, i: F.coalesce(w == F.get(word, i - 1), F.lit(False))),
         "n_short_lines": _count(line, lambda x: F.length(x) < 12),
         "n_bullets": _count(line, lambda x: x.rlike(r"^[\x20\x09]*[-*•]")),
         "n_ellipses": _count(line, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$")),
@@ -127,6 +129,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "mean_word_length": _ratio(F.col("word_chars"), F.col("n_words")),
         "symbol_ratio": _ratio(F.col("n_symbols"), F.col("n_words")),
         "stop_word_ratio": _ratio(F.col("n_stop"), F.col("n_words")),
+        "stutter_ratio": _ratio(F.col("n_stutter"), F.col("n_words")),
         "duplicate_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
         "short_line_ratio": _ratio(F.col("n_short_lines"), F.col("n_lines")),
         "bullet_line_ratio": _ratio(F.col("n_bullets"), F.col("n_lines")),
