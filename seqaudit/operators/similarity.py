@@ -432,15 +432,13 @@ def edit_distance_edges(df: DataFrame, threshold: float, hot: int | None = None)
     base = df.withColumn("n", F.length("payload"))
     reps, stars = collapse(base, "payload")
     reps = cut(reps)
-    lengths = [int(r["n"]) for r in reps.select("n").distinct().collect()]
-    spans = edit_spans(lengths, threshold)
-    layout = df.sparkSession.createDataFrame(spans, "n int, other int, seg int, lo int, hi int, width int, own boolean")
-    # one row per (length, partner length, piece): bounded by the lengths that occur, not by rows
-    keyed = reps.join(F.broadcast(layout), "n")
-    starts = F.sequence("lo", "hi")
-    keyed = keyed.select("id", "n", "own", "payload", "other", "seg", "width", F.explode(starts).alias("at"))
-    key = F.xxhash64("other", "seg", F.substring("payload", F.col("at"), F.col("width")))
-    postings = keyed.select("id", "n", "own", key.alias("key"))
+    # spans depend on lengths alone: one row per (length, partner length, piece), joined like any table
+    spans = partner_lengths(reps.select("n").distinct(), threshold).select(
+        "n", "other", F.explode(piece_spans(F.col("n"), F.col("other"), threshold)).alias("p"))
+    keyed = reps.join(spans, "n")
+    starts = keyed.select("id", "n", "payload", "other", "p.*", F.explode(F.sequence("p.lo", "p.hi")).alias("at"))
+    key = F.xxhash64("other", "seg", F.substr("payload", "at", "width"))
+    postings = starts.select("id", "n", "own", key.alias("key"))
 
     def keep(a, b):
         longest = F.greatest(a("n"), b("n"))
@@ -458,40 +456,41 @@ def edit_distance_edges(df: DataFrame, threshold: float, hot: int | None = None)
     return merging_edges(block, hot).select("src", "dst").union(stars)
 
 
-MAX_LAYOUT_ROWS = 2_000_000
+def _allowed(length: Column, threshold: float) -> Column:
+    return F.floor((1 - threshold) * length + EPS).cast("int")
 
 
-def edit_spans(lengths: list[int], threshold: float) -> list[tuple]:
-    """Where each piece of a longer string may start in a string of length n.
+def partner_lengths(lengths: DataFrame, threshold: float) -> DataFrame:
+    """(n, other): for each length the occurring lengths, itself included, of longer strings it may be similar to."""
+    top = lengths.agg(F.max("n")).first()[0] or 0
+    most = F.least(F.floor(F.col("n") / F.lit(threshold)) + 1, F.lit(top)).cast("int")
+    wide = lengths.select("n", F.explode(F.sequence(F.col("n"), F.greatest(most, F.col("n")))).alias("other"))
+    near = wide.where(F.col("other") - _allowed(F.col("other"), threshold) <= F.col("n"))
+    return near.join(lengths.select(F.col("n").alias("other")), "other", "left_semi")
 
-    The table is broadcast, so its size is estimated first; long sequences at a loose
-    threshold are refused.
+
+def piece_spans(n: Column, other: Column, threshold: float) -> Column:
+    """Where each piece of a string of length ``other`` may start in one of length ``n``.
+
+    An array of (seg, width, own, lo, hi); ``own`` spans are the pieces' own places, found
+    only in strings of full length. With more pieces than letters everything shares one key.
     """
-    allowed = lambda n: math.floor((1 - threshold) * n + EPS)
-    if sum((min(allowed(n), len(lengths)) + 1) * (allowed(n) + 1) for n in lengths) > MAX_LAYOUT_ROWS:
-        raise ValueError("these lengths need too many edit-distance pieces; raise the threshold or use k-mer similarity")
-    out = []
-    for longer in lengths:
-        d = math.floor((1 - threshold) * longer + EPS)
-        pieces = d + 1
-        if pieces > longer:
-            out += [(n, longer, 0, 1, 1, 0, n == longer) for n in lengths if longer - d <= n <= longer]
-            continue
-        edges = [longer * i // pieces for i in range(pieces + 1)]
-        for n in lengths:
-            if not longer - d <= n <= longer:
-                continue
-            gap = longer - n
-            for i in range(pieces):
-                at, width = edges[i] + 1, edges[i + 1] - edges[i]
-                if n == longer:
-                    out.append((n, longer, i, at, at, width, True))
-                left, right = i, d - i
-                lo = max(at - left, at - gap - right, 1)
-                hi = min(at + left, at - gap + right, n - width + 1)
-                if lo <= hi:
-                    out.append((n, longer, i, lo, hi, width, False))
-    return out
+    d = _allowed(other, threshold)
+    pieces, gap = d + 1, other - n
+
+    def spans(i: Column) -> Column:
+        edge = F.floor(other * i / pieces).cast("int")
+        width = F.floor(other * (i + 1) / pieces).cast("int") - edge
+        at, right = edge + 1, d - i
+        lo = F.greatest(at - i, at - gap - right, F.lit(1))
+        hi = F.least(at + i, at - gap + right, n - width + 1)
+        span = lambda own, low, high: F.struct(i.alias("seg"), width.alias("width"), F.lit(own).alias("own"), low.alias("lo"), high.alias("hi"))
+        return F.when(n == other, F.array(span(True, at, at), span(False, lo, hi))).otherwise(F.array(span(False, lo, hi)))
+
+    zero = F.lit(0)
+    everything = F.array(F.struct(zero.alias("seg"), zero.alias("width"), (n == other).alias("own"), F.lit(1).alias("lo"), F.lit(1).alias("hi")))
+    cuts = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), d), spans)), lambda s: s["lo"] <= s["hi"])
+    return F.when(pieces > other, everything).otherwise(cuts)
 
 
 # --- other policies ---------------------------------------------------------------
