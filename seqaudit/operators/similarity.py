@@ -591,31 +591,29 @@ def group_overlaps(df: DataFrame, split_col: str, group_cols: list[str]) -> Data
 
 # --- nearest training rows --------------------------------------------------------
 
-def nearest_training(candidates: DataFrame, train: DataFrame, k: int = 8, keep: int = 3, block: int = 2000) -> DataFrame:
+def nearest_training(candidates: DataFrame, train: DataFrame, k: int = 8, keep: int = 3, block: int = 2000,
+                     shard: int = 20_000) -> DataFrame:
     """The ``keep`` nearest training rows of each candidate.
 
     The 3*keep rows with the highest k-mer Jaccard (ties to the smaller training id),
     then ordered by similarity and edit distance. Candidates are (cand_id, cand_seq),
-    training rows (train_id, train_seq). Candidates go out in blocks of known size;
-    the training table is read in place, never shuffled, and each task returns its own
-    best rows per candidate.
+    training rows (train_id, train_seq). Candidates are cut into blocks and training rows
+    into shards; a task sees one block and one shard and returns its best rows per candidate.
     """
-    total = candidates.count()
-    blocks = max(1, math.ceil(total / block))
-    parts = candidates.withColumn("__p", F.pmod(F.xxhash64("cand_id"), F.lit(blocks)))
-    near = None
-    for i in range(blocks):
-        part = parts.where(F.col("__p") == i)
-        rows = part.select("cand_id", seq.kmers("cand_seq", k).alias("t")).collect()
-        if rows:
-            best = _scan_block(train, [r["cand_id"] for r in rows], [r["t"] for r in rows],
-                               candidates.schema["cand_id"].dataType.simpleString(),
-                               train.schema["train_id"].dataType.simpleString(), k, 3 * keep)
-            near = best if near is None else near.union(best)
+    blocks = max(1, math.ceil(candidates.count() / block))
+    shards = max(1, math.ceil(train.count() / shard))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    hashed = lambda name: F.transform(seq.kmers(name, k), lambda t: F.xxhash64(t))
+    left = candidates.select("cand_id", hashed("cand_seq").alias("t"), dealt("cand_id", blocks).alias("b"), every(shards).alias("s"))
+    right = train.select("train_id", hashed("train_seq").alias("t"), every(blocks).alias("b"), dealt("train_id", shards).alias("s"))
+    types = [t.schema[c].dataType.simpleString() for t, c in ((candidates, "cand_id"), (train, "train_id"))]
+    local = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(
+        lambda c, t: _best_overlaps(c, t, 3 * keep), f"cand_id {types[0]}, train_id {types[1]}, similarity double")
     from pyspark.sql import Window
 
     first = Window.partitionBy("cand_id").orderBy(F.desc("similarity"), "train_id")
-    near = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 3 * keep)
+    near = local.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 3 * keep)
     near = near.join(candidates, "cand_id").join(train.select("train_id", "train_seq"), "train_id")
     near = near.withColumn("edit_distance", F.levenshtein("cand_seq", "train_seq"))
     last = Window.partitionBy("cand_id").orderBy(F.desc("similarity"), "edit_distance", "train_id")
@@ -623,35 +621,38 @@ def nearest_training(candidates: DataFrame, train: DataFrame, k: int = 8, keep:
         "cand_id", "neighbor", "train_id", "similarity", "edit_distance")
 
 
-def _scan_block(train, ids, token_sets, cand_type, train_type, k, best):
-    sizes = np.array([len(t) for t in token_sets])
-    index: dict[str, list[int]] = {}
-    for i, tokens in enumerate(token_sets):
-        for t in tokens:
-            index.setdefault(t, []).append(i)
-    lookup = {t: np.array(v) for t, v in index.items()}
-    shared = train.sparkSession.sparkContext.broadcast((ids, sizes, lookup))
-
-    def scan(batches):
-        cand_ids, cand_sizes, where = shared.value
-        kept = [[] for _ in cand_ids]
-        floor = np.full(len(cand_ids), -1.0)
-        for pdf in batches:
-            for train_id, tokens in zip(pdf["train_id"], pdf["t"]):
-                hits = [where[t] for t in tokens if t in where]
-                both = np.bincount(np.concatenate(hits), minlength=len(cand_ids)) if hits else np.zeros(len(cand_ids))
-                union = cand_sizes + len(tokens) - both
-                sim = np.where(union > 0, both / np.maximum(union, 1), 1.0)
-                for i in np.flatnonzero(sim >= floor):
-                    kept[i].append((-sim[i], train_id))
-                    if len(kept[i]) >= 4 * best:
-                        kept[i] = sorted(kept[i])[:best]
-                        floor[i] = -kept[i][-1][0]
-        rows = [(cand_ids[i], t, -s) for i, lst in enumerate(kept) for s, t in sorted(lst)[:best]]
-        yield pd.DataFrame(rows, columns=["cand_id", "train_id", "similarity"])
-
-    return train.select("train_id", seq.kmers("train_seq", k).alias("t")).mapInPandas(
-        scan, f"cand_id {cand_type}, train_id {train_type}, similarity double")
+def _best_overlaps(cands: pd.DataFrame, train: pd.DataFrame, best: int, chunk: int = 500) -> pd.DataFrame:
+    """The ``best`` training rows per candidate by Jaccard of their token sets, ties to the smaller id."""
+    columns = ["cand_id", "train_id", "similarity"]
+    if not len(cands) or not len(train):
+        return pd.DataFrame(columns=columns)
+    train = train.sort_values("train_id", ignore_index=True)
+    sizes = cands["t"].str.len().to_numpy("int64")
+    tokens = np.concatenate(cands["t"].to_list()).astype("int64")
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(cands)), sizes)[order]
+    kept_sim, kept_row = [], []
+    for at in range(0, len(train), chunk):
+        part = train["t"].iloc[at:at + chunk]
+        own = part.str.len().to_numpy("int64")
+        flat = np.concatenate(part.to_list()).astype("int64")
+        low, high = np.searchsorted(tokens, flat, "left"), np.searchsorted(tokens, flat, "right")
+        hits = high - low
+        # every (training token, candidate posting) pair of the chunk, as flat cell numbers
+        posting = np.arange(hits.sum()) + np.repeat(low - np.cumsum(hits) + hits, hits)
+        cell = np.repeat(np.repeat(np.arange(len(part)), own), hits) * len(cands) + owner[posting]
+        both = np.bincount(cell, minlength=len(part) * len(cands)).reshape(len(part), len(cands))
+        union = own[:, None] + sizes[None, :] - both
+        sim = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+        top = np.argsort(-sim, axis=0, kind="stable")[:best]
+        kept_sim.append(np.take_along_axis(sim, top, axis=0))
+        kept_row.append(top + at)
+    sim, row = np.concatenate(kept_sim), np.concatenate(kept_row)
+    top = np.argsort(-sim, axis=0, kind="stable")[:best]
+    sim, row = np.take_along_axis(sim, top, axis=0), np.take_along_axis(row, top, axis=0)
+    return pd.DataFrame({
+        "cand_id": np.repeat(cands["cand_id"].to_numpy(), sim.shape[0]), "train_id": train["train_id"].to_numpy()[row.T.ravel()],
+        "similarity": sim.T.ravel()})[columns]
 
 
 def nearest_cosine(df: DataFrame, id_col: str, vector_col: str, block: int = 1024) -> DataFrame:
