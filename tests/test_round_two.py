@@ -206,3 +206,22 @@ def test_audit_is_one_operator(spark):
     assert r["model_metric"] > r["baseline_metric"] > 0.5 and r["lift_low"] is not None and r["leakage_ok"] == (r["test_rows"] >= 20)
     assert r["evidence"] in gates.EVIDENCE_LABELS and r["verdict"].startswith(gates.EVIDENCE_LABELS[r["evidence"]])
     assert {b["name"] for b in done.baselines.collect()} == {"gc_length_baseline", "kmer_ridge_or_logistic"}
+
+
+def test_farthest_first_equals_the_plain_loop(spark):
+    from seqaudit.operators import candidates
+
+    rnd = random.Random(6)
+    rows = [(p, "".join(rnd.choice("ACGT") for _ in range(12)), "A" * 12) for p in range(3) for _ in range((40, 25, 3)[p])]
+    far = lambda a, b: sum(x != y for x, y in zip(a, b)) / len(a)
+    want = {}
+    for p in range(3):
+        pool, picks = sorted({s for q, s, _ in rows if q == p}), []
+        if len(pool) <= 5:
+            picks = sorted(pool, reverse=True)
+        while len(picks) < min(5, len(pool)):
+            rest = [s for s in pool if s not in picks]
+            picks.append(max(rest, key=lambda s: (min([far(s, x) for x in picks], default=np.inf), far(s, "A" * 12), s)))
+        want |= {(p, i + 1): s for i, s in enumerate(picks)}
+    got = candidates.farthest_first(spark.createDataFrame(rows, "p long, s string, base string"), "p", "s", "base", 5).collect()
+    assert {(r["pool"], r["pick"]): r["sequence"] for r in got} == want
