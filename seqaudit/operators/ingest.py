@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seq
 from ..functions.values import MISSING, class_label, first_non_blank, fixed, is_missing, non_blank, parse_float
+from ..functions.wording import SAYS
 from . import ordered
 
 
@@ -137,13 +138,12 @@ def audit_warnings(validated: DataFrame, columns: list[str], low_n: int = 200) -
     ok = validated.where("reason IS NULL")
     rows = ok.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < low_n).select(
         F.lit("rows").alias("subject"),
-        F.concat(F.lit("DO NOT TRUST: only "), F.col("n").cast("string"), F.lit(
-            " labeled rows passed validation; use this as a data audit or pilot benchmark until validation "
-            "performance is strong.")).alias("warning"))
+        F.concat(F.lit(SAYS["do_not_trust_only"]), F.col("n").cast("string"), F.lit(
+            SAYS["labeled_rows_passed_validation_use"])).alias("warning"))
     stats = balance_summary(group_balance(ok, columns))
-    few = F.concat(F.lit("Group column '"), "column", F.lit("' has fewer than 2 groups after validation."))
-    lop = F.concat(F.lit("Group column '"), "column", F.lit("' is imbalanced; largest group contains "),
-                   fixed(F.col("largest_fraction") * 100, 1), F.lit("% of accepted rows."))
+    few = F.concat(F.lit(SAYS["group_column"]), "column", F.lit(SAYS["has_fewer_than_2_groups"]))
+    lop = F.concat(F.lit(SAYS["group_column"]), "column", F.lit(SAYS["is_imbalanced_largest_group_contains"]),
+                   fixed(F.col("largest_fraction") * 100, 1), F.lit(SAYS["of_accepted_rows"]))
     text = F.when(F.col("num_groups") < 2, few).when(F.col("largest_fraction") >= 0.80, lop)
     return rows.union(stats.select(F.col("column").alias("subject"), text.alias("warning")).where("warning IS NOT NULL"))
 

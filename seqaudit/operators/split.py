@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seq
 from ..functions.values import is_missing
+from ..functions.wording import SAYS
 from ..session import cut
 from . import ordered
 from .similarity import leakage_components
@@ -107,11 +108,10 @@ def split_warnings(sizes: DataFrame, val_fraction: float = 0.15, test_fraction:
         F.when((F.col("val") == 0) & F.lit(val_fraction > 0), "validation"),
         F.when((F.col("test") == 0) & F.lit(test_fraction > 0), "test")))
     texts = F.array_compact(F.array(
-        F.when(F.col("clusters") < 3, "DO NOT TRUST: fewer than 3 leakage-safe clusters are available; "
-                                      "validation/test splits may be empty."),
+        F.when(F.col("clusters") < 3, SAYS["do_not_trust_fewer_than"]),
         F.when(F.size(empty) > 0, F.concat(
-            F.lit("DO NOT TRUST: requested leakage-safe "), F.array_join(empty, " and "),
-            F.lit(" split is empty; collect more independent groups.")))))
+            F.lit(SAYS["do_not_trust_requested_leakage"]), F.array_join(empty, " and "),
+            F.lit(SAYS["split_is_empty_collect_more"])))))
     return one.select(F.explode(texts).alias("warning"))
 
 

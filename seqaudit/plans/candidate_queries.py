@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..operators import candidates as c, models as ml, ordered, plates, similarity as sim
+from ..operators import candidates as c, ordered, plates, similarity as sim
 from .catalog import query
 from .ingest_queries import _r
 from .views import RC, assay, benchmark_seqs, r6, talk_seqs, with_ctes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq, values as v
-from ..operators import ingest, ordered
+from ..operators import ingest
 from ..session import read
 from .catalog import query
 from .views import RC, assay, r6, raw_assay, sql_float, sql_missing, with_ctes
