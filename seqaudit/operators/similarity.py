@@ -578,6 +578,31 @@ def spanning_components(df: DataFrame, id_col: str, sequence_col: str, split_col
     ).where("train_rows > 0 and test_rows > 0")
 
 
+def spanning_examples(df: DataFrame, id_col: str, sequence_col: str, split_col: str, policy: str,
+                      threshold: float, k: int = 8) -> DataFrame:
+    """(component, train_id, test_id, similarity): one proving pair for each component with train and test rows.
+
+    The edges that span a mixed component hold at least one from a train row to a test row,
+    and every such edge is a verified pair; the smallest is shown.
+    """
+    sides = df.where(F.col(split_col).isin("train", "test")).select(
+        F.col(id_col).alias("id"), F.col(sequence_col).alias("s"), F.col(split_col).alias("side"))
+    edges = similarity_edges(sides, "id", "s", policy, threshold, k)
+    if edges is None:
+        raise ValueError("this policy compares no sequences")
+    edges = cut(edges)
+    comps = connected_components(sides.select("id"), edges)
+    end = lambda name: sides.select(F.col("id").alias(name), F.col("s").alias(f"s_{name}"), F.col("side").alias(f"side_{name}"))
+    crossing = edges.join(end("src"), "src").join(end("dst"), "dst").where("side_src <> side_dst")
+    crossing = crossing.join(comps.withColumnRenamed("id", "src"), "src")
+    first = crossing.groupBy("component").agg(F.min(F.struct("src", "dst", "s_src", "s_dst", "side_src")).alias("e"))
+    train = F.col("e.side_src") == "train"
+    return first.select(
+        "component", F.when(train, F.col("e.src")).otherwise(F.col("e.dst")).alias("train_id"),
+        F.when(train, F.col("e.dst")).otherwise(F.col("e.src")).alias("test_id"),
+        pair_similarity(F.col("e.s_src"), F.col("e.s_dst"), policy, k).alias("similarity"))
+
+
 def group_overlaps(df: DataFrame, split_col: str, group_cols: list[str]) -> DataFrame:
     """Group values present in both train and test; a blank value counts as a value here."""
     out = None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..operators import components as comp, similarity as sim, split as sp
-from ..session import read
+from ..session import cut, read
 from .catalog import query
 from .views import RC, assay, benchmark_seqs, constructs, cte, neighbors, r6, with_ctes
 
@@ -182,6 +182,19 @@ def cross_split(spark, sf):
     return sim.spanning_components(_sides(spark, sf), "row_id", "sequence", "split", "canonical_kmer_jaccard", T, K)
 
 
+@query("JOIN10_cross_split_examples", with_ctes("""SELECT component, true AS proved FROM xs_comp JOIN sides USING (row_id)
+ GROUP BY component HAVING count(*) FILTER (split='train')>0 AND count(*) FILTER (split='test')>0""", "xs_comp", recursive=True))
+def cross_split_examples(spark, sf):
+    """One proving pair per mixed component; its sides and its similarity are checked against the rows."""
+    rows = cut(_sides(spark, sf).select("row_id", "sequence", "split"))
+    found = sim.spanning_examples(rows, "row_id", "sequence", "split", "canonical_kmer_jaccard", T, K)
+    a, b = (rows.select(F.col("row_id").alias(f"{s}_id"), F.col("split").alias(f"{s}_split"), F.col("sequence").alias(f"{s}_seq")) for s in ("train", "test"))
+    checked = found.join(a, "train_id").join(b, "test_id")
+    again = sim.jaccard(seq.kmers("train_seq", K), seq.kmers("test_seq", K))
+    return checked.select("component", ((F.col("train_split") == "train") & (F.col("test_split") == "test") & (
+        F.col("similarity") >= T - 1e-9) & (F.abs(again - F.col("similarity")) < 1e-12)).alias("proved"))
+
+
 @query("JOIN10_cross_split_groups", with_ctes("""SELECT 'source' AS group_col, source AS value FROM sides GROUP BY source HAVING count(*) FILTER (split='train')>0 AND count(*) FILTER (split='test')>0""", "sides"))
 def cross_groups(spark, sf):
     return sim.group_overlaps(_sides(spark, sf), "split", ["source"])
