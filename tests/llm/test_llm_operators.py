@@ -284,6 +284,10 @@ def brute_overlap(text, item):
         return False
     if len(b) < spaced_seeds.SPAN:
         return any(d[i:i + len(b)] == b for i in range(len(d)))
+    # 11 agreeing words of 13 leave a run of four: without a common one there is nothing to try
+    runs = lambda w: {tuple(w[i:i + 4]) for i in range(len(w) - 3)}
+    if not runs(d) & runs(b):
+        return False
     return any(sum(d[i + k] == b[j + k] for k in range(13)) >= 11 for i in range(len(d) - 12) for j in range(len(b) - 12))
 
 
