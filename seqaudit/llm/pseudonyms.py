@@ -12,7 +12,9 @@ day number, hence the same day afterwards.
 
 Defined results. A null text stays null; a text without a valid value is returned
 unchanged, byte for byte. Values that fail validation (a 16-digit number without a Luhn
-check, a 31st of February) are no personal data and stay. Whole texts are read; long runs
+check, a 31st of February) are no personal data and stay. Cards and accounts are tried at
+every group of a run of digits, so neighbouring numbers do not hide them: printed groupings
+first, else the longest; accounts have their country's length. Whole texts are read; long runs
 cost linear time. Rows are independent: repeated rows, ties and empty tables need no
 rule. ``pseudonymise`` keeps all columns of the table and adds none unless asked.
 """
@@ -36,15 +38,24 @@ _DAYS = (datetime.date(2100, 1, 1) - _FIRST_DAY).days
 _PATTERN = re.compile(
     r"(?P<mail>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<aws>(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?<=[=:\"' ])(?<![A-Za-z0-9])[0-9a-f]{18,64}(?![A-Za-z0-9]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<secret>(?<=[=:\"' ])(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{18,64}(?![A-Za-z0-9]))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3}))"  # the head; ``_account`` finds the end
     r"|(?P<date>(?<![0-9.\-/])(?:[0-9]{4}([-/.])[0-9]{2}\6[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\7[0-9]{4})(?![0-9\-/]|\.[0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
     r"|(?P<phone>(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))"
 )
+_RUN = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])")  # groups of digits that may hold cards
 _HINT = re.compile(r"[0-9@]")
+#: Group sizes in which cards are printed; a single group may have any card length.
+_PRINTED = frozenset(((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 5)))
+CARD_LEAST, CARD_MOST = 13, 19
+#: Account lengths by country (fixed values of the registry); others may end at any group.
+ACCOUNT_LENGTHS = {c: int(n) for n, names in {
+    "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU XK MN", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM TL SO", "24": "AD CZ ES MD PK RO SA SE SK TN VG",
+    "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV",
+    "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for c in names.split()}
 
 
 def luhn_digit(payload: str) -> int:
@@ -56,6 +67,10 @@ def luhn_digit(payload: str) -> int:
     return -total % 10
 
 
+def _is_card(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
+
+
 class Feistel:
     """Keyed bijections of [0, size), one per tweak."""
 
@@ -100,17 +115,93 @@ class Pseudonyms:
         """The text with pseudonyms, and how many values were replaced."""
         if text is None or not _HINT.search(text):
             return text, 0
-        count = 0
-
-        def swap(m: re.Match) -> str:
-            nonlocal count
-            new = self.value(m.lastgroup, m.group())
-            if new is None:
-                return m.group()
-            count += 1
-            return new
-
-        return _PATTERN.sub(swap, text), count
+        out: list[str] = []
+        at = count = 0
+        cards = self._cards(text)
+        card, m = next(cards, None), _PATTERN.search(text)
+        while card or m:
+            # a card precedes a phone number that it overlaps, all else goes by its start
+            if card and (not m or card[0] < m.start() or (m.lastgroup == "phone" and card[0] < m.end())):
+                start, end, new = card
+            else:
+                start, end = m.span()
+                if m.lastgroup == "iban":
+                    end, new = self._account(text, start) or (end, None)
+                else:
+                    new = self.value(m.lastgroup, m.group())
+            if new is not None:
+                out += text[at:start], new
+                at, count = end, count + 1
+            while card and card[0] < at:
+                card = next(cards, None)
+            if m and m.start() < end:
+                m = _PATTERN.search(text, end)
+        return "".join([*out, text[at:]]), count
+
+    def _cards(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, pseudonym) of the cards in ``text``, in order."""
+        for run in _RUN.finditer(text):
+            groups = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer("[0-9]+", run.group())]
+            others = [m.span() for m in _PATTERN.finditer(text, run.start(), run.end())
+                      if m.lastgroup in ("date", "ssn") and self.value(m.lastgroup, m.group()) is not None]
+            yield from self._cards_of(text, groups, others)
+
+    def _cards_of(self, text: str, groups: list[tuple[int, int]], others: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+        """Cards among neighbouring groups: printed forms first, then any groups of a card's length, the longest first.
+
+        ``others`` are dates and security numbers, which only a printed form may overlap.
+        """
+        tried: list[tuple[bool, int, int, int]] = []
+        for a in range(len(groups)):
+            digits, b = 0, a
+            while b < len(groups) and digits + groups[b][1] - groups[b][0] <= CARD_MOST:
+                digits, b = digits + groups[b][1] - groups[b][0], b + 1
+                if digits >= CARD_LEAST:
+                    printed = b - a == 1 or tuple(y - x for x, y in groups[a:b]) in _PRINTED
+                    tried.append((not printed, a, -digits, b))
+        taken, firm, at = [False] * len(groups), [False] * len(groups), 0
+        for start, end in others:
+            while at < len(groups) and groups[at][0] < end:
+                firm[at] = groups[at][1] > start
+                at += 1
+        found = []
+        before: list[list[tuple[int, int]]] = [[] for _ in groups]  # failed tries over each group
+        for loose, a, _, b in sorted(tried):
+            start, end = groups[a][0], groups[b - 1][1]
+            if any(taken[a:b]) or (loose and any(firm[a:b])):
+                continue
+            failed = {f for k in range(a, b) for f in before[k]}
+
+            def still(digits: str, start: int = start, end: int = end, failed: set[tuple[int, int]] = failed) -> bool:
+                """What failed before this value was tried fails with the pseudonym too, else it could not be restored."""
+                new = _digits_back(text[start:end], digits)
+                return not any(_is_card(re.sub("[ -]", "", text[x:min(y, start)] + new[max(0, x - start):max(0, y - start)] + text[max(x, end):y]))
+                               for x, y in failed)
+
+            if (new := self._card(text[start:end], still if failed else None)) is not None:
+                taken[a:b] = [True] * (b - a)
+                found.append((start, end, new))
+            else:
+                for k in range(a, b):
+                    before[k].append((start, end))
+        yield from sorted(found)
+
+    def _account(self, text: str, start: int) -> tuple[int, str] | None:
+        """(end, pseudonym) of the account number that starts here: the length of its country, else the longest that checks."""
+        ends, n, at = [], 0, start
+        while n < 34:
+            if n and n % 4 == 0 and text[at:at + 1] == " ":
+                at += 1
+            if not ("A" <= text[at:at + 1] <= "Z" or "0" <= text[at:at + 1] <= "9"):
+                break
+            n, at = n + 1, at + 1
+            if n >= 15 and not re.match("[A-Za-z0-9]", text[at:at + 1]):
+                ends.append((n, at))
+        fixed = ACCOUNT_LENGTHS.get(text[start:start + 2])
+        for n, end in reversed(ends):
+            if (fixed is None or n == fixed) and (new := self.value("iban", text[start:end])) is not None:
+                return end, new
+        return None
 
     def _value(self, kind: str, found: str) -> str | None:
         return getattr(self, f"_{kind}")(found)
@@ -207,11 +298,12 @@ class Pseudonyms:
         digits = found.replace("-", "")
         return _digits_back(found, self._number(digits, "social", good)) if good(digits) else None
 
-    def _card(self, found: str) -> str | None:
+    def _card(self, found: str, still: Callable[[str], bool] | None = None) -> str | None:
         digits = re.sub(r"[ -]", "", found)
-        if luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
+        if not _is_card(digits):
             return None
-        body = self._number(digits[:-1], "card", lambda d: len(set(d + str(luhn_digit(d)))) > 1)
+        whole = lambda d: d + str(luhn_digit(d))
+        body = self._number(digits[:-1], "card", lambda d: _is_card(whole(d)) and (still is None or still(whole(d))))
         return _digits_back(found, body + str(luhn_digit(body)))
 
     def _phone(self, found: str) -> str:
