@@ -7,8 +7,10 @@ within its own format. A Feistel network over the smallest even number of bits t
 the format's domain is walked in cycles until it lands on a valid value, so the map is a
 bijection: equal values stay linked across documents and ``restore`` undoes it with the
 key. Separators, letter case, check digits, country codes and mail domains are kept, so a
-pseudonym passes the same validation as its original. A date in any notation is the same
-day number, hence the same day afterwards.
+pseudonym passes the same validation as its original. A date in any notation of full
+width is the same day number, hence the same day afterwards; dates with one-digit fields or
+month names (English, German, French, Spanish) keep their digits and language, hence are
+linked only within their form.
 
 Defined results. A null text stays null; a text without a valid value is returned
 unchanged, byte for byte. Values that fail validation (a 16-digit number without a Luhn
@@ -26,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,21 +38,39 @@ ROUNDS = 10
 _FIRST_DAY = datetime.date(1900, 1, 1)
 _DAYS = (datetime.date(2100, 1, 1) - _FIRST_DAY).days
 
+#: Month names by style; a name belongs to the first style that has it.
+_MONTHS = tuple(tuple(names.split()) for names in (
+    "january february march april may june july august september october november december",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "jan feb mar apr may jun jul aug sep oct nov dec"))
+_STYLE: dict[str, int] = {}
+for _n, _names in enumerate(_MONTHS):
+    for _name in _names:
+        _STYLE.setdefault(_name, _n)
+_NAME = "(?i:" + "|".join(sorted(_STYLE, key=lambda x: (-len(x), x))) + ")"
+#: Country codes of one and two digits; all others have three.
+_CODE = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
+
 _PATTERN = re.compile(
     r"(?P<mail>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<aws>(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?<=[=:\"' ])(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{18,64}(?![A-Za-z0-9]))"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{18,64}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3}))"  # the head; ``_account`` finds the end
-    r"|(?P<date>(?<![0-9.\-/])(?:[0-9]{4}([-/.])[0-9]{2}\6[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\7[0-9]{4})(?![0-9\-/]|\.[0-9]))"
+    r"|(?P<date>(?<![0-9.\-/])(?:[0-9]{4}([-/.])[0-9]{2}\6[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\7[0-9]{4})(?![0-9\-/]|\.[0-9]))"
+    rf"|(?P<named>(?<![0-9.\-/])[0-9]{{1,2}}(?:\.? | de ){_NAME},?(?: | de )[0-9]{{4}}(?![0-9])|(?<!\w){_NAME} [0-9]{{1,2}},? [0-9]{{4}}(?![0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<phone>(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))"
+    r"|(?P<phone>(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?<![0-9])(?:\([0-9]{3}\)|\(?[0-9]{3}\)?[ .-])[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[1-9][0-9]{0,14}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{1,12}|[ .-][0-9]{1,12})*(?![0-9]))"
 )
 _RUN = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])")  # groups of digits that may hold cards
 _HINT = re.compile(r"[0-9@]")
 #: Group sizes in which cards are printed; a single group may have any card length.
 _PRINTED = frozenset(((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 5)))
 CARD_LEAST, CARD_MOST = 13, 19
+_DOUBLED = dict(zip("0123456789", (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)))
 #: Account lengths by country (fixed values of the registry); others may end at any group.
 ACCOUNT_LENGTHS = {c: int(n) for n, names in {
     "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU XK MN", "21": "CH HR LI LV",
@@ -121,7 +142,7 @@ class Pseudonyms:
         card, m = next(cards, None), _PATTERN.search(text)
         while card or m:
             # a card precedes a phone number that it overlaps, all else goes by its start
-            if card and (not m or card[0] < m.start() or (m.lastgroup == "phone" and card[0] < m.end())):
+            if card and (not m or card[0] < m.start() or (m.lastgroup == "phone" and m.group()[0] != "+" and card[0] < m.end())):
                 start, end, new = card
             else:
                 start, end = m.span()
@@ -142,43 +163,49 @@ class Pseudonyms:
         """(start, end, pseudonym) of the cards in ``text``, in order."""
         for run in _RUN.finditer(text):
             groups = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer("[0-9]+", run.group())]
-            others = [m.span() for m in _PATTERN.finditer(text, run.start(), run.end())
-                      if m.lastgroup in ("date", "ssn") and self.value(m.lastgroup, m.group()) is not None]
+            others = [m.span() for m in _PATTERN.finditer(text, max(0, run.start() - 1), run.end())
+                      if (m.lastgroup in ("date", "ssn") or m.group()[0] == "+") and self.value(m.lastgroup, m.group()) is not None]
             yield from self._cards_of(text, groups, others)
 
     def _cards_of(self, text: str, groups: list[tuple[int, int]], others: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
         """Cards among neighbouring groups: printed forms first, then any groups of a card's length, the longest first.
 
-        ``others`` are dates and security numbers, which only a printed form may overlap.
+        ``others`` are dates, security numbers and international phone numbers, which only a printed form may overlap.
         """
         tried: list[tuple[bool, int, int, int]] = []
         for a in range(len(groups)):
-            digits, b = 0, a
-            while b < len(groups) and digits + groups[b][1] - groups[b][0] <= CARD_MOST:
-                digits, b = digits + groups[b][1] - groups[b][0], b + 1
-                if digits >= CARD_LEAST:
+            n, b = 0, a
+            while b < len(groups) and n + groups[b][1] - groups[b][0] <= CARD_MOST:
+                n, b = n + groups[b][1] - groups[b][0], b + 1
+                if n >= CARD_LEAST:
                     printed = b - a == 1 or tuple(y - x for x, y in groups[a:b]) in _PRINTED
-                    tried.append((not printed, a, -digits, b))
+                    tried.append((not printed, a, -n, b))
         taken, firm, at = [False] * len(groups), [False] * len(groups), 0
         for start, end in others:
             while at < len(groups) and groups[at][0] < end:
                 firm[at] = groups[at][1] > start
                 at += 1
         found = []
+        digits = "".join(text[x:y] for x, y in groups)
+        offset = [0, *accumulate(y - x for x, y in groups)]
+        # Luhn sums of all leading digits, for values that end before an even or an odd place
+        sums = [[0, *accumulate(_DOUBLED[c] if k % 2 == end else int(c) for k, c in enumerate(digits))] for end in (0, 1)]
         before: list[list[tuple[int, int]]] = [[] for _ in groups]  # failed tries over each group
         for loose, a, _, b in sorted(tried):
             start, end = groups[a][0], groups[b - 1][1]
             if any(taken[a:b]) or (loose and any(firm[a:b])):
                 continue
-            failed = {f for k in range(a, b) for f in before[k]}
+            x, y = offset[a], offset[b]
+            checks = (sums[y % 2][y] - sums[y % 2][x]) % 10 == 0 and _is_card(digits[x:y])
+            failed = {f for k in range(a, b) for f in before[k]} if checks else set()
 
-            def still(digits: str, start: int = start, end: int = end, failed: set[tuple[int, int]] = failed) -> bool:
+            def still(value: str, start: int = start, end: int = end, failed: set[tuple[int, int]] = failed) -> bool:
                 """What failed before this value was tried fails with the pseudonym too, else it could not be restored."""
-                new = _digits_back(text[start:end], digits)
+                new = _digits_back(text[start:end], value)
                 return not any(_is_card(re.sub("[ -]", "", text[x:min(y, start)] + new[max(0, x - start):max(0, y - start)] + text[max(x, end):y]))
                                for x, y in failed)
 
-            if (new := self._card(text[start:end], still if failed else None)) is not None:
+            if checks and (new := self._card(text[start:end], still if failed else None)) is not None:
                 taken[a:b] = [True] * (b - a)
                 found.append((start, end, new))
             else:
@@ -273,18 +300,50 @@ class Pseudonyms:
         mark = found[len(parts[0])]
         first = len(parts[0]) == 4
         year = int(parts[0] if first else parts[2])
-        # two-digit fields: month first with slashes, day first otherwise
+        # month first with slashes unless it cannot be one, day first otherwise
+        turned = mark == "/" and not first and int(parts[0]) > 12
+        american = mark == "/" and not turned
         month, day = (int(parts[1]), int(parts[2])) if first else (
-            (int(parts[0]), int(parts[1])) if mark == "/" else (int(parts[1]), int(parts[0])))
+            (int(parts[0]), int(parts[1])) if american else (int(parts[1]), int(parts[0])))
         try:
             at = (datetime.date(year, month, day) - _FIRST_DAY).days
         except ValueError:
             return None
         if not 0 <= at < _DAYS:
             return None
-        new = _FIRST_DAY + datetime.timedelta(days=self.feistel.permute(at, _DAYS, "day", self.back))
-        y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-        return mark.join([y, m, d] if first else [m, d, y] if mark == "/" else [d, m, y])
+        width = [len(x) for x in parts]  # fields without a leading zero keep their width, so that they can be restored
+        wide = (2, 2) if first else (width[0], width[1]) if american else (width[1], width[0])
+        like = _FIRST_DAY + datetime.timedelta(days=at)
+        shape = lambda t: wide == (2, 2) or all(
+            (x < 10) == (z < 10) for x, z in ((t.month, like.month), (t.day, like.day)))
+        new = self._day(at, lambda t: shape(t) and (not turned or t.day > 12))
+        y, m, d = f"{new.year:04d}", f"{new.month:0{wide[0]}d}", f"{new.day:0{wide[1]}d}"
+        return mark.join([y, m, d] if first else [m, d, y] if american else [d, m, y])
+
+    def _day(self, at: int, valid: Callable[[datetime.date], bool]) -> datetime.date:
+        date = lambda x: _FIRST_DAY + datetime.timedelta(days=x)
+        return date(self.feistel.permute(at, _DAYS, "day", self.back, lambda x: valid(date(x))))
+
+    def _named(self, found: str) -> str | None:
+        """A date with a month's name: same language, letter case and number of digits."""
+        name, day, year = (re.search(p, found) for p in (_NAME, r"(?<![0-9])[0-9]{1,2}(?![0-9])", r"[0-9]{4}"))
+        style = _STYLE[name.group().lower()]
+        months = _MONTHS[style]
+        try:
+            at = (datetime.date(int(year.group()), months.index(name.group().lower()) + 1, int(day.group())) - _FIRST_DAY).days
+        except ValueError:
+            return None
+        if not 0 <= at < _DAYS:
+            return None
+        low = int(day.group()) < 10
+        new = self._day(at, lambda t: (t.day < 10) == low and _STYLE[months[t.month - 1]] == style)
+        case = next((f for f in (str.lower, str.upper, str.capitalize) if f(name.group()) == name.group()), None)
+        if case is None:  # mixed case is no usual writing
+            return None
+        for m, to in sorted(((name, case(months[new.month - 1])), (day, f"{new.day:0{len(day.group())}d}"), (year, f"{new.year:04d}")),
+                            key=lambda x: -x[0].start()):
+            found = found[:m.start()] + to + found[m.end():]
+        return found
 
     def _ip(self, found: str) -> str | None:
         octets = [int(x) for x in found.split(".")]
@@ -306,8 +365,10 @@ class Pseudonyms:
         body = self._number(digits[:-1], "card", lambda d: _is_card(whole(d)) and (still is None or still(whole(d))))
         return _digits_back(found, body + str(luhn_digit(body)))
 
-    def _phone(self, found: str) -> str:
-        country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", found)
+    def _phone(self, found: str) -> str | None:
+        if found[0] == "+" and not 8 <= sum(map(str.isdigit, found)) <= 15:
+            return None
+        country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", found) or _CODE.match(found)
         head = country.group() if country else ""
         digits = re.sub(r"[^0-9]", "", found[len(head):])
         american = lambda d: d[0] in "23456789" and d[3] in "23456789"
