@@ -6,8 +6,9 @@ whole is looked up line by line, as headings and notices often lack a full stop.
 identifiers found, in order, are matched against ordered rules: a rule that finds its
 identifiers next to each other claims them, so a later, more general rule cannot.
 
-Texts that hold none of ``KEYWORDS`` cannot hold a known sentence (checked when the module
-is loaded) and are not cut at all. There is no shuffle and no user function.
+Texts that hold none of ``KEYWORDS`` cannot hold a known sentence and are not cut at all: each
+known sentence holds one (checked when the module is loaded), and as keywords are single
+words, line breaks or other separators that normalisation removes cannot split them. There is no shuffle and no user function.
 
 Defined results. A null or empty text has no sentences and no licence. Sentences are found
 anywhere in the whole text, and repeated sentences are repeated identifiers; a licence is
@@ -103,7 +104,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 }
 
 #: Every known sentence holds one of these.
-KEYWORDS = ("licen", "warrant", "permission", "redistribut", "public domain", "all rights reserved")
+KEYWORDS = ("licen", "warrant", "permission", "redistribut", "domain", "reserved")
 
 
 @dataclass(frozen=True)
@@ -150,6 +151,7 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9.+-]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip(" .-+")
 
 
+assert all(re.fullmatch("[a-z0-9]+", k) for k in KEYWORDS)
 for _key, _all in SENTENCES.items():
     for _s in _all:
         assert normalised(_s) == _s and any(k in _s for k in KEYWORDS), (_key, _s)
