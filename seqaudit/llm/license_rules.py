@@ -29,6 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Known sentences by identifier, normalised (fixed values: wordings of public licences).
 SENTENCES: dict[str, tuple[str, ...]] = {
     "apache2": (
+        "apache license version 2.0 january 2004 http www.apache.org licenses",
         "licensed under the apache license version 2.0",
         "licensed under the apache license version 2.0 the license",
         "this project is licensed under the apache license 2.0",
@@ -70,13 +71,89 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
         "disclaimer in the documentation and or other materials provided with the distribution",
     ),
+    "bsd-advert": (
+        "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+        "all advertising materials mentioning features or use of this software must display the following acknowledgment",
+    ),
+    "bsd-names": tuple(
+        f"neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission"
+        for holder in ("the copyright holder", "the copyright holders", "the copyright owner", "the organization", "the university",
+                       "the author", "the project", "the company")) + (
+        "neither the name of the copyright holder nor the names of the contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission",
+        "the name of the author may not be used to endorse or promote products derived from this software without specific prior "
+        "written permission",
+        "the names of its contributors may not be used to endorse or promote products derived from this software without specific "
+        "prior written permission",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "isc license", "licensed under the isc license", "released under the isc license",
+    ),
+    "0bsd": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "licensed under the unlicense"),
+    "epl2": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is "
+        "available at https www.eclipse.org legal epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which "
+        "accompanies this distribution and is available at https www.eclipse.org legal epl-v20.html",
+        "eclipse public license - v 2.0", "licensed under the eclipse public license 2.0",
+    ),
+    "epl1": (
+        "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public "
+        "license v1.0 which accompanies this distribution and is available at http www.eclipse.org legal epl-v10.html",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which "
+        "accompanies this distribution and is available at http www.eclipse.org legal epl-v10.html",
+        "eclipse public license - v 1.0",
+    ),
+    "gpl-terms": (
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation",
+    ),
+    "lgpl-terms": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+        "software foundation",
+    ),
+    "agpl-terms": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free "
+        "software foundation",
+    ),
+    "later-2": ("either version 2 of the license or at your option any later version",),
+    "later-21": ("either version 2.1 of the license or at your option any later version",),
+    "later-3": ("either version 3 of the license or at your option any later version",),
+    "gpl2-grant": (
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 2 of the license or at your option any later version",
+    ),
+    "lgpl21-grant": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+        "software foundation either version 2.1 of the license or at your option any later version",
+    ),
+    "lgpl3-grant": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+        "software foundation either version 3 of the license or at your option any later version",
+    ),
+    "agpl3-grant": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free "
+        "software foundation either version 3 of the license or at your option any later version",
+    ),
     "gpl3": (
+        "gnu general public license version 3 29 june 2007",
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu general public license version 3",
         "licensed under the gnu general public license v3.0",
         "licensed under the gplv3", "spdx-license-identifier gpl-3.0", "spdx-license-identifier gpl-3.0-only",
     ),
     "gpl2": (
+        "gnu general public license version 2 june 1991",
+        "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the "
+        "free software foundation",
         "this work is licensed under the gnu general public license version 2",
         "licensed under the gnu general public license version 2", "spdx-license-identifier gpl-2.0",
     ),
@@ -84,14 +161,20 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
         "license as published by the free software foundation either version 3 of the license or at your option any later "
         "version",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 3 of the license or at your option any later version",
     ),
     "gpl-warranty": (
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
         "warranty of merchantability or fitness for a particular purpose",
     ),
+    "lgpl21": ("gnu lesser general public license version 2.1 february 1999",),
+    "lgpl3": ("gnu lesser general public license version 3 29 june 2007",),
     "lgpl": ("licensed under the gnu lesser general public license", "licensed under the gnu lesser general public license version 3"),
-    "agpl": ("licensed under the gnu affero general public license version 3", "spdx-license-identifier agpl-3.0"),
-    "mpl2": ("licensed under the mozilla public license version 2.0", "spdx-license-identifier mpl-2.0"),
+    "agpl": ("gnu affero general public license version 3 19 november 2007", "licensed under the gnu affero general public license version 3", "spdx-license-identifier agpl-3.0"),
+    "mpl2": (
+        "this source code form is subject to the terms of the mozilla public license v", "mozilla public license version 2.0",
+        "licensed under the mozilla public license version 2.0", "spdx-license-identifier mpl-2.0"),
     "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
     "cc-by-sa": ("licensed under cc by-sa 4.0",),
     "cc-by-nc": (
@@ -104,7 +187,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 }
 
 #: Every known sentence holds one of these.
-KEYWORDS = ("licen", "warrant", "permission", "redistribut", "domain", "reserved")
+KEYWORDS = ("licen", "warrant", "permission", "redistribut", "domain", "reserved", "advertising")
 
 
 @dataclass(frozen=True)
@@ -121,7 +204,29 @@ RULES = (
     Rule("MIT", ("mit-grant", "mit-notice"), "permissive"),
     Rule("Apache-2.0", ("apache2", "apache2-use", "apache2-copy"), "permissive"),
     Rule("Apache-2.0", ("apache2", "apache2-use"), "permissive"),
+    Rule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"), "permissive"),
+    Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), "permissive"),
     Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), "permissive"),
+    Rule("ISC", ("isc", "isc"), "permissive"),
+    Rule("ISC", ("isc",), "permissive"),
+    Rule("0BSD", ("0bsd",), "permissive"),
+    Rule("Unlicense", ("unlicense",), "permissive"),
+    Rule("EPL-2.0", ("epl2",), "copyleft"),
+    Rule("EPL-1.0", ("epl1",), "copyleft"),
+    Rule("GPL-2.0-or-later", ("gpl-terms", "later-2"), "copyleft"),
+    Rule("GPL-2.0-or-later", ("gpl2-grant",), "copyleft"),
+    Rule("GPL-3.0-or-later", ("gpl-terms", "later-3"), "copyleft"),
+    Rule("LGPL-2.1-or-later", ("lgpl-terms", "later-21"), "copyleft"),
+    Rule("LGPL-2.1-or-later", ("lgpl21-grant",), "copyleft"),
+    Rule("LGPL-3.0-or-later", ("lgpl-terms", "later-3"), "copyleft"),
+    Rule("LGPL-3.0-or-later", ("lgpl3-grant",), "copyleft"),
+    Rule("AGPL-3.0-or-later", ("agpl-terms", "later-3"), "copyleft"),
+    Rule("AGPL-3.0-or-later", ("agpl3-grant",), "copyleft"),
+    Rule("GPL", ("gpl-terms",), "copyleft"),
+    Rule("LGPL", ("lgpl-terms",), "copyleft"),
+    Rule("LGPL-2.1", ("lgpl21",), "copyleft"),
+    Rule("LGPL-3.0", ("lgpl3",), "copyleft"),
+    Rule("AGPL", ("agpl-terms",), "copyleft"),
     Rule("GPL-3.0-or-later", ("gpl-grant", "gpl-warranty"), "copyleft"),
     Rule("GPL-3.0-or-later", ("gpl-grant",), "copyleft"),
     Rule("MIT", ("mit",), "permissive"),
