@@ -62,6 +62,14 @@ _NEVER_CLASS = re.compile(
     r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
     r"newsletter|subscri\w*|sidebar|widgets?|related|recommend\w*|shar(?:e|ing)|social|comments?|commentlist|repl(?:y|ies)|disqus|"
     r"menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|toolbar|login|signup|search|complementary|contentinfo)(?:[-_]|$)", re.I)
+_NAMES = re.search(r"\(\?:(ads.*)\)\(\?:\[-_\]", _NEVER_CLASS.pattern).group(1)
+#: A class or role made of such names alone drops a block outright; with other words ("related-work") it only counts for the score.
+_ONLY_NEVER = re.compile(rf"(?:{_NAMES})(?:[-_]+(?:{_NAMES}))*", re.I)
+#: Ids are also anchors of topics, so only names that are no topic drop a block.
+_NEVER_ID = re.compile(r"comments|commentlist|replies|disqus|sidebar|footer|masthead|navbar|breadcrumbs?|newsletter|ads?", re.I)
+#: Inline pieces drop as adverts only: "comment" is also code, "search" or "nav" a link.
+_NEVER_INLINE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*)", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Pseudo-counts of words (inside, outside an article) per surrounding.
 PRIOR = {
     **dict.fromkeys(("article", "main", "p", "blockquote", "pre", "h1", "h2", "h3"), (20.0, 2.0)),
@@ -106,7 +114,7 @@ def parse(page: str | None) -> tuple[list[Block], Counter]:
     def names() -> tuple[frozenset[str], bool, bool]:
         around = frozenset().union(*(s[1] for s in stack))
         main = bool(around & {"article", "main"})
-        never = any(s[2] for s in stack) or ("header" in around and not main)
+        never = any(s[2] for s in stack if s[0] not in INLINE) or ("header" in around and not main)
         return around, never, main
 
     state = names()
@@ -115,6 +123,9 @@ def parse(page: str | None) -> tuple[list[Block], Counter]:
         at = m.end()
         words = m.group(7)
         if words is not None:
+            if any(s[2] for s in stack if s[0] in INLINE):  # an inline piece that is no content goes alone
+                current.raw += [" "] if current.raw else []
+                continue
             if not current.raw:
                 current.around, current.never, current.main = state
             current.raw.append(words)
@@ -159,13 +170,20 @@ def parse(page: str | None) -> tuple[list[Block], Counter]:
                     del stack[k:]
                     break
         classes: set[str] = set()
+        never = name in NEVER or bool(attrs and _HIDDEN.search(attrs))
+        likely = never
         if attrs:
-            for _, a, b, c in _ATTR.findall(attrs):
-                classes.update((a or b or c).lower().split())
-        never = name in NEVER or any(_NEVER_CLASS.search(c) for c in classes) or bool(attrs and _HIDDEN.search(attrs))
+            for kind, a, b, c in _ATTR.findall(attrs):
+                found = (a or b or c).lower().split()
+                classes.update(found)
+                if name in _HEADINGS:
+                    continue
+                sure = _NEVER_INLINE if name in INLINE else _NEVER_ID if kind.lower() == "id" else _ONLY_NEVER
+                never = never or any(sure.fullmatch(c) for c in found)
+                likely = likely or any(_NEVER_CLASS.search(c) for c in found)
         if name in ("body", "html", "article", "main"):
-            never = False
-        own = {name} - _NEUTRAL | {"." + c for c in classes} | ({"never"} if never else set())
+            never = likely = False
+        own = {name} - _NEUTRAL | {"." + c for c in classes} | ({"never"} if never or likely else set())
         stack.append((name, frozenset(own), never))
         state = names()
     close()
