@@ -95,7 +95,71 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 from told join own using (conv_id) left join repeated using (conv_id) left join system using (conv_id)"""
 
 
+def _resampling_sql() -> str:
+    """CRC-32 as a sum of the effects of single bytes: it is linear but for its start and end masks."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with recursive tab as (
+    select b, list_reduce(list_concat([b], range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from range(256) t(b)),
+d as (select row_number() over () as r, doc_id, {words} as w from documents),
+q as (select {words} as w from benchmark),
+fd as (select r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from d),
+fq as (select unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from q),
+u as materialized (select distinct f, strlen(f) as n, hex(encode(f)) as h from (select f from fd union all select f from fq)),
+longest as (select max(n) as n from u),
+effect as (
+    select 0::bigint as k, b, v from tab
+    union all select e.k + 1, e.b, xor(e.v >> 8, t.v) from effect e join tab t on t.b = e.v & 255 where e.k + 1 < (select n from longest)),
+start as (
+    select 0::bigint as k, 4294967295::bigint as z
+    union all select s.k + 1, xor(s.z >> 8, t.v) from start s join tab t on t.b = s.z & 255 where s.k < (select n from longest)),
+bytes as (select f, n, n - 1 - i as k, ('0x' || substr(h, 2 * i + 1, 2))::bigint as b from (select f, n, h, unnest(range(n)) as i from u)),
+mixed as (select f, any_value(n) as n, bit_xor(e.v) as v from bytes join effect e using (k, b) group by f),
+bucket as materialized (select f, xor(xor(m.v, s.z), 4294967295) % 10000 as b from mixed m join start s on s.k = m.n),
+cd as (select b, count(*) as s from fd join bucket using (f) group by b),
+cq as (select b, count(*) as t from fq join bucket using (f) group by b),
+total as (select (select count(*) from fd)::double as have, (select count(*) from fq)::double as want),
+gain as (
+    select b, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (have + 10000) / ((s + 1.0::double) * (want + 10000))))::bigint as g
+    from cd left join cq using (b), total),
+own as (select r, count(*) as n, sum(g)::bigint as g from fd join bucket using (f) join gain using (b) group by r),
+scored as (
+    select r, doc_id, len(w) as n_words, coalesce(n, 0)::bigint as n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::bigint as weight,
+        floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as noise
+    from d left join own using (r)),
+placed as (
+    select r, row_number() over (order by weight + noise desc, doc_id, n_features desc) as place, count(*) over () as n
+    from scored where n_words >= 20 and doc_id is not null)
+select doc_id, n_features, weight, weight + noise as score, case when place <= 25 * n // 100 then place end as rank
+from scored left join placed using (r)"""
+
+
+_HARD_NEGATIVES = """
+with e as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select vec_id as anchor_id, label as own, x as y from e where vec_id % 100 = 0),
+s as (
+    select anchor_id, vec_id, own = label as same, list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i]))::bigint as score
+    from a join e on e.vec_id <> a.anchor_id),
+p as (
+    select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5"""
+
+
 SQL = {
+    "op11_importance_resampling": _resampling_sql(),
+    "op13_hard_negatives": _HARD_NEGATIVES,
     "op1_license_sentences": _licence_sql(),
     "op4_url_vocabulary": _url_sql(),
     "op5_chat_windows": _chat_sql(),

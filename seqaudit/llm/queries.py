@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read
-from . import (chat_windows, license_rules, main_text, oracles, pseudonyms, pu_quality, quality_table, sliced_simhash, spaced_seeds,
-               swap_packing, url_vocabulary)
+from . import (chat_windows, hard_negatives, importance_resampling, license_rules, main_text, oracles, pseudonyms, pu_quality, quality_table,
+               sliced_simhash, spaced_seeds, swap_packing, token_counts, url_vocabulary)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -86,3 +86,22 @@ def op9_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.main_text(pages, main_text.learn(pages))
+
+
+@_register
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's texts, and the ranks of the quarter that is drawn."""
+    drawn = importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@_register
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are a hundredth of the ids; a seventh of the labels is shifted first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
