@@ -12,19 +12,16 @@ import corpus_pipeline
 from seqaudit.llm import pseudonyms, queries
 from seqaudit.session import read
 
-from test_llm_operators import DOCS, EDGE, brute_fingerprint, brute_groups, brute_overlap
+from test_llm_operators import DOCS, EDGE, brute_overlap
+from test_near_copies import brute_least
 
 SF = "/root/testdata/sf0.001"
 
 
 def brute(rows, items, verdicts):
     rows = [r for r, kept in zip(rows, verdicts) if kept]
-    prints = [brute_fingerprint(r["text"]) for r in rows]
-    groups = brute_groups(sorted(set(prints)))
-    least = {}
-    for r, p in zip(rows, prints):
-        least[groups[p]] = min(least.get(groups[p], r["doc_id"]), r["doc_id"])
-    rows = [r for r, p in zip(rows, prints) if least[groups[p]] == r["doc_id"]]
+    least, _ = brute_least([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if least[r["doc_id"]] == r["doc_id"]]
     rows = [r for r in rows if not any(brute_overlap(r["text"], i) for i in items)]
     tool = pseudonyms.Pseudonyms(queries.DEMO_KEY)
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
