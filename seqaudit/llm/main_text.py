@@ -17,7 +17,9 @@ markup never fails: unclosed elements end with their parent, an unclosed comment
 script ends the page, a lone ``<`` is text. Blocks are joined by one line feed, white space
 inside a block is one space. Equal sums prefer the longer region. Rows are independent,
 so repeated rows, ties and empty tables need no rule; extra columns are kept unless they
-are named ``text`` or ``n_chars``.
+are named ``text`` or ``n_chars``. A page is read once: open elements are counted rather than
+walked through, tags are sought only where one can still end, and an element that is
+never closed is looked for once, so any text takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -38,21 +40,25 @@ SAMPLE = 2_000
 CLIP, CLIP_MAIN = 3.0, 9.0
 TAG_COST = 0.05
 
+# tried only where a ">" follows, so each match ends at one and a page is scanned once
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>"
-    r"|([^<]+|<)", re.S)
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+    r"|<[!?][^>]*+>"
+    r"|([^<]++|<)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 #: Elements whose content is no text of the page (fixed values of the HTML standard).
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+#: Of these, the ones that end with the block they are in if they are never closed; the others run to the end of the page.
+_ENDS_WITH_BLOCK = frozenset("iframe svg select noscript template".split())
+_BLOCK_END = re.compile(r"</(?:p|div|section|article|main|aside|header|footer|nav|li|ul|ol|td|tr|table|form|body|html|h[1-6])[\s/>]", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr img".split())
+    "time tt u var wbr img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace".split())
 #: Elements that end at the next one of their kind or at a block.
 IMPLIED = {"p": frozenset(), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)),
            "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")),
@@ -63,8 +69,11 @@ _NEVER_CLASS = re.compile(
     r"newsletter|subscri\w*|sidebar|widgets?|related|recommend\w*|shar(?:e|ing)|social|comments?|commentlist|repl(?:y|ies)|disqus|"
     r"menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|toolbar|login|signup|search|complementary|contentinfo)(?:[-_]|$)", re.I)
 _NAMES = re.search(r"\(\?:(ads.*)\)\(\?:\[-_\]", _NEVER_CLASS.pattern).group(1)
-#: A class or role made of such names alone drops a block outright; with other words ("related-work") it only counts for the score.
-_ONLY_NEVER = re.compile(rf"(?:{_NAMES})(?:[-_]+(?:{_NAMES}))*", re.I)
+#: Words of page layout: beside a name above they make it the name of a container ("comment-list", "site-footer").
+_LAYOUT = ("list|area|box|bar|slot|container|wrapper|wrap|body|items?|left|right|top|bottom|main|site|page|user|post|posts|reader|buttons?|"
+           "block|section|panel|inner|outer|column|col|row|group|grid|card|links?|icons?|mobile|desktop|sticky|fixed|float(?:ing)?|primary|secondary|global|form|thread")
+#: A class or role made of such names and layout words alone drops a block outright; with a topic ("related-work") it only counts for the score.
+_CONTAINER = re.compile(rf"(?=(?:.*[-_])?(?:{_NAMES})(?:[-_]|$))(?:{_NAMES}|{_LAYOUT})(?:[-_]+(?:{_NAMES}|{_LAYOUT}))*", re.I)
 #: Ids are also anchors of topics, so only names that are no topic drop a block.
 _NEVER_ID = re.compile(r"comments|commentlist|replies|disqus|sidebar|footer|masthead|navbar|breadcrumbs?|newsletter|ads?", re.I)
 #: Inline pieces drop as adverts only: "comment" is also code, "search" or "nav" a link.
@@ -85,7 +94,8 @@ class Block:
     """Words between two block boundaries, the surroundings they share and the tags before them."""
 
     raw: list[str] = field(default_factory=list)
-    around: frozenset[str] = frozenset()
+    around: frozenset[str] | None = frozenset()
+    weight: float = 0.0  # of the surroundings, the article itself left out
     never: bool = False
     main: bool = False
     links: int = 0  # characters inside links
@@ -95,13 +105,74 @@ class Block:
         return " ".join(html.unescape("".join(self.raw)).split())
 
 
-def parse(page: str | None) -> tuple[list[Block], Counter]:
-    """Blocks with a word, in page order, and how often each element opens."""
+#: More names open at once than this say nothing about a page; it is not learned from.
+MOST_NAMES = 1000
+
+
+class _Open:
+    """The open elements of a page; every question about them is answered without walking the stack."""
+
+    def __init__(self, weight: dict[str, float]):
+        self.weight = weight
+        self.stack: list[tuple[str, tuple[str, ...], bool, float, int]] = []  # name, names, never content, weight and block below it
+        self.places: dict[str, list[int]] = {}
+        self.names: Counter = Counter()
+        self.total, self.block = 0.0, -1  # weight of the open names; place of the innermost block
+        self.never_blocks = self.never_inline = 0
+
+    def push(self, name: str, own: set[str], never: bool) -> None:
+        self.stack.append((name, tuple(own), never, self.total, self.block))
+        self.places.setdefault(name, []).append(len(self.stack) - 1)
+        for n in sorted(own):
+            self.names[n] += 1
+            if self.names[n] == 1 and n not in ("article", "main"):
+                self.total += self.weight.get(n, 0.0)
+        if name in INLINE:
+            self.never_inline += never
+        else:
+            self.never_blocks += never
+            self.block = len(self.stack) - 1
+
+    def pop(self) -> None:
+        name, own, never, self.total, self.block = self.stack.pop()
+        self.places[name].pop()
+        for n in own:
+            self.names[n] -= 1
+            if not self.names[n]:
+                del self.names[n]
+        if name in INLINE:
+            self.never_inline -= never
+        else:
+            self.never_blocks -= never
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    @property
+    def main(self) -> bool:
+        return "article" in self.names or "main" in self.names
+
+    @property
+    def never(self) -> bool:
+        return self.never_blocks > 0 or ("header" in self.names and not self.main)
+
+
+def parse(page: str | None, weight: dict[str, float] | None = None, named: bool = False) -> tuple[list[Block], Counter]:
+    """Blocks with a word, in page order, and how often each element opens.
+
+    A block has the ``weight`` of its surroundings and, if ``named``, their names (None if there are too many).
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []  # open elements: name, surroundings, never content
-    current, pending = Block(), 0
     opened: Counter = Counter()
+    held, current, pending = _Open(weight or {}), Block(), 0
     at, page = 0, page or ""
+    last_tag = page.rfind(">")
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal current, pending
@@ -111,25 +182,22 @@ def parse(page: str | None) -> tuple[list[Block], Counter]:
             pending = 0
         current = Block()
 
-    def names() -> tuple[frozenset[str], bool, bool]:
-        around = frozenset().union(*(s[1] for s in stack))
-        main = bool(around & {"article", "main"})
-        never = any(s[2] for s in stack if s[0] not in INLINE) or ("header" in around and not main)
-        return around, never, main
-
-    state = names()
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        words = m.group(7)
+        if at > last_tag:  # no tag can end any more
+            words, at = page[at:].partition("<!--")[0], len(page)
+        else:
+            m = _TOKEN.match(page, at)
+            at, words = m.end(), m.group(7)
         if words is not None:
-            if any(s[2] for s in stack if s[0] in INLINE):  # an inline piece that is no content goes alone
+            if held.never_inline:  # an inline piece that is no content goes alone
                 current.raw += [" "] if current.raw else []
                 continue
             if not current.raw:
-                current.around, current.never, current.main = state
+                current.weight, current.never, current.main = held.total, held.never, held.main
+                if named:
+                    current.around = frozenset(held.names) if len(held.names) <= MOST_NAMES else None
             current.raw.append(words)
-            if stack and any(s[0] == "a" for s in stack):
+            if held.places.get("a"):
                 current.links += len(words)
             continue
         slash, name, attrs = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
@@ -142,33 +210,30 @@ def parse(page: str | None) -> tuple[list[Block], Counter]:
         if name not in INLINE:
             close()
         if slash:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
-            state = names()
+            place = held.last(name)
+            if place > held.block or (place >= 0 and name not in INLINE):
+                held.cut(place)
             continue
         opened[name] += 1
         if name in RAW and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(name)
+                end = _BLOCK_END.search(page, at) if name in _ENDS_WITH_BLOCK else None
+                at = end.start() if end else len(page)
             continue
         if name in VOID:
             continue
         if name not in INLINE:  # formatting left open ends with its block
-            while stack and stack[-1][0] in INLINE:
-                stack.pop()
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            held.cut(held.block + 1)
+            if held.stack and held.stack[-1][0] == "p":
+                held.pop()
         if name in IMPLIED:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in IMPLIED[name]:
-                    break
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            place = held.last(name)
+            if place >= 0 and place > held.last(*IMPLIED[name]):
+                held.cut(place)
         classes: set[str] = set()
         never = name in NEVER or bool(attrs and _HIDDEN.search(attrs))
         likely = never
@@ -178,32 +243,32 @@ def parse(page: str | None) -> tuple[list[Block], Counter]:
                 classes.update(found)
                 if name in _HEADINGS:
                     continue
-                sure = _NEVER_INLINE if name in INLINE else _NEVER_ID if kind.lower() == "id" else _ONLY_NEVER
+                sure = _NEVER_INLINE if name in INLINE else _NEVER_ID if kind.lower() == "id" else _CONTAINER
                 never = never or any(sure.fullmatch(c) for c in found)
                 likely = likely or any(_NEVER_CLASS.search(c) for c in found)
         if name in ("body", "html", "article", "main"):
             never = likely = False
-        own = {name} - _NEUTRAL | {"." + c for c in classes} | ({"never"} if never or likely else set())
-        stack.append((name, frozenset(own), never))
-        state = names()
+        held.push(name, {name} - _NEUTRAL | {"." + c for c in classes} | ({"never"} if never or likely else set()), never)
     close()
     return blocks, opened
 
 
-def _surroundings(block: Block, marked: bool) -> frozenset[str]:
-    """Features of a word; being in or out of the main element counts only on pages that mark one."""
-    return block.around - {"article", "main"} | ({"in main" if block.main else "out of main"} if marked else set())
+def _surroundings(around: frozenset[str], main: bool) -> frozenset[str]:
+    """Features of a word on a page that marks its article."""
+    return around - {"article", "main"} | {"in main" if main else "out of main"}
 
 
 def label_counts(page: str | None) -> dict[str, tuple[int, int]]:
     """Words (inside, outside the article) per surrounding of a labelled page; empty for other pages."""
-    blocks, opened = parse(page)
+    blocks, opened = parse(page, named=True)
     if opened["article"] != 1 and (opened["article"] or opened["main"] != 1):
         return {}
     out: dict[str, list[int]] = {}
     for b in blocks:
+        if b.around is None:
+            return {}
         n, inside = len(b.text().split()), b.main and not b.never
-        for name in _surroundings(b, True):
+        for name in _surroundings(b.around, b.main):
             out.setdefault(name, [0, 0])[not inside] += n
     return {k: (a, b) for k, (a, b) in out.items()}
 
@@ -231,12 +296,13 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str | None, weight: dict[str, float]) -> str:
-    blocks, opened = parse(page)
+    blocks, opened = parse(page, weight)
     marked = bool(opened["article"] or opened["main"])
     scores: list[float] = []
     for b in blocks:
         scores.append(-TAG_COST * b.tags)
-        each = 1.0 + sum(weight.get(name, 0.0) for name in _surroundings(b, marked))  # a word is worth one by itself
+        # a word is worth one by itself; being in or out of the article counts only on pages that mark one
+        each = 1.0 + b.weight + (weight.get("in main" if b.main else "out of main", 0.0) if marked else 0.0)
         if b.never and b.main:
             each = 0.0  # dropped below, and no reason to end the region
         length = sum(map(len, b.raw))
