@@ -149,25 +149,54 @@ def length_batches(df: DataFrame, id_col: str, length: str, size: int, seed: int
         "batch_order", digest(F.lit(seed + epoch), "batch")).drop("pos")
 
 
-def source_draws(weights: DataFrame, source: str, weight: str, steps: int, seed: int) -> DataFrame:
-    """(step, source): independent draws by normalised weight, joined on cumulative ranges.
-
-    The source table is small by nature; its size is checked before it is broadcast.
+def alias_table(weights: DataFrame, name: str, weight: str, rows_per_task: int | None = None) -> DataFrame:
+    """(cell, name, stays, alias): cells of equal size, each shared by one name and its alias.
+
+    A name of weight w has n*w / t of a cell, t the total. Light names leave room in their cells, heavy
+    ones overflow. In one fixed order a light cell is filled by the first heavy name whose
+    overflow is not yet used up; a heavy name that gave too much has its own cell filled by
+    the next. Who that is follows from running sums of room and overflow and from counts of
+    one among the other, so the table is built by sorts and equi-joins, whatever its size.
     """
-    from pyspark.sql import Window
-
-    stats = weights.agg(F.count(F.lit(1)).alias("n"), F.min(weight).alias("lo"), F.sum(weight).alias("total")).first()
-    if stats["n"] > 10_000:
-        raise ValueError("more than 10000 sources")
-    if stats["lo"] < 0 or not stats["total"]:
+    total = weights.agg(F.sum(weight).alias("t"), F.count(F.lit(1)).alias("n"), F.min(weight).alias("lo")).first()
+    if not total["n"] or total["lo"] is None or total["lo"] < 0 or not total["t"]:
         raise ValueError("weights must be non-negative and not all zero")
-    upto = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0)
-    ranges = weights.select(source, (F.sum(weight).over(upto) / stats["total"]).alias("hi"), (F.col(weight) / stats["total"]).alias("p"))
-    table = ranges.where("p > 0").agg(F.array_sort(F.collect_list(F.struct("hi", source))).alias("r"))
-    draws = weights.sparkSession.range(1, steps + 1).select(F.col("id").alias("step"), uniform(F.lit(seed), "id").alias("u"))
-    hit = F.filter("r", lambda x: F.col("u") < x["hi"])
-    last = F.element_at("r", -1)
-    return draws.join(F.broadcast(table)).select("step", F.coalesce(F.get(hit, F.lit(0)), last)[source].alias(source))
+    share = F.col(weight).cast("double") * F.lit(float(total["n"]))
+    size = F.lit(float(total["t"]))
+    rows = cut(weights.select(F.col(name).alias("name"), (share - size).alias("over")))
+    sums = lambda df, value: cut(ordered.row_number(
+        ordered.running_sum(df, "upto", value, [F.col("name")], rows_per_task=rows_per_task), "place", [F.col("name")], rows_per_task=rows_per_task))
+    light, heavy = sums(rows.where("over <= 0"), -F.col("over")), sums(rows.where("over > 0"), F.col("over"))
+    # among the other kind: heavy names used up before a light one begins, light cells that begin before a heavy name ends
+    before = F.col("upto") + F.col("over")
+    marks = heavy.select(F.col("upto").alias("at"), "place", F.lit(True).alias("is_heavy")).union(light.select(before, "place", F.lit(False)))
+    count = ordered.running_sums(
+        marks, {"heavies": F.col("is_heavy").cast("bigint"), "lights": (~F.col("is_heavy")).cast("bigint")},
+        [F.col("at"), F.when(F.col("is_heavy"), 0).otherwise(1), F.col("place")], rows_per_task=rows_per_task)
+    count = cut(count)
+    heavy_at = heavy.select(F.col("place").alias("to"), F.col("name").alias("alias"))
+    light_at = light.select(F.col("place").alias("last"), F.col("upto").alias("given"))
+    cells = light.join(count.where("not is_heavy").select("place", (F.col("heavies") + 1).alias("to")), "place").join(heavy_at, "to", "left").select(
+        "name", (size + F.col("over")).alias("stays"), "alias")
+    kept = heavy.join(count.where("is_heavy").select("place", F.col("lights").alias("last")), "place").join(light_at, "last", "left")
+    kept = kept.withColumn("to", F.col("place") + 1).join(heavy_at, "to", "left").select(
+        "name", (size + F.col("upto") - F.greatest("upto", F.coalesce("given", "upto"))).alias("stays"), "alias")
+    numbered = ordered.row_number(cells.union(kept), "cell", [F.col("name")], rows_per_task=rows_per_task)
+    return numbered.select((F.col("cell") - 1).alias("cell"), "name", (F.col("stays") / size).alias("stays"), "alias")
+
+
+def source_draws(weights: DataFrame, source: str, weight: str, steps: int, seed: int, rows_per_task: int | None = None) -> DataFrame:
+    """(step, source): independent draws by weight, one uniform number and one look-up a draw, for any number of sources.
+
+    The whole part of the number, scaled to the cells, finds the cell; the rest decides between its name and its alias.
+    """
+    cells = cut(alias_table(weights, source, weight, rows_per_task))
+    n = cells.count()
+    u = F.conv(F.substring(digest(F.lit(seed), "id"), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52)) * F.lit(float(n))
+    draws = weights.sparkSession.range(1, steps + 1).select(F.col("id").alias("step"), u.alias("u")).withColumn("cell", F.floor("u"))
+    at = F.col("u") - F.col("cell")
+    picked = F.when(at < F.col("stays"), F.col("name")).otherwise(F.coalesce("alias", "name"))
+    return draws.join(cells, "cell").select("step", picked.alias(source))
 
 
 def interleave(df: DataFrame, source: str, order: str, limits: dict[str, int] = {}) -> DataFrame:

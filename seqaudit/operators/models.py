@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import seq
 from ..functions.hashrand import poisson, uniform
 from ..functions.values import MISSING, UNKNOWN, col
+from ..session import cut
 
 Featurize = Callable[[pd.DataFrame], np.ndarray]
 
@@ -123,6 +124,21 @@ def linear_baseline(train: DataFrame, test: DataFrame, sequence_col: str, target
     return predict(test, [sequence_col], build, [coef], "__p").withColumn(name, F.col("__p")[0]).drop("__p")
 
 
+def weighted_linear_baselines(df: DataFrame, sequence_col: str, target: str, kind: str, name: str, weights: str, members: int) -> DataFrame:
+    """Add ``name``: one prediction per member; member m is fitted on all rows with their m-th weight.
+
+    Features are built once for all members; a member without weight predicts null.
+    """
+    build = gc_length_matrix(sequence_col) if kind == "gc_length_baseline" else kmer_features(sequence_col, {"kmer_ridge_or_logistic": 3}.get(kind, 4))
+    grams = gram(df, [sequence_col], build, target, weights)
+    if not grams:
+        return df.withColumn(name, F.array_repeat(F.lit(None).cast("double"), members))
+    fitted = [m for m, g in enumerate(grams) if g[0, 0] > 0]
+    scored = predict(df, [sequence_col], build, [ridge_scaled(grams[m]) for m in fitted], "__p") if fitted else df
+    cells = [F.col("__p")[fitted.index(m)] if m in fitted else F.lit(None).cast("double") for m in range(members)]
+    return scored.withColumn(name, F.array(*cells)).drop("__p")
+
+
 def sequence_vector(sequence_col: str, k: int) -> Column:
     head = seq.gc_length_features(sequence_col)
     return array_to_vector(F.concat(head, seq.kmer_frequencies(sequence_col, k)))
@@ -224,21 +240,181 @@ def calibration_rmse(scored: DataFrame, mean: str, target: str) -> float:
     return scored.agg(F.sqrt(F.avg((F.col(mean) - F.col(target)) * (F.col(mean) - F.col(target)))).alias("r")).first()["r"] or 0.0
 
 
-def score_embeddings(df: DataFrame, embedding: str, heads: DataFrame, logistic: bool = False) -> DataFrame:
+#: Bytes of head weights that are broadcast together.
+HEAD_BYTES = 16 << 20
+
+
+def score_embeddings(df: DataFrame, embedding: str, heads: DataFrame, logistic: bool = False, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """Mean and sample deviation of linear heads (member, bias, weights) over an embedding column.
 
-    The head table has one row per ensemble member; its size is checked before broadcast.
+    Heads are a matrix cut into blocks. A task multiplies a batch of rows with one block; each row
+    carries the number, mean and squared deviations of its scores so far, merged block by block
+    by the pairwise formula. One block is broadcast at a time, so any number of heads can be scored.
+    """
+    spark = df.sparkSession
+    table = cut(heads.select("member", F.col("bias").cast("double").alias("bias"), F.col("weights").cast("array<double>").alias("weights")))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("weights")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * 8 * (size["d"] or 1) // head_bytes))
+    state = df.withColumns({"__n": F.lit(0.0), "__mean": F.lit(0.0), "__m2": F.lit(0.0)})
+    for number in range(blocks):
+        held = table.where(F.pmod(F.xxhash64("member"), F.lit(blocks)) == number).orderBy("member").toArrow()
+        if not held.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array(held.column("weights").to_pylist(), float).T, held.column("bias").to_numpy()))
+
+        @F.pandas_udf("n double, mean double, m2 double")
+        def merge(x: pd.Series, n: pd.Series, mean: pd.Series, m2: pd.Series) -> pd.DataFrame:
+            w, bias = shared.value
+            there = x.notna().to_numpy()
+            out = np.full((len(x), 3), np.nan)
+            if there.any():
+                z = np.stack(x[there].to_numpy()).astype(float) @ w + bias
+                if logistic:
+                    z = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                own, k = z.mean(axis=1), z.shape[1]
+                spread = ((z - own[:, None]) ** 2).sum(axis=1)
+                before, old = n.to_numpy()[there], mean.to_numpy()[there]
+                gap, total = own - old, before + k
+                out[there] = np.column_stack([total, old + gap * k / total, m2.to_numpy()[there] + spread + gap * gap * before * k / total])
+            return pd.DataFrame(out, columns=["n", "mean", "m2"])
+
+        state = state.withColumn("__s", merge(F.col(embedding).cast("array<double>"), "__n", "__mean", "__m2")).withColumns(
+            {"__n": F.col("__s.n"), "__mean": F.col("__s.mean"), "__m2": F.col("__s.m2")}).drop("__s")
+        if blocks > 1:
+            state = cut(state)
+            shared.destroy()
+    told = (F.col("__n") > 0) & ~F.isnan("__n")
+    deviation = F.sqrt(F.col("__m2") / F.greatest(F.col("__n") - 1, F.lit(1.0)))
+    return state.withColumns({"prediction": F.when(told, F.col("__mean")), "uncertainty": F.when(told, deviation)}).drop("__n", "__mean", "__m2")
+
+
+# --- logistic ensembles -----------------------------------------------------------
+
+def stratified_weights(train: DataFrame, label: str, members: int, seed: int, row_id: str, first_plain: bool) -> DataFrame:
+    """Add ``__w``: bootstrap weights per member under which each class keeps its own number of rows.
+
+    Poisson counts are scaled per member and class, so no member sees another share of classes or misses one.
+    """
+    rows = train.withColumn("__w", poisson_weights(members, seed, row_id, first_plain))
+    sums = rows.select(label, F.posexplode("__w").alias("member", "w")).groupBy(label, "member").agg(
+        F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()  # classes x members numbers
+    scale = {(r[label], r["member"]): r["n"] / r["w"] if r["w"] else 0.0 for r in sums}
+    cells = {c: F.array(*[F.lit(scale.get((c, m), 0.0)) for m in range(members)]) for c in sorted({k for k, _ in scale})}
+    factor = F.coalesce(*[F.when(F.col(label) == c, a) for c, a in cells.items()]) if cells else F.array_repeat(F.lit(1.0), members)
+    return rows.withColumn("__w", F.zip_with("__w", factor, lambda w, f: w * f))
+
+
+def _newton_sums(df: DataFrame, columns: list[str], build: Featurize, label: str, weights: str, coefs: np.ndarray) -> np.ndarray:
+    """Per member: loss, gradient and curvature of the weighted logistic loss, one row of sums each."""
+    members, width = coefs.shape
+
+    def partial(batches):
+        total = np.zeros((members, 1 + width + width * width))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            z = np.column_stack([np.ones(len(pdf)), build(pdf)])
+            y, w = pdf[label].to_numpy(dtype=float), np.stack(pdf[weights].to_numpy()).astype(float)
+            for m in range(members):
+                f = z @ coefs[m]
+                p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+                total[m, 0] += (w[:, m] * (np.logaddexp(0, f) - y * f)).sum()
+                total[m, 1:1 + width] += z.T @ (w[:, m] * (p - y))
+                total[m, 1 + width:] += (z.T @ (z * (w[:, m] * p * (1 - p))[:, None])).ravel()
+        yield pd.DataFrame({"member": range(members), "cells": list(total)})
+
+    parts = df.select(*dict.fromkeys([*columns, label, weights])).mapInPandas(partial, "member int, cells array<double>")
+    summed = parts.select("member", F.posexplode("cells").alias("at", "v")).groupBy("member", "at").agg(F.sum("v").alias("v"))
+    out = np.zeros((members, 1 + width + width * width))
+    for r in summed.collect():  # members x width^2 numbers, whatever the rows
+        out[r["member"], r["at"]] = r["v"]
+    return out
+
+
+def fit_logistic_ensemble(train: DataFrame, columns: list[str], build: Featurize, label: str, row_id: str, width: int, members: int = 5,
+                          seed: int = 13, penalty: float = 1.0, first_plain: bool = False, steps: int = 30) -> list[np.ndarray]:
+    """Coefficients of logistic members on stratified bootstraps; ``label`` is 0 or 1, ``width`` the number of features.
+
+    All members take their damped Newton steps together: one job a step over shared features. The penalty
+    is half the squared length of the weights, the intercept is free.
+    """
+    rows = cut(stratified_weights(train.where(F.col(label).isNotNull()), label, members, seed, row_id, first_plain))
+    side = 1 + width
+    ridge = np.diag([0.0] + [penalty] * width)
+    best = np.zeros((members, side))
+    known = [None] * members  # per member: loss, gradient, curvature at its best point
+    trial, damp, done = best.copy(), np.full(members, 1e-9), np.zeros(members, bool)
+    for _ in range(steps):
+        sums = _newton_sums(rows, columns, build, label, "__w", trial)
+        for m in np.flatnonzero(~done):
+            loss = sums[m, 0] + 0.5 * trial[m] @ ridge @ trial[m]
+            if known[m] is not None and loss > known[m][0] + 1e-9 * abs(known[m][0]):
+                damp[m] = max(1e-3, damp[m] * 16)
+            else:
+                gradient = sums[m, 1:1 + side] + ridge @ trial[m]
+                done[m] = np.abs(gradient).max() < 1e-7 * max(1.0, abs(loss))
+                known[m] = (loss, gradient, sums[m, 1 + side:].reshape(side, side) + ridge)
+                best[m], damp[m] = trial[m], damp[m] / 4
+            trial[m] = best[m] - np.linalg.solve(known[m][2] + damp[m] * np.eye(side), known[m][1])
+        if done.all():
+            break
+    return list(best)
+
+
+# --- forests, tree by tree --------------------------------------------------------
+
+def forest_nodes(model, path: str, spark) -> DataFrame:
+    """(tree, node, feature, threshold, lower, upper, prediction): the nodes of a fitted forest, written to ``path``.
+
+    Leaves have feature -1; children are places within the tree.
+    """
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    return nodes.select(
+        F.col("treeID").alias("tree"), F.col("id").alias("node"), F.when(F.col("leftChild") < 0, -1).otherwise(F.col("split.featureIndex")).alias("feature"),
+        F.coalesce(F.get("split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("threshold"), F.col("leftChild").alias("lower"),
+        F.col("rightChild").alias("upper"), "prediction")
+
+
+def tree_spread(df: DataFrame, nodes: DataFrame, vector: str, block_nodes: int = 1_000_000) -> DataFrame:
+    """Add the mean and the population deviation of the single trees' predictions for an array of features.
+
+    Trees are dealt to blocks of about ``block_nodes`` nodes, broadcast one at a time; a batch of rows walks all trees of a
+    block at once, one level a step, and carries its sums on.
     """
-    if heads.count() > 1000:
-        raise ValueError("an ensemble of more than 1000 heads is not broadcast")
-    every = heads.agg(F.array_sort(F.collect_list(F.struct("member", "bias", "weights"))).alias("heads"))
-    dot = lambda w: F.aggregate(F.zip_with(embedding, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    values = F.transform("heads", lambda h: dot(h["weights"]) + h["bias"])
-    if logistic:
-        values = F.transform(values, lambda v: 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), v)))))
-    scored = df.join(F.broadcast(every)).withColumn("raw", values).drop("heads")
-    mean, std = ensemble_mean_std("raw", sample=True)
-    return scored.withColumns({"prediction": mean, "uncertainty": std}).drop("raw")
+    spark = df.sparkSession
+    table = cut(nodes)
+    blocks = max(1, -(-table.count() // block_nodes))
+    state = df.withColumns({"__n": F.lit(0.0), "__sum": F.lit(0.0), "__square": F.lit(0.0)})
+    for number in range(blocks):
+        held = table.where(F.pmod(F.xxhash64("tree"), F.lit(blocks)) == number).orderBy("tree", "node").toPandas()
+        if not len(held):
+            continue
+        first = held["tree"].ne(held["tree"].shift()).to_numpy().nonzero()[0]
+        base = np.repeat(first, np.diff(np.r_[first, len(held)])) - held["node"].to_numpy()[np.repeat(first, np.diff(np.r_[first, len(held)]))]
+        shared = spark.sparkContext.broadcast((
+            first, held["feature"].to_numpy(), held["threshold"].to_numpy(), base + held["lower"].to_numpy(), base + held["upper"].to_numpy(),
+            held["prediction"].to_numpy()))
+
+        @F.pandas_udf("n double, sum double, square double")
+        def walk(x: pd.Series, n: pd.Series, total: pd.Series, square: pd.Series) -> pd.DataFrame:
+            roots, feature, threshold, lower, upper, prediction = shared.value
+            rows = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, 1))
+            at = np.tile(roots, (len(rows), 1))
+            while (inner := feature[at] >= 0).any():
+                low = np.take_along_axis(rows, np.maximum(feature[at], 0), axis=1) <= threshold[at]
+                at = np.where(inner, np.where(low, lower[at], upper[at]), at)
+            value = prediction[at]
+            return pd.DataFrame({"n": n + len(roots), "sum": total + value.sum(axis=1), "square": square + (value ** 2).sum(axis=1)})
+
+        state = state.withColumn("__s", walk(F.col(vector), "__n", "__sum", "__square")).withColumns(
+            {"__n": F.col("__s.n"), "__sum": F.col("__s.sum"), "__square": F.col("__s.square")}).drop("__s")
+        if blocks > 1:
+            state = cut(state)
+            shared.destroy()
+    mean = F.col("__sum") / F.col("__n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("__square") / F.col("__n") - mean * mean))
+    return state.withColumns({"tree_mean": mean, "tree_std": spread}).drop("__n", "__sum", "__square")
 
 
 # --- encoders and pooling ---------------------------------------------------------

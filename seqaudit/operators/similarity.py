@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import seq
 from ..functions.values import col, is_missing
@@ -100,6 +100,10 @@ def registered_similarity_policies() -> tuple[str, ...]:
     return tuple(sorted(_PLUGINS))
 
 
+def registered_similarity(name: str) -> Similarity:
+    return _PLUGINS[policy_name(name)]
+
+
 def resolve_policy(name: str | None = None, other: str | None = None) -> str:
     """Policy behind one name, or behind two names that must agree."""
     meant = sorted({_PLUGINS.meaning(n) for n in (name, other) if n is not None})
@@ -226,12 +230,18 @@ def merging_edges(block: Block, hot: int | None = None) -> DataFrame:
     """
     hot = hot or HUB_SHARE
     found = near_copy_links(block, hot)
+    pairs = apart_pairs(block, None if found is None else cut(contract(found)), hot).select("src", "dst")
+    return pairs if found is None else pairs.union(found)
+
+
+def apart_pairs(block: Block, labels: DataFrame | None, hot: int | None = None) -> DataFrame:
+    """Verified pairs (src, dst, similarity) of rows that share a key but no component of ``labels`` (id, component)."""
+    hot = hot or HUB_SHARE
     sizes = bucket_sizes(block.postings) if block.sizes is None else block.sizes
     shared = block.postings.join(sizes, "key")
     before = F.col("l.id") < F.col("r.id")
-    if found is None:
-        return verified(block, candidate_pairs(block, shared, shared, before)).select("src", "dst")
-    labels = cut(contract(found))
+    if labels is None:
+        return verified(block, candidate_pairs(block, shared, shared, before))
     held = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("top"), F.sum("c").alias("rows")).first()
     largest = held["top"] or 0
     # few linked rows: send them to the postings instead of shuffling the postings by id
@@ -243,7 +253,7 @@ def merging_edges(block: Block, hot: int | None = None) -> DataFrame:
     else:
         rest, everything = without_largest(shared)
         pairs = candidate_pairs(block, rest, everything, apart & (before | (F.col("r.component") == F.col("r.big"))))
-    return verified(block, pairs).select("src", "dst").union(found)
+    return verified(block, pairs)
 
 
 def near_copy_links(block: Block, hot: int) -> DataFrame | None:
@@ -360,33 +370,55 @@ def overlap_needed(threshold: float, na: Column, nb: Column) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - EPS)
 
 
+class SetTable:
+    """Token sets of (id, payload) rows, summarised once for all thresholds from ``low`` up.
+
+    ``stars`` ties rows with equal sets to their representative; ``block`` gives the keys of the
+    representatives at a threshold.
+    """
+
+    def __init__(self, df: DataFrame, tokens: Callable[[Column], Column], low: float):
+        self.tokens, self.low = tokens, low
+        table = cut(summarise(df, tokens))
+        reps, self.stars = collapse(table, "digest")
+        kept = self._kept(low)
+        # near-copies meet under their lowest hashes, which a change rarely touches; pairs are sought under the rarest tokens
+        self.reps = cut(rarest_first(cut(reps), kept).withColumn("hashed", F.slice("hashed", 1, F.greatest(kept, F.lit(0)))))
+
+    @staticmethod
+    def _kept(threshold: float) -> Column:
+        return F.least(F.col("n"), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int") + 2)
+
+    def block(self, threshold: float, tally: list[tuple[int, int]] | None = None) -> Block:
+        if threshold < self.low:
+            raise ValueError(f"the sets were prepared for thresholds from {self.low} up")
+        words = ["w0", "w1", "w2", "w3"]
+        need = F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int")
+        first = lambda name: F.slice(name, F.lit(1), F.greatest(self._kept(threshold), F.lit(0)))
+        reps = self.reps.withColumns({"prefix": first("prefix"), "hashed": first("hashed")})
+        postings = reps.select("id", "n", *words,
+                               F.explode(F.slice("prefix", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)))).alias("key"))
+        sizes = bucket_sizes(postings)
+        cost = sizes.agg(F.sum(F.col("held") * (F.col("held") - 1) / 2).alias("pairs"), F.sum("held").alias("rows")).first()
+        if threshold >= 0.8 and (cost["pairs"] or 0) > PAIRS_PER_POSTING * max(1, cost["rows"] or 0):
+            # two shared prefix tokens are required instead of one: longer keys, smaller buckets
+            postings = reps.select("id", "n", *words, F.explode(token_pairs("prefix")).alias("key"))
+            sizes = None
+
+        def keep(a, b):
+            differing = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in words), F.lit(0))
+            long_enough = (a("n") >= threshold * b("n") - EPS) & (b("n") >= threshold * a("n") - EPS)
+            return long_enough & ((a("n") + b("n") - differing) / 2 >= overlap_needed(threshold, a("n"), b("n")))
+
+        merge = reps.select("id", "n", *words, F.explode(merge_keys("hashed")).alias("key"))
+        return Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, self.tokens, merge, tally)
+
+
 def set_similarity_edges(df: DataFrame, tokens: Callable[[Column], Column], threshold: float,
                          hot: int | None = None, tally: list[tuple[int, int]] | None = None) -> DataFrame:
     """Edges spanning the components of ``jaccard >= threshold`` over (id, payload) rows."""
-    table = cut(summarise(df, tokens))
-    reps, stars = collapse(table, "digest")
-    words = ["w0", "w1", "w2", "w3"]
-    need = F.ceil(F.lit(threshold) * F.col("n") - EPS).cast("int")
-    keep_tokens = F.least(F.col("n"), F.col("n") - need + 2)
-    # near-copies meet under their lowest hashes, which a change rarely touches; pairs are sought under the rarest tokens
-    reps = cut(rarest_first(cut(reps), keep_tokens).withColumn("hashed", F.slice("hashed", 1, F.greatest(keep_tokens, F.lit(0)))))
-    postings = reps.select("id", "n", *words,
-                           F.explode(F.slice("prefix", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)))).alias("key"))
-    sizes = bucket_sizes(postings)
-    cost = sizes.agg(F.sum(F.col("held") * (F.col("held") - 1) / 2).alias("pairs"), F.sum("held").alias("rows")).first()
-    if threshold >= 0.8 and (cost["pairs"] or 0) > PAIRS_PER_POSTING * max(1, cost["rows"] or 0):
-        # two shared prefix tokens are required instead of one: longer keys, smaller buckets
-        postings = reps.select("id", "n", *words, F.explode(token_pairs("prefix")).alias("key"))
-        sizes = None
-
-    def keep(a, b):
-        differing = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in words), F.lit(0))
-        long_enough = (a("n") >= threshold * b("n") - EPS) & (b("n") >= threshold * a("n") - EPS)
-        return long_enough & ((a("n") + b("n") - differing) / 2 >= overlap_needed(threshold, a("n"), b("n")))
-
-    merge = reps.select("id", "n", *words, F.explode(merge_keys("hashed")).alias("key"))
-    block = Block(postings, ["n", *words], keep, reps, jaccard, threshold, sizes, tokens, merge, tally)
-    return merging_edges(block, hot).select("src", "dst").union(stars)
+    table = SetTable(df, tokens, threshold)
+    return merging_edges(table.block(threshold, tally), hot).select("src", "dst").union(table.stars)
 
 
 def pair_diagnostics(df: DataFrame, tokens: Callable[[Column], Column], threshold: float) -> DataFrame:
@@ -616,94 +648,79 @@ def group_overlaps(df: DataFrame, split_col: str, group_cols: list[str]) -> Data
 
 # --- nearest training rows --------------------------------------------------------
 
-def nearest_training(candidates: DataFrame, train: DataFrame, k: int = 8, keep: int = 3, block: int = 2000,
-                     shard: int = 20_000) -> DataFrame:
+#: Rarest tokens of a candidate looked up by the first round; each round looks up ``DEEPER`` times as many.
+FIRST_DEPTH, DEEPER = 8, 4
+
+
+@dataclass
+class Search:
+    """Rounds of a nearest-row search: candidates still searching and pairs compared in each."""
+
+    rounds: list[tuple[int, int]]
+
+
+def top_overlaps(candidates: DataFrame, train: DataFrame, best: int, search: Search | None = None) -> DataFrame:
+    """(cand_id, train_id, similarity): the ``best`` rows of highest Jaccard per candidate, ties to the smaller training id.
+
+    Takes (cand_id, hashed) and (train_id, hashed), token sets as arrays of hashes. All tokens have one order, the
+    rarest first. A candidate looks up its rarest tokens in the inverted lists of the training rows; each new
+    pair is compared whole, and the ``best``-th similarity so far is a bound that rises from round to round. A
+    row not met yet shares none of the tokens looked up so far, so a pair meeting at places i and j of
+    its sets has at most 1 + min(n - i, m - j) tokens in common: lists and rows that cannot reach the bound are
+    left out, and a candidate ends when no unseen row can. Rows without a common token have similarity 0
+    and fill up the places that are left.
+    """
+    both = candidates.select(F.col("cand_id").alias("c"), F.lit(None).cast(train.schema["train_id"].dataType).alias("t"), "hashed").unionByName(
+        train.select(F.lit(None).cast(candidates.schema["cand_id"].dataType).alias("c"), F.col("train_id").alias("t"), "hashed"))
+    ordered_sets = cut(rarest_first(cut(both.where("hashed is not null")), F.size("hashed")).select("c", "t", F.col("prefix").alias("tokens")))
+    asked = ordered_sets.where("c is not null").select(F.col("c").alias("cand_id"), "tokens", F.size("tokens").alias("n"))
+    sets = ordered_sets.where("t is not null").select(F.col("t").alias("train_id"), F.col("tokens").alias("others"), F.size("tokens").alias("m"))
+    postings = sets.select("train_id", "m", F.posexplode("others").alias("j", "token"))
+    live, known, depth = asked.withColumn("bound", F.lit(0.0)), None, 0
+    first = Window.partitionBy("cand_id").orderBy(F.desc("similarity"), "train_id")
+    while True:
+        deeper = max(FIRST_DEPTH, depth * DEEPER)
+        probes = live.select("cand_id", "n", "bound", F.posexplode(F.slice("tokens", depth + 1, deeper - depth)).alias("i", "token"))
+        shared = 1 + F.least(F.col("n") - F.col("i") - depth - 1, F.col("m") - F.col("j") - 1)
+        met = probes.join(postings, "token").where(shared >= F.col("bound") * (F.col("n") + F.col("m") - shared) - EPS)
+        pairs = met.select("cand_id", "train_id").distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("cand_id", "train_id"), ["cand_id", "train_id"], "left_anti")
+        both = F.size(F.array_intersect("tokens", "others"))
+        scored = pairs.join(asked, "cand_id").join(sets, "train_id").select(
+            "cand_id", "train_id", (both / (F.col("n") + F.col("m") - both)).alias("similarity"))
+        scored = cut(scored)
+        if search is not None:
+            search.rounds.append((live.count(), scored.count()))
+        known = scored if known is None else known.unionByName(scored)
+        near = cut(known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= best))
+        bounds = near.where(F.col("r") == best).select("cand_id", F.col("similarity").alias("reached"))
+        depth = deeper
+        live = live.drop("bound").join(bounds, "cand_id", "left").withColumn("bound", F.coalesce("reached", F.lit(0.0))).drop("reached")
+        # an unseen row holds none of the first ``depth`` tokens: at most (n - depth) / n of the set can agree
+        live = cut(live.where((F.col("n") > depth) & ((F.col("n") - depth) / F.col("n") >= F.col("bound") - EPS)))
+        if live.isEmpty():
+            break
+    # the smallest training ids are enough to fill up: at most ``best`` of them are taken already
+    spare = sets.select("train_id").orderBy("train_id").limit(2 * best)
+    short = asked.select("cand_id").join(near.groupBy("cand_id").agg(F.count(F.lit(1)).alias("found")), "cand_id", "left").where(
+        F.coalesce("found", F.lit(0)) < best).select("cand_id")
+    fill = short.join(F.broadcast(spare)).join(near.select("cand_id", "train_id"), ["cand_id", "train_id"], "left_anti").withColumn("similarity", F.lit(0.0))
+    every = near.drop("r").unionByName(fill).withColumn("r", F.row_number().over(first))
+    return every.where(F.col("r") <= best).drop("r")
+
+
+def nearest_training(candidates: DataFrame, train: DataFrame, k: int = 8, keep: int = 3, search: Search | None = None) -> DataFrame:
     """The ``keep`` nearest training rows of each candidate.
 
     The 3*keep rows with the highest k-mer Jaccard (ties to the smaller training id),
     then ordered by similarity and edit distance. Candidates are (cand_id, cand_seq),
-    training rows (train_id, train_seq). Candidates are cut into blocks and training rows
-    into shards; a task sees one block and one shard and returns its best rows per candidate.
+    training rows (train_id, train_seq).
     """
-    blocks = max(1, math.ceil(candidates.count() / block))
-    shards = max(1, math.ceil(train.count() / shard))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    hashed = lambda name: F.transform(seq.kmers(name, k), lambda t: F.xxhash64(t))
-    left = candidates.select("cand_id", hashed("cand_seq").alias("t"), dealt("cand_id", blocks).alias("b"), every(shards).alias("s"))
-    right = train.select("train_id", hashed("train_seq").alias("t"), every(blocks).alias("b"), dealt("train_id", shards).alias("s"))
-    types = [t.schema[c].dataType.simpleString() for t, c in ((candidates, "cand_id"), (train, "train_id"))]
-    local = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(
-        lambda c, t: _best_overlaps(c, t, 3 * keep), f"cand_id {types[0]}, train_id {types[1]}, similarity double")
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("cand_id").orderBy(F.desc("similarity"), "train_id")
-    near = local.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 3 * keep)
-    near = near.join(candidates, "cand_id").join(train.select("train_id", "train_seq"), "train_id")
+    hashed = lambda name: F.transform(seq.kmers(name, k), lambda t: F.xxhash64(t)).alias("hashed")
+    near = top_overlaps(candidates.select("cand_id", hashed("cand_seq")), train.select("train_id", hashed("train_seq")), 3 * keep, search)
+    near = near.join(candidates.select("cand_id", "cand_seq"), "cand_id").join(train.select("train_id", "train_seq"), "train_id")
     near = near.withColumn("edit_distance", F.levenshtein("cand_seq", "train_seq"))
     last = Window.partitionBy("cand_id").orderBy(F.desc("similarity"), "edit_distance", "train_id")
     return near.withColumn("neighbor", F.row_number().over(last)).where(F.col("neighbor") <= keep).select(
         "cand_id", "neighbor", "train_id", "similarity", "edit_distance")
-
-
-def _best_overlaps(cands: pd.DataFrame, train: pd.DataFrame, best: int, chunk: int = 500) -> pd.DataFrame:
-    """The ``best`` training rows per candidate by Jaccard of their token sets, ties to the smaller id."""
-    columns = ["cand_id", "train_id", "similarity"]
-    if not len(cands) or not len(train):
-        return pd.DataFrame(columns=columns)
-    train = train.sort_values("train_id", ignore_index=True)
-    sizes = cands["t"].str.len().to_numpy("int64")
-    tokens = np.concatenate(cands["t"].to_list()).astype("int64")
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], np.repeat(np.arange(len(cands)), sizes)[order]
-    kept_sim, kept_row = [], []
-    for at in range(0, len(train), chunk):
-        part = train["t"].iloc[at:at + chunk]
-        own = part.str.len().to_numpy("int64")
-        flat = np.concatenate(part.to_list()).astype("int64")
-        low, high = np.searchsorted(tokens, flat, "left"), np.searchsorted(tokens, flat, "right")
-        hits = high - low
-        # every (training token, candidate posting) pair of the chunk, as flat cell numbers
-        posting = np.arange(hits.sum()) + np.repeat(low - np.cumsum(hits) + hits, hits)
-        cell = np.repeat(np.repeat(np.arange(len(part)), own), hits) * len(cands) + owner[posting]
-        both = np.bincount(cell, minlength=len(part) * len(cands)).reshape(len(part), len(cands))
-        union = own[:, None] + sizes[None, :] - both
-        sim = np.where(union > 0, both / np.maximum(union, 1), 1.0)
-        top = np.argsort(-sim, axis=0, kind="stable")[:best]
-        kept_sim.append(np.take_along_axis(sim, top, axis=0))
-        kept_row.append(top + at)
-    sim, row = np.concatenate(kept_sim), np.concatenate(kept_row)
-    top = np.argsort(-sim, axis=0, kind="stable")[:best]
-    sim, row = np.take_along_axis(sim, top, axis=0), np.take_along_axis(row, top, axis=0)
-    return pd.DataFrame({
-        "cand_id": np.repeat(cands["cand_id"].to_numpy(), sim.shape[0]), "train_id": train["train_id"].to_numpy()[row.T.ravel()],
-        "similarity": sim.T.ravel()})[columns]
-
-
-def nearest_cosine(df: DataFrame, id_col: str, vector_col: str, block: int = 1024) -> DataFrame:
-    """(id, neighbor, similarity): the most similar other row by cosine.
-
-    Rows are cut into blocks; a task multiplies two blocks and returns one best match
-    per row, so the pair matrix exists only block by block inside tasks.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    blocks = max(1, math.ceil(rows.count() / block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("id", "v", own.alias("a"), F.explode(every).alias("b"))
-    right = rows.select("id", "v", F.explode(every).alias("a"), own.alias("b"))
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "neighbor": [], "similarity": []})
-        unit = lambda f: (lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) < 1e-9, 1.0, n))(np.stack(f["v"].to_numpy()))
-        s = unit(x) @ unit(y).T
-        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
-        at = s.argmax(axis=1)
-        out = pd.DataFrame({"id": x["id"].to_numpy(), "neighbor": y["id"].to_numpy()[at], "similarity": s[np.arange(len(x)), at]})
-        return out[np.isfinite(out["similarity"])]
-
-    local = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, f"id {id_type}, neighbor {id_type}, similarity double")
-    top = F.max(F.struct("similarity", "neighbor"))
-    return local.groupBy("id").agg(top.alias("m")).select("id", "m.neighbor", "m.similarity")

@@ -71,6 +71,23 @@ def assign_clusters(clusters: DataFrame, rows: int, count: int, val_fraction: fl
     return placed.withColumn("split", F.when(test, "test").when(val, "val").otherwise("train"))
 
 
+def assign_grouped(clusters: DataFrame, keys: list[str], val_fraction: float, test_fraction: float, seed: int) -> DataFrame:
+    """``assign_clusters`` for every group of ``keys`` at once, by the same order and the same wants."""
+    totals = clusters.groupBy(*keys).agg(F.sum("size").alias("__n"), F.count(F.lit(1)).alias("__c"))
+    want = lambda share: F.when((F.col("__c") >= 3) & F.lit(share > 0), F.greatest(F.lit(1), F.bround(F.col("__n") * share))).otherwise(
+        F.bround(F.col("__n") * share))
+    keyed = clusters.withColumn("draw", F.sha2(F.concat_ws(":", F.lit(str(int(seed))), "fingerprint"), 256))
+    order = [F.col("size"), F.desc("draw"), F.col("component")]
+    placed = ordered.running_sum(keyed, "through", F.col("size"), order, group=keys)
+    placed = cut(placed.join(F.broadcast(totals), keys).withColumn("before", F.col("through") - F.col("size")))
+    last = F.col("through") == F.col("__n")
+    test = (want(test_fraction) > 0) & (F.col("before") < want(test_fraction)) & ~last
+    filled = placed.groupBy(*keys).agg(F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0)).alias("__filled"))
+    placed = placed.join(F.broadcast(filled), keys)
+    val = (want(val_fraction) > 0) & (F.col("before") - F.col("__filled") < want(val_fraction)) & ~last
+    return placed.withColumn("split", F.when(test, "test").when(val, "val").otherwise("train")).drop("__n", "__c", "__filled")
+
+
 def leakage_safe_split(df: DataFrame, id_col: str, sequence_col: str, group_cols: list[str] = [],
                        val_fraction: float = 0.15, test_fraction: float = 0.15, threshold: float = 0.9,
                        k: int = 8, policy: str = "canonical_kmer_jaccard", seed: int = 13,

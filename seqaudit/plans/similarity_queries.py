@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..operators import components as comp, similarity as sim, split as sp
+from ..operators import components as comp, metric, similarity as sim, split as sp
 from ..session import cut, read
 from .catalog import query
 from .views import RC, assay, benchmark_seqs, constructs, cte, neighbors, r6, with_ctes
@@ -229,7 +229,7 @@ COS = "list_sum(list_transform(list_zip(a.e,b.e), lambda p: p[1]*p[2]))/(a.n*b.n
 SELECT vec_id, {r6('max(s)')} AS similarity FROM (SELECT a.vec_id, {COS} AS s FROM e a JOIN e b ON a.vec_id<>b.vec_id) GROUP BY vec_id""")
 def nearest_cosine(spark, sf):
     df = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return sim.nearest_cosine(df, "vec_id", "x").select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+    return metric.nearest_cosine(df, "vec_id", "x").select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("SPL3_split_warnings", """SELECT 'DO NOT TRUST: fewer than 3 leakage-safe clusters are available; validation/test splits may be empty.' AS warning
@@ -274,6 +274,49 @@ def sensitivity(spark, sf):
     return similarity_sensitivity(df, "row_id", "sequence", "target", "prediction", ["doc_id"])
 
 
+def split_ctes(prefix: str, edges: str, needs: tuple[str, ...]) -> None:
+    """Size and digest of the test side when the rows of a document and of ``edges`` (a, b) stay together."""
+    p = prefix
+    cte(f"{p}_links", f"SELECT DISTINCT a//100000 AS a, b//100000 AS b FROM ({edges}) WHERE a//100000 <> b//100000", needs)
+    component_ctes(f"{p}_doc", f"{p}_links", "doc_vertices", "doc_id", (f"{p}_links", "doc_vertices"))
+    digest_ctes(f"{p}_dc", f"constructs c JOIN {p}_doc_comp d ON c.doc_id=d.row_id", "d.component", "sha256(sequence)||'|doc_id='||doc_id",
+                ("constructs", f"{p}_doc_comp"))
+    cte(f"{p}_fill", f"""SELECT k AS component, left(digest,16) AS cluster, size, sum(size) OVER (ORDER BY size, sha256('13:'||digest) DESC, k ROWS UNBOUNDED PRECEDING)-size AS ex,
+ row_number() OVER (ORDER BY size, sha256('13:'||digest) DESC, k) AS pos, count(*) OVER () AS c, sum(size) OVER () AS n FROM {p}_dc_digest""", (f"{p}_dc_digest",))
+    cte(f"{p}_side", f"""SELECT c.sequence, f.cluster FROM constructs c JOIN {p}_doc_comp d ON c.doc_id=d.row_id JOIN {p}_fill f ON f.component=d.component
+ WHERE ex < greatest(1, round_even(n*0.15,0)) AND pos < c""", (f"{p}_fill", "constructs"))
+    digest_ctes(f"{p}_ts", f"(SELECT 'test' AS s, sha256(sequence) AS h FROM {p}_side)", "s", "h", (f"{p}_side",))
+
+
+#: Settings of the sensitivity grid that SQL can state, by the prefix of their CTEs.
+GRID = {"g80": ("canonical_kmer_jaccard", 0.8), "g90": ("canonical_kmer_jaccard", 0.9), "g95": ("canonical_kmer_jaccard", 0.95),
+        "grc": ("exact_reverse_complement", 0.9), "gpm": ("position_aware_motif", 0.9), "gfl": ("customer_family_labels", 0.9)}
+jaccard_ctes("k80", KMERS, 0.8)
+jaccard_ctes("k95", KMERS, 0.95)
+for _p, _edges in {"g80": "k80_edges", "g90": "kj_edges", "g95": "k95_edges", "gpm": "pm_edges"}.items():
+    split_ctes(_p, f"SELECT a, b FROM {_edges}", (_edges,))
+split_ctes("grc", f"SELECT min(row_id) OVER (PARTITION BY least(sequence, {RC.format('sequence')})) AS a, row_id AS b FROM constructs", ("constructs",))
+split_ctes("gfl", "SELECT row_id AS a, row_id AS b FROM constructs", ("constructs",))
+
+
+@query("GATE9_split_digests", with_ctes(" UNION ALL ".join(
+    f"SELECT '{policy}' AS similarity_policy, {t}::double AS similarity_threshold, size AS test_rows, digest AS test_membership_sha256, (SELECT count(DISTINCT cluster) FROM {p}_side) AS test_clusters FROM {p}_ts_digest"
+    for p, (policy, t) in GRID.items()), *[f"{p}_ts_digest" for p in GRID], recursive=True))
+def split_digests(spark, sf):
+    """The test sides of the grid's settings: three thresholds out of one nested search, and three other policies."""
+    from .sensitivity import setting_splits
+
+    df = cut(assay(spark, sf).select("row_id", "sequence", "doc_id"))
+    settings = list(GRID.values())
+    split, _ = setting_splits(df, "row_id", "sequence", ["doc_id"], settings, K, 13)
+    hashed = df.select(F.col("row_id").alias("id"), seq.sequence_hash("sequence").alias("h"))
+    test = cut(split.where("split = 'test'").join(hashed, "id"))
+    names = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(settings)], "setting int, similarity_policy string, similarity_threshold double")
+    digests = sp.list_digest(test, "h", ["setting"], "test_membership_sha256", "test_rows")
+    clusters = test.groupBy("setting").agg(F.countDistinct("leakage_cluster").alias("test_clusters"))
+    return names.join(digests, "setting").join(clusters, "setting").drop("setting")
+
+
 @query("GATE1_prediction_audit", with_ctes(f"""SELECT count(*) AS test_rows, count(DISTINCT leakage_cluster) AS test_clusters, {r6('1-sum(power(prediction-target,2))/(var_pop(target)*count(*))')} AS model_metric,
  {r6('avg(abs(prediction-target))')} AS mean_abs_error, any_value(digest) AS test_membership_sha256, true AS judged
  FROM split_rows JOIN assay USING (row_id), ts_digest WHERE split='test'""", "split_rows", "assay", "ts_digest", recursive=True))

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .digests import file_digests
 
 
 def clean_name(name: str) -> str:
@@ -119,8 +120,14 @@ def write_report(df: DataFrame, path: str) -> None:
     report_json(df).write.mode("overwrite").text(path)
 
 
+#: Stores whose files the digest source can open; in others a file is one cell of ``binaryFile``, at most 2 GB.
+STREAMED = ("file", "hdfs", "s3", "gs", "gcs")
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and sha256 of every file below a folder; files are hashed in parallel where they are read."""
+    if "://" not in path or path.partition("://")[0] in STREAMED:
+        return file_digests(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 

@@ -58,10 +58,12 @@ def distinct_sequences(rows: DataFrame, hash_col: str, time_col: str, delay: str
     return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([hash_col])
 
 
-class FirstLabel(StatefulProcessor):
-    """Remembers the first label of a sequence and reports later copies until the watermark passes its expiry.
+class EarliestLabel(StatefulProcessor):
+    """Compares the copies of a sequence with the label of its earliest copy, in event time.
 
-    Within a chunk the smallest row id comes first; across chunks and batches, arrival decides.
+    Arriving copies wait in a list until the watermark passes their time; they are then taken in
+    the order (time, row id), whatever order or batch they came in. The first opens a span of
+    ``keep_ms``; later copies inside it are reported, the first one behind it opens the next.
     """
 
     def __init__(self, keep_ms: int):
@@ -69,38 +71,55 @@ class FirstLabel(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "target string")
+        self.first = handle.getValueState("first", "at long, target string")
+        self.waiting = handle.getListState("waiting", "at long, row_id long, target string")
 
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
-            pdf = pdf.sort_values("row_id", ignore_index=True)
-            if not self.first.exists():
-                self.first.update((pdf["target"].iloc[0],))
-                self.handle.registerTimer(int(pdf["seen_at"].iloc[0].timestamp() * 1000) + self.keep_ms)
-                pdf = pdf.iloc[1:]
-            if len(pdf):
-                known = self.first.get()[0]
-                same = pdf["target"].isna() if known is None else pdf["target"] == known
-                yield pdf.assign(sequence_hash=key[0], conflict=~same)[["sequence_hash", "row_id", "target", "conflict"]]
+            at = pdf["seen_at"].astype("datetime64[ms]").astype("int64").tolist()
+            target = [None if pd.isna(t) else t for t in pdf["target"]]
+            self.waiting.appendList(list(zip(at, pdf["row_id"].tolist(), target)))
+            for time in set(at):
+                self.handle.registerTimer(time)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.first.clear()
-        yield from ()
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
+        if due:
+            rest = [r for r in held if r[0] > passed]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        first = tuple(self.first.get()) if self.first.exists() else None
+        out = []
+        for at, row_id, target in due:
+            if first is None or at > first[0] + self.keep_ms:
+                first = (at, target)
+                self.first.update(first)
+                self.handle.registerTimer(at + self.keep_ms + 1)
+            else:
+                out.append((key[0], row_id, target, target != first[1]))
+        if first and passed > first[0] + self.keep_ms:
+            self.first.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["sequence_hash", "row_id", "target", "conflict"])
 
     def close(self) -> None:
         pass
 
 
 def label_conflicts(rows: DataFrame, time_col: str, delay: str, keep_ms: int) -> DataFrame:
-    """(sequence_hash, row_id, target, conflict) for every later copy of a sequence.
+    """(sequence_hash, row_id, target, conflict) for every later copy of a sequence, in event time.
 
-    A first label is kept until the watermark of ``time_col`` is ``keep_ms`` past its row.
+    A copy is judged once the watermark of ``time_col`` has passed it; rows that come later than
+    ``delay`` are dropped by the watermark, and apart from these the result does not depend on how
+    rows are cut into batches or ordered in them. The earliest label counts for ``keep_ms``.
     """
     if keep_ms <= 0:
         raise ValueError("the state needs an expiry")
     narrow = rows.select("sequence_hash", "row_id", F.col("target").cast("string").alias("target"), F.col(time_col).alias("seen_at"))
     return narrow.withWatermark("seen_at", delay).groupBy("sequence_hash").transformWithStateInPandas(
-        FirstLabel(keep_ms), "sequence_hash string, row_id long, target string, conflict boolean", "Append", "EventTime")
+        EarliestLabel(keep_ms), "sequence_hash string, row_id long, target string, conflict boolean", "Append", "EventTime")
 
 
 def error_monitor(rows: DataFrame, time_col: str, slice_col: str, error: Column, width: str, delay: str) -> DataFrame:

@@ -184,7 +184,7 @@ def test_nearest_training_matches_brute_force(spark):
     train = make(60)
     cand = make(3) + [train[4], train[7][:29] + "A"]
     near = sim.nearest_training(spark.createDataFrame(list(enumerate(cand)), "cand_id long, cand_seq string"),
-                                spark.createDataFrame(list(enumerate(train)), "train_id long, train_seq string"), block=2)
+                                spark.createDataFrame(list(enumerate(train)), "train_id long, train_seq string"))
     got = {(r["cand_id"], r["neighbor"]): r["train_id"] for r in near.collect()}
     toks = lambda s: candidates._tokens(s, 8, False)
     for i, c in enumerate(cand):
