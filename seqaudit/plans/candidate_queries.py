@@ -179,7 +179,12 @@ def plate3(spark, sf):
     return plates.select_batch(assay(spark, sf), "source", "row_id", "prediction", 60, "lang", 20).select("pool", "id", "pick")
 
 
-@query("PLATE3_budget_selection")
+# one row of a pool a step: taken if its family and the plate have room and its cost is left
+@query("PLATE3_budget_selection", with_ctes(""", f AS (SELECT source AS pool, row_id AS id, lang, 1+length(sequence)/100.0::double AS cost, row_number() OVER (PARTITION BY source ORDER BY prediction DESC, row_id) AS i FROM assay),
+ w AS (SELECT source AS pool, 0::bigint AS i, NULL::bigint AS id, 0::double AS cost, 0 AS pick, 0::double AS spent, []::varchar[] AS held, false AS took FROM assay GROUP BY source
+  UNION ALL SELECT pool, i, id, cost, pick+fits::int, spent + CASE WHEN fits THEN cost ELSE 0 END, CASE WHEN fits THEN list_append(held, lang) ELSE held END, fits
+  FROM (SELECT f.pool, f.i, f.id, f.cost, f.lang, w.pick, w.spent, w.held, w.spent+f.cost<=80 AND len(list_filter(w.held, lambda x: x=f.lang))<20 AS fits FROM w JOIN f ON f.pool=w.pool AND f.i=w.i+1 WHERE w.pick<60))
+SELECT pool, id, pick, round(cost,6) AS cost FROM w WHERE took""", "assay", recursive=True))
 def plate3b(spark, sf):
     df = assay(spark, sf).withColumn("cost", 1 + F.length("sequence") / 100)
     return plates.select_batch(df, "source", "row_id", "prediction", 60, "lang", 20, "cost", 80.0).select("pool", "id", "pick", F.round("cost", 6).alias("cost"))

@@ -92,11 +92,11 @@ def test_greedy_diverse_equals_plain_loop(spark, kind):
     assert [r["id"] for r in rounds if r["pool"] == 0] == greedy([r for r in rows if r[0] % 2 == 0], 0.2, 3, kind)
 
 
-def test_budget_walk_in_chunks_equals_plain_loop(spark):
+def test_budget_walk_equals_plain_loop(spark):
     rnd = random.Random(8)
     rows = [(i % 3, i, rnd.random(), rnd.choice("ABC"), float(rnd.randint(1, 9))) for i in range(150)]
     df = spark.createDataFrame(rows, "pool long, id long, score double, fam string, cost double")
-    got = plates.select_batch(df, "pool", "id", "score", 12, "fam", 4, "cost", 30.0, chunk=7).collect()
+    got = plates.select_batch(df, "pool", "id", "score", 12, "fam", 4, "cost", 30.0).collect()
     for p in range(3):
         spent, fam, want = 0.0, {}, []
         for _, i, s, f, cost in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[2], r[1])):
