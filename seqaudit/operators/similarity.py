@@ -8,10 +8,12 @@ pairs whose rows are still in different components are compared afterwards.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -84,15 +86,35 @@ def policy_name(name: str) -> str:
     return PolicyBook.tidy(name)
 
 
-def register_similarity_policy(name: str, fn: Similarity, replace: bool = False) -> str:
-    """Register a vectorised similarity over two aligned series of normalised sequences."""
-    return _PLUGINS.add(name, fn, replace)
+@dataclass(frozen=True)
+class Declared:
+    """What a registered policy says about the pairs it can join."""
+
+    keys: Callable[[Column, float], Column] | None = None  # (sequence, threshold) -> array of keys
+    metric: bool = False  # 1 - similarity obeys the triangle inequality
+
+
+_DECLARED: dict[str, Declared] = {}
+
+
+def register_similarity_policy(name: str, fn: Similarity, replace: bool = False, keys: Callable[[Column, float], Column] | None = None,
+                               metric: bool = False) -> str:
+    """Register a vectorised similarity over two aligned series of normalised sequences.
+
+    ``keys`` gives the keys of a sequence at a threshold: sequences that similar must share one. ``metric``
+    says that 1 - similarity is a distance. Either lets a table of any size be searched; without
+    them the function is opaque and all pairs are scored.
+    """
+    tidy = _PLUGINS.add(name, fn, replace)
+    _DECLARED[tidy] = Declared(keys, metric)
+    return tidy
 
 
 def unregister_similarity_policy(name: str) -> bool:
     """Forget a registered similarity; False if there was none. Built-in ones stay."""
     if (tidy := policy_name(name)) in POLICY_ALIASES:
         raise ValueError(f"{tidy!r} is built in")
+    _DECLARED.pop(tidy, None)
     return bool(_PLUGINS.pop(tidy, None))
 
 
@@ -533,12 +555,53 @@ def reverse_complement_edges(df: DataFrame) -> DataFrame:
     return collapse(keyed, "key")[1]
 
 
+#: Pivots whose distances bound those of a declared metric; the first two also give the keys.
+METRIC_PIVOTS = 8
+
+
+def declared_edges(df: DataFrame, policy: str, threshold: float, hot: int | None = None,
+                   tally: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Edges of a registered policy that declares its keys or that it is a metric.
+
+    Of a metric, rows within r = 1 - threshold differ by at most r in their distance to any pivot: cells of that width, each
+    row in its own and the next, are the keys, and the distances to all pivots prune the pairs.
+    """
+    reps, stars = collapse(df, "payload")
+    told, carried = _DECLARED[policy], []
+    if told.keys is not None:
+        reps = cut(reps)
+        found = F.transform(F.array_distinct(told.keys(F.col("payload"), threshold)), lambda k: F.xxhash64(k))
+
+        def keep(a, b):
+            return F.lit(True)
+    else:
+        pivots = [r["payload"] for r in reps.orderBy(F.xxhash64("payload"), "payload").limit(METRIC_PIVOTS).collect()]
+        score = checked_plugin(policy)
+        carried = [f"d{k}" for k in range(len(pivots))]
+        reps = cut(reps.withColumns({f"d{k}": 1 - score(F.col("payload"), F.lit(p)) for k, p in enumerate(pivots)}))
+        radius = 1 - threshold + EPS
+        cell = lambda k: F.floor(F.col(f"d{k}") / F.lit(max(radius, 1e-6)))
+        near = [[cell(k), cell(k) + 1] for k in range(min(2, len(pivots)))]
+        combined = [F.xxhash64(*c) for c in itertools.product(*near)] if pivots else [F.lit(0).cast("bigint")]
+        found = F.array(*combined)
+
+        def keep(a, b):
+            return reduce(lambda x, y: x & y, [F.abs(a(c) - b(c)) <= radius + EPS for c in carried], F.lit(True))
+
+    postings = reps.select("id", *carried, F.explode(found).alias("key"))
+    block = Block(postings, carried, keep, reps.select("id", "payload"), checked_plugin(policy), threshold, merge=postings, tally=tally)
+    return merging_edges(block, hot).select("src", "dst").union(stars)
+
+
 def plugin_edges(df: DataFrame, policy: str, threshold: float, max_rows: int = 20_000, side: int = 256) -> DataFrame:
     """An opaque function offers nothing to block on: every pair of distinct sequences is scored.
 
     Blocks of rows are paired through an equi-join on the block pair. The job refuses
     tables over ``max_rows`` rather than dropping rows.
     """
+    told = _DECLARED.get(policy, Declared())
+    if told.keys is not None or told.metric:
+        return declared_edges(df, policy, threshold)
     reps, stars = collapse(df, "payload")
     rows = reps.count()
     if rows > max_rows:

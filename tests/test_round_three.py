@@ -281,3 +281,47 @@ def test_label_conflicts_do_not_depend_on_arrival(spark, tmp_path):
             assert {tuple(r) for r in got} == want and len(got) == len(want)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+# registered policies that declare their blocking
+
+def plain_components(rows, like):
+    up = {i: i for i, _ in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if a == b or like(a, b):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("kind", ["metric", "keys"])
+def test_declared_policies_are_searched_without_a_row_limit(spark, kind):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("ACGT") for _ in range(rng.randrange(8, 60)))) for k in range(300)] + [(300 + k, "ACGTACGT") for k in range(40)]
+    share = lambda s: s.str.count("[GC]") / s.str.len()
+    gc = lambda s: sum(c in "GC" for c in s) / len(s)
+    if kind == "metric":
+        fn, like, extra = lambda a, b: 1 - (share(a) - share(b)).abs(), lambda a, b: 1 - abs(gc(a) - gc(b)) >= 0.999 - 1e-9, {"metric": True}
+    else:
+        fn = lambda a, b: (a.str[:3] == b.str[:3]).astype(float) * (1 - (share(a) - share(b)).abs())
+        like = lambda a, b: a[:3] == b[:3] and 1 - abs(gc(a) - gc(b)) >= 0.999 - 1e-9
+        extra = {"keys": lambda s, t: F.array(F.substring(s, 1, 3))}
+    sim.register_similarity_policy("declared_likeness", fn, replace=True, **extra)
+    try:
+        df = spark.createDataFrame(rows, "id long, payload string")
+        tally = []
+        edges = sim.declared_edges(df, "declared_likeness", 0.999, tally=tally)
+        got = {r.id: r.component for r in connected_components(df.select("id"), edges).collect()}
+        assert got == plain_components(rows, like)
+        assert sum(a for a, _ in tally) < 0.2 * 300 * 299 / 2
+        same = sim.leakage_components(df, "id", "payload", policy="declared_likeness", threshold=0.999)
+        assert {r.id: r.component for r in same.collect()} == got
+    finally:
+        sim.unregister_similarity_policy("declared_likeness")
