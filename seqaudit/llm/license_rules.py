@@ -2,7 +2,8 @@
 
 A text is cut into sentences; each is normalised (a-z, digits and ``.+-`` only, single
 spaces) and looked up among the known licence sentences. A sentence that is unknown as a
-whole is looked up line by line, as headings and notices often lack a full stop. The
+whole is looked up line by line, as headings and notices often lack a full stop. A standard
+tag (``SPDX-License-Identifier: A OR B``) is made a line for each licence it names first. The
 identifiers found, in order, are matched against ordered rules: a rule that finds its
 identifiers next to each other claims them, so a later, more general rule cannot.
 
@@ -186,6 +187,25 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "reserved": ("all rights reserved", "copyright all rights reserved"),
 }
 
+#: Short identifiers of the standard licence tag, by the identifier above (fixed values: the SPDX list).
+SPDX: dict[str, tuple[str, ...]] = {
+    "isc": ("isc",), "0bsd": ("0bsd",), "unlicense": ("unlicense",), "epl2": ("epl-2.0",), "epl1": ("epl-1.0",), "gpl2": ("gpl-2.0-only",),
+    "gpl2-grant": ("gpl-2.0-or-later",), "gpl-grant": ("gpl-3.0-or-later",), "lgpl21": ("lgpl-2.1", "lgpl-2.1-only"),
+    "lgpl21-grant": ("lgpl-2.1-or-later",), "lgpl3": ("lgpl-3.0", "lgpl-3.0-only"), "lgpl3-grant": ("lgpl-3.0-or-later",),
+    "agpl": ("agpl-3.0-only",), "agpl3-grant": ("agpl-3.0-or-later",), "cc0": ("cc0-1.0",), "cc-by": ("cc-by-4.0",),
+    "cc-by-sa": ("cc-by-sa-4.0",), "cc-by-nc": ("cc-by-nc-4.0",), "cc-by-nd": ("cc-by-nd-4.0",),
+}
+TAG = "spdx-license-identifier "
+SENTENCES |= {key: tuple(dict.fromkeys((*SENTENCES[key], *(TAG + name for name in names)))) for key, names in SPDX.items()}
+#: What makes one line of each licence of a tag: (pattern, replacement with the groups as {1}), in this order. The tag begins a line,
+#: exceptions go, and each ``or`` and ``and`` begins another tag; up to five operands.
+TAG_STEPS: tuple[tuple[str, str], ...] = (
+    (r"spdx-license-identifier[\x20\x09]*:[\x20\x09]*", "\n" + TAG),
+    (r"(spdx-license-identifier [^\n]*?)[\x20\x09]+with[\x20\x09]+[a-z0-9.-]+", "{1}"),
+    *[(r"(spdx-license-identifier )[(\x20]*([a-z0-9.+-]+)[)\x20]+(?:or|and)[\x20]+", "{1}{2}\n" + TAG)] * 4,
+    (r"(spdx-license-identifier )[(\x20]+", "{1}"),
+)
+
 #: Every known sentence holds one of these.
 KEYWORDS = ("licen", "warrant", "permission", "redistribut", "domain", "reserved", "advertising")
 
@@ -276,7 +296,10 @@ def licences(docs: DataFrame, text: str = "text") -> DataFrame:
     for k in KEYWORDS:
         hinted = hinted | F.contains("__lower", F.lit(k))
     none = F.array().cast("array<string>")
-    df = docs.withColumn("__lower", lower)
+    lined = F.col("__lower")
+    for pattern, to in TAG_STEPS:
+        lined = F.regexp_replace(lined, pattern, to.replace("{1}", "$1").replace("{2}", "$2"))
+    df = docs.withColumn("__lower", lower).withColumn("__lower", F.when(F.contains("__lower", F.lit(TAG.strip())), lined).otherwise(F.col("__lower")))
     df = df.withColumn("__parts", F.when(hinted, F.split("__lower", r"[.;:!?]+[\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n")).otherwise(none))
 
     def look_up(part: Column) -> Column:

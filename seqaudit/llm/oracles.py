@@ -23,9 +23,13 @@ def _licence_sql() -> str:
     family = " ".join(
         f"when list_has_any(names, [{', '.join(sorted({_text(r.licence) for r in license_rules.RULES if r.family == f}))}]) then {_text(f)}"
         for f in license_rules.FAMILIES)
+    lower = f"translate(coalesce(text, ''), '{license_rules.UPPER}', '{license_rules.LOWER}')"
+    for pattern, to in license_rules.TAG_STEPS:
+        groups = to.replace("{1}", "\\1").replace("{2}", "\\2")
+        lower = f"regexp_replace({lower}, {_text(pattern)}, {_text(groups)}, 'g')"
     return f"""
 with k as materialized (select map {{{known}}} as m),
-d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{license_rules.UPPER}', '{license_rules.LOWER}') as t from documents),
+d as (select row_number() over () as r, doc_id, {lower} as t from documents),
 p as (select r, doc_id, regexp_split_to_array(t, '[.;:!?]+[\\x20\\x09-\\x0D]+|\\n[\\x20\\x09\\x0D]*\\n') as parts from d),
 q as (
     select r, doc_id, flatten(list_transform(parts, lambda x: case when map_contains(m, {clean('x')}) then [{clean('x')}]

@@ -60,3 +60,18 @@ TEXTS = {
 
 def test_standard_texts(found):
     assert dict(zip(TEXTS, found(TEXTS.values()))) == {name: [name] for name in TEXTS}
+
+
+def test_standard_tags(spark):
+    """The tag with a space after its colon, in comments, with choices, exceptions and text around it."""
+    tag = "SPDX-License-Identifier:"
+    want = {
+        f"{tag} MIT": ["MIT"], f"// {tag} Apache-2.0\nint x;": ["Apache-2.0"], f"/* {tag}MIT */": ["MIT"], f"# {tag}  GPL-2.0-only\n#": ["GPL-2.0"],
+        f"{tag} MIT OR Apache-2.0": ["MIT", "Apache-2.0"], f"{tag} (MIT AND BSD-3-Clause) OR GPL-3.0-only": ["MIT", "BSD-3-Clause", "GPL-3.0"],
+        f"{tag} GPL-2.0-or-later WITH Classpath-exception-2.0": ["GPL-2.0-or-later"], f"Some words. Copyright me {tag} ISC\nmore words": ["ISC"],
+        f"{tag} LGPL-2.1-or-later\n{tag} CC0-1.0": ["LGPL-2.1-or-later", "CC0-1.0"], f"{tag} Unheard-1.0": [], f"{tag}": [],
+        "spdx license identifier mit": [],
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(want)], "doc_id bigint, text string")
+    got = {r.text: r.licences for r in license_rules.licences(df).collect()}
+    assert {t: sorted(x) for t, x in got.items()} == {t: sorted(x) for t, x in want.items()}

@@ -49,6 +49,8 @@ def brute_licences(text):
     known = {s: k for k, all_ in license_rules.SENTENCES.items() for s in all_}
     ids = []
     low = (text or "").translate(str.maketrans(license_rules.UPPER, license_rules.LOWER))
+    for pattern, to in license_rules.TAG_STEPS:
+        low = re.sub(pattern, to.replace("{1}", r"\1").replace("{2}", r"\2"), low)
     for part in re.split(r"[.;:!?]+[\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n", low):
         whole = license_rules.normalised(part)
         ids += [known[s] for s in ([whole] if whole in known else map(license_rules.normalised, part.split("\n"))) if s in known]
