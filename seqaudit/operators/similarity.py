@@ -343,16 +343,21 @@ def summarise(df: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
 
 #: Entries of the frequency table that every task gets (16 bytes each).
 FREQUENT = 200_000
+#: Rows holding the most frequent token up to which frequencies are not worth an order.
+LIGHT = 64
 
 
-def rarest_first(reps: DataFrame, keep: Column, frequent: int = FREQUENT) -> DataFrame:
+def rarest_first(reps: DataFrame, keep: Column, frequent: int = FREQUENT, light: int = 0) -> DataFrame:
     """Add ``prefix``: the ``keep`` rarest of the token hashes, in one order for all rows.
 
     Tokens are ordered by (frequency, hash). Only the ``frequent`` most frequent shared
     tokens have a place in the table; all others count as unique, which changes the order
     but not its being common to all rows, so a prefix filter stays exact.
     """
-    counts = reps.select(F.explode("hashed").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    counts = cut(reps.select(F.explode("hashed").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
+    if (counts.agg(F.max("held")).first()[0] or 0) <= light:
+        # no list is long whatever the order: the hashes, which are sorted, do as well
+        return reps.withColumn("prefix", F.slice("hashed", F.lit(1), F.greatest(keep, F.lit(0))))
     top = counts.orderBy(F.desc("held"), "key").limit(frequent).toPandas().sort_values("key")
     table = reps.sparkSession.sparkContext.broadcast((top["key"].to_numpy("int64"), top["held"].to_numpy("int64")))
 
@@ -405,7 +410,7 @@ class SetTable:
         reps, self.stars = collapse(table, "digest")
         kept = self._kept(low)
         # near-copies meet under their lowest hashes, which a change rarely touches; pairs are sought under the rarest tokens
-        self.reps = cut(rarest_first(cut(reps), kept).withColumn("hashed", F.slice("hashed", 1, F.greatest(kept, F.lit(0)))))
+        self.reps = cut(rarest_first(cut(reps), kept, light=LIGHT).withColumn("hashed", F.slice("hashed", 1, F.greatest(kept, F.lit(0)))))
 
     @staticmethod
     def _kept(threshold: float) -> Column:
