@@ -36,3 +36,28 @@ def test_settled_tables_are_taken_at_their_own_size(spark):
     size = lambda df: float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
     assert size(kept) < 1e6 < size(grown)
+
+
+def test_metrics_derive_their_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from seqaudit.operators import ingest, metrics as m
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    made = spark.range(40).selectExpr("id", "cast((id * 7) % 11 as double) as t", "cast((id * 5) % 13 as double) as p", "id / 40.0D as u", "id % 2 as g")
+    rows = made.mapInPandas(counted, made.schema)
+    jobs = [lambda: m.pairwise_accuracy(rows, "t", "p"), lambda: m.uncertainty_audit(rows, "t", "p", "u", "id")[0],
+            lambda: m.uncertainty_audit(rows, "t", "p", "u", "id")[1], lambda: m.ranking_audit(rows, "t", "p", "id", 5),
+            lambda: m.spearman(rows, "t", "p"), lambda: ingest.target_summary(rows, "t", ["g"])]
+    for job in jobs:
+        before = read.value
+        assert job().collect()
+        assert read.value - before == 40
+    med = {r["g"]: r["median"] for r in ingest.target_summary(rows, "t", ["g"]).collect()}
+    assert med == {r["g"]: r["m"] for r in made.groupBy("g").agg(F.percentile("t", 0.5).alias("m")).collect()}
