@@ -61,3 +61,14 @@ def test_metrics_derive_their_rows_once(spark):
         assert read.value - before == 40
     med = {r["g"]: r["median"] for r in ingest.target_summary(rows, "t", ["g"]).collect()}
     assert med == {r["g"]: r["m"] for r in made.groupBy("g").agg(F.percentile("t", 0.5).alias("m")).collect()}
+
+
+def test_ensemble_is_fitted_on_the_rows_that_have_label_and_vector(spark):
+    from seqaudit.operators import models as ml
+
+    full = [(i, [float(i % 5), float(i % 3)], float(i % 7)) for i in range(40)]
+    holes = [(100, None, 1.0), (101, [1.0, 2.0], None), (102, None, None)]
+    fit = lambda rows: ml.fit_ensemble(spark.createDataFrame(rows, "id long, x array<double>, y double"), ["x"],
+                                       ml.array_features("x"), "y", "id", members=3, first_plain=True)
+    for a, b in zip(fit(full), fit(full + holes), strict=True):
+        assert abs(a - b).max() < 1e-9
