@@ -72,3 +72,23 @@ def test_ensemble_is_fitted_on_the_rows_that_have_label_and_vector(spark):
                                        ml.array_features("x"), "y", "id", members=3, first_plain=True)
     for a, b in zip(fit(full), fit(full + holes), strict=True):
         assert abs(a - b).max() < 1e-9
+
+
+def test_a_similarity_search_keeps_less_than_its_sets(spark):
+    import os
+
+    from seqaudit.functions import seq
+    from seqaudit.operators import similarity as sim
+    from seqaudit.session import ensure_checkpoint_dir
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(200))) for i in range(2000)]
+    rows += [(2000 + i, s) for i, s in rows[:5]]
+    ensure_checkpoint_dir(spark)
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+    before = size()
+    table = sim.SetTable(spark.createDataFrame(rows, "id long, payload string"), lambda c: seq.kmers(c, 8), 0.9)
+    assert size() - before < 1500 * len(rows)  # the 193 hashes of a row alone are 1,544 bytes
+    assert {tuple(r) for r in table.stars.collect()} == {(i, 2000 + i) for i in range(5)}
+    assert table.reps.count() == 2000
