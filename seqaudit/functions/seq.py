@@ -164,17 +164,14 @@ def hamming(a, b) -> Column:
 
 
 def differences(parent, child) -> Column:
-    """``position: A→C`` entries in order, then a note when the lengths differ."""
-    a, b = F.split(col(parent), ""), F.split(col(child), "")
-    shared = F.least(F.length(col(parent)), F.length(col(child)))
-    pairs = F.transform(
-        F.when(shared > 0, F.sequence(F.lit(1), shared)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("i"), F.element_at(a, i).alias("x"), F.element_at(b, i).alias("y")),
-    )
-    text = F.transform(
-        F.filter(pairs, lambda d: d["x"] != d["y"]),
-        lambda d: F.concat(d["i"].cast("string"), F.lit(": "), d["x"], F.lit("→"), d["y"]),
-    )
+    """``position: A→C`` entries in order, then a note when the lengths differ.
+
+    Both texts are split once and walked side by side; a split inside the lambda would be made for every position.
+    """
+    shared = F.coalesce(F.least(F.length(col(parent)), F.length(col(child))), F.lit(0))
+    symbols = lambda c: F.slice(F.coalesce(F.split(col(c), ""), F.array().cast("array<string>")), F.lit(1), shared)
+    changes = F.zip_with(symbols(parent), symbols(child), lambda x, y: F.when(x != y, F.concat(x, F.lit("→"), y)))
+    text = F.array_compact(F.transform(changes, lambda c, i: F.concat((i + 1).cast("string"), F.lit(": "), c)))
     note = F.concat(F.lit("Length: "), F.length(col(parent)).cast("string"), F.lit("→"),
                     F.length(col(child)).cast("string"), F.lit(" nt"))
     unequal = F.length(col(parent)) != F.length(col(child))
