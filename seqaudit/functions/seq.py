@@ -119,6 +119,29 @@ def kmer_code(c) -> Column:
     ).otherwise(F.lit(0).cast("bigint"))
 
 
+def kmer_codes(c, k: int) -> Column:
+    """``kmer_code`` of every window of k symbols, left to right; null for null, empty below k symbols."""
+
+    @F.pandas_udf("array<bigint>")
+    def codes(seqs: pd.Series) -> pd.Series:
+        weights = 4 ** np.arange(k - 1, -1, -1)
+        out = []
+        for text in seqs.to_numpy():
+            if text is None or len(text) < k:
+                out.append(None if text is None else np.zeros(0, np.int64))
+                continue
+            base = _BASE_CODE[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
+            n = len(base) - k + 1
+            total, known = np.ones(n, np.int64), np.ones(n, bool)
+            for at, weight in enumerate(weights.tolist()):
+                total += base[at:at + n] * weight
+                known &= base[at:at + n] >= 0
+            out.append(np.where(known, total, 0))
+        return pd.Series(out, dtype=object)
+
+    return codes(col(c))
+
+
 def kmer_frequencies(c, k: int) -> Column:
     """Dense frequency vector over ``vocabulary(k)``, normalised by the valid windows."""
     size = 4**k

@@ -144,8 +144,8 @@ SELECT row_id, count(*) AS windows, sum(CASE WHEN regexp_matches(w,'^[ACGT]+$')
 def q_codes(spark, sf):
     """Codes of all 6-mers of every sequence."""
     long_enough = _raw(spark, sf).where(F.length("s") >= 6)
-    codes = F.transform(F.sequence(F.lit(1), F.length("s") - 5), lambda i: seq.kmer_code(F.substr("s", i, F.lit(6))))
-    return long_enough.select("row_id", F.size(codes).cast("bigint").alias("windows"), F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    coded = long_enough.select("row_id", seq.kmer_codes("s", 6).alias("codes"))
+    return coded.select("row_id", F.size("codes").cast("bigint").alias("windows"), F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 @query("SEQ16_base_tokens", with_ctes(f"""

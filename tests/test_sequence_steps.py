@@ -28,3 +28,12 @@ def test_differences_of_long_texts(spark):
     start = time.time()
     assert {r.n for r in texts.select(F.size(seq.differences("a", "b")).alias("n")).collect()} == {10_000}
     assert time.time() - start < 30  # a split at every position would take many minutes
+
+
+def test_codes_of_all_windows(spark):
+    texts = [None, "", "ACG", "ACGT", "ACGTACGTTTGACA", "ACNGTAAC-", "acgt", "AC😀GTACG"]
+    for k in (1, 3, 6):
+        got = spark.createDataFrame([(t,) for t in texts], "s string").select(
+            "s", seq.kmer_codes("s", k).alias("c"), F.transform(F.when(F.length("s") >= k, F.sequence(F.lit(1), F.length("s") - k + 1)).otherwise(
+                F.array().cast("array<int>")), lambda i: seq.kmer_code(F.substr("s", i, F.lit(k)))).alias("w")).collect()
+        assert [r.c for r in got] == [None if r.s is None else r.w for r in got]
