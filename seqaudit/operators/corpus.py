@@ -248,18 +248,18 @@ def mask_spans(df: DataFrame, id_col: str, ids: str, share: float, span: int, se
     """Contiguous spans in seeded order until the wanted share of positions is covered.
 
     Positions are cut into span-long cells; the cells with the smallest digests are
-    masked, the last one only as far as the target needs.
+    masked, the last one only as far as the target needs. The order is laid out once as an
+    array over the positions and zipped with the ids; no lambda looks anything up.
     """
     n = F.size(ids)
     want = F.greatest(F.lit(1), F.round(n * share).cast("int"))
     cells = F.ceil(n / span).cast("int")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(cells - 1, F.lit(0))),
                                      lambda c: F.struct(digest(F.lit(seed), F.col(id_col), c).alias("d"), c.alias("c"))))
-    out = df.withColumns({"__order": order, "__want": want})
-    spot = lambda i: F.array_position(F.transform("__order", lambda o: o["c"]), F.floor(i / span).cast("int")) - 1
-    covered = lambda i: spot(i) * span + i % span < F.col("__want")
-    out = out.withColumn("masked_ids", F.transform(ids, lambda x, i: F.when(covered(i), mask_id).otherwise(x)))
-    return out.drop("__order", "__want")
+    before = F.array_sort(F.transform(order, lambda o, place: F.struct(o["c"].alias("c"), (place * span).alias("before"))))
+    turn = F.flatten(F.transform(before, lambda o: F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda r: o["before"] + r)))
+    covered = F.zip_with(F.slice(turn, F.lit(1), n), F.array_repeat(want, n), lambda t, w: t < w)
+    return df.withColumn("masked_ids", F.zip_with(ids, covered, lambda x, c: F.when(c, mask_id).otherwise(x)))
 
 
 # --- n-grams ----------------------------------------------------------------------

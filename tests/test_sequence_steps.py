@@ -1,11 +1,13 @@
 """Per-row sequence steps against plain forms; their cost must not grow with the square of the length."""
 
+import hashlib
 import random
 import time
 
 from pyspark.sql import functions as F
 
 from seqaudit.functions import seq
+from seqaudit.operators import corpus as cp
 
 EDGE = [None, "", "A", "ACGT", "ACGTN", "äöü", "a😀c", "AC GT"]
 
@@ -37,3 +39,21 @@ def test_codes_of_all_windows(spark):
             "s", seq.kmer_codes("s", k).alias("c"), F.transform(F.when(F.length("s") >= k, F.sequence(F.lit(1), F.length("s") - k + 1)).otherwise(
                 F.array().cast("array<int>")), lambda i: seq.kmer_code(F.substr("s", i, F.lit(k)))).alias("w")).collect()
         assert [r.c for r in got] == [None if r.s is None else r.w for r in got]
+
+
+def test_masked_spans_follow_the_digests(spark):
+    share, span, seed = 0.2, 5, 8
+    rows = [(k, [j % 4 for j in range(n)]) for k, n in enumerate((0, 1, 4, 5, 6, 23, 200, 4000))] + [(100, None)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>")
+    start = time.time()
+    got = {r.id: r.masked_ids for r in cp.mask_spans(df, "id", "ids", share, span, seed).collect()}
+    assert time.time() - start < 30  # 4,000 positions that each went through 800 cells would take minutes
+    for k, ids in rows:
+        if ids is None:
+            assert got[k] is None
+            continue
+        cells = sorted(range(max(1, -(-len(ids) // span))), key=lambda c: hashlib.md5(f"{seed}:{k}:{c}".encode()).hexdigest())
+        left, want = max(1, int(len(ids) * share + 0.5)), list(ids)
+        turn = {c: p * span for p, c in enumerate(cells)}
+        want = [4 if turn[i // span] + i % span < left else x for i, x in enumerate(ids)]
+        assert got[k] == want
