@@ -154,11 +154,14 @@ def position_composition(df: DataFrame, parent_col: str, sequence_col: str) -> D
 
 
 def mutation_profile(df: DataFrame, id_col: str, parent_col: str, sequence_col: str) -> tuple[DataFrame, DataFrame]:
-    """(mutations per design, mutation rate per fixed parent position)."""
+    """(mutations per design, mutation rate per fixed parent position).
+
+    Positions carry their two bases only; the whole parent beside each of them would be its length squared.
+    """
     same = df.where(F.length(parent_col) == F.length(sequence_col))
-    rows = same.select(id_col, F.split(parent_col, "").alias("p"), F.posexplode(F.split(sequence_col, "")).alias("pos", "base"))
-    rows = rows.select(id_col, "pos", F.col("p")[F.col("pos")].alias("was"), "base").where("was <> 'N'")
-    changed = F.col("was") != F.col("base")
+    pairs = F.zip_with(F.split(parent_col, ""), F.split(sequence_col, ""), lambda x, y: F.when(x != "N", x != y))
+    rows = same.select(id_col, F.posexplode(pairs).alias("pos", "changed")).where("changed is not null")
+    changed = F.col("changed")
     per = rows.groupBy(id_col).agg(F.count_if(changed).alias("mutations"))
     at = rows.groupBy((F.col("pos") + 1).alias("position")).agg(F.avg(changed.cast("double")).alias("rate"), F.count(F.lit(1)).alias("rows"))
     return per, at

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from seqaudit.functions import seq
-from seqaudit.operators import corpus as cp
+from seqaudit.operators import corpus as cp, generate as gen
 
 EDGE = [None, "", "A", "ACGT", "ACGTN", "äöü", "a😀c", "AC GT"]
 
@@ -57,3 +57,28 @@ def test_masked_spans_follow_the_digests(spark):
         turn = {c: p * span for p, c in enumerate(cells)}
         want = [4 if turn[i // span] + i % span < left else x for i, x in enumerate(ids)]
         assert got[k] == want
+
+
+def test_mutation_profile_against_a_plain_count(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    rows = [(k, word(n), word(n)) for k, n in enumerate(rng.randrange(12) for _ in range(80))] + [(90, "ACG", "AC"), (91, None, "A"), (92, "NN", "AC")]
+    per, at = gen.mutation_profile(spark.createDataFrame(rows, "id long, p string, s string"), "id", "p", "s")
+    sites, counts = {}, {}
+    for k, p, s in rows:
+        if p is None or len(p) != len(s):
+            continue
+        for i, (x, y) in enumerate(zip(list(p) or [""], list(s) or [""])):
+            if x != "N":
+                counts[k] = counts.get(k, 0) + (x != y)
+                sites.setdefault(i + 1, []).append(x != y)
+    assert {r.id: r.mutations for r in per.collect()} == counts
+    assert {r.position: (round(r.rate, 9), r["rows"]) for r in at.collect()} == {i: (round(sum(v) / len(v), 9), len(v)) for i, v in sites.items()}
+
+
+def test_mutation_profile_of_long_parents(spark):
+    texts = spark.range(4).select("id", F.repeat(F.lit("ACGT"), 10_000).alias("p"), F.repeat(F.lit("ACGA"), 10_000).alias("s"))
+    start = time.time()
+    _, at = gen.mutation_profile(texts, "id", "p", "s")
+    assert at.agg(F.sum("rows"), F.sum("rate")).first() == (160_000, 10_000.0)
+    assert time.time() - start < 30  # 40,000 copies of each parent would be over 100 GB
