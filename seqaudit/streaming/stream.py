@@ -64,6 +64,8 @@ class EarliestLabel(StatefulProcessor):
     Arriving copies wait in a list until the watermark passes their time; they are then taken in
     the order (time, row id), whatever order or batch they came in. The first opens a span of
     ``keep_ms``; later copies inside it are reported, the first one behind it opens the next.
+    Each access to the state is a call to the JVM: a span the watermark has passed already is neither
+    stored nor given a timer, and lists and values are read without asking first whether they are there.
     """
 
     def __init__(self, keep_ms: int):
@@ -85,22 +87,25 @@ class EarliestLabel(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = [tuple(r) for r in self.waiting.get()]
         due = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
         if due:
             rest = [r for r in held if r[0] > passed]
             self.waiting.put(rest) if rest else self.waiting.clear()
-        first = tuple(self.first.get()) if self.first.exists() else None
+        stored = self.first.get()
+        first = kept = tuple(stored) if stored is not None else None
         out = []
         for at, row_id, target in due:
             if first is None or at > first[0] + self.keep_ms:
                 first = (at, target)
-                self.first.update(first)
-                self.handle.registerTimer(at + self.keep_ms + 1)
             else:
                 out.append((key[0], row_id, target, target != first[1]))
         if first and passed > first[0] + self.keep_ms:
-            self.first.clear()
+            if kept:
+                self.first.clear()
+        elif first != kept:
+            self.first.update(first)
+            self.handle.registerTimer(first[0] + self.keep_ms + 1)
         if out:
             yield pd.DataFrame(out, columns=["sequence_hash", "row_id", "target", "conflict"])
 
