@@ -142,6 +142,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / F.greatest(union, F.lit(1)))
 
 
+def jaccard_once(a: Column, b: Column) -> Column:
+    """``jaccard`` of two derived token arrays: as lambda variables they are derived a single time, not at every mention."""
+    counted = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda t: F.struct(
+        F.size(F.array_intersect(t["a"], t["b"])).alias("both"), (F.size(t["a"]) + F.size(t["b"])).alias("all")))
+    share = lambda t: F.when(t["all"] == t["both"], F.lit(1.0)).otherwise(
+        t["both"] / F.greatest(t["all"] - t["both"], F.lit(1)))
+    return F.transform(counted, share)[0]
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b), F.lit(1))
     return 1 - F.levenshtein(a, b) / longest
@@ -171,9 +180,9 @@ def pair_similarity(a, b, policy: str | None = None, k: int = 8, left_groups: li
     if k <= 0:
         raise ValueError("k must be positive")
     if policy == "canonical_kmer_jaccard":
-        return jaccard(seq.kmers(a, k), seq.kmers(b, k))
+        return jaccard_once(seq.kmers(a, k), seq.kmers(b, k))
     if policy == "position_aware_motif":
-        return jaccard(seq.positional_kmers(a, k), seq.positional_kmers(b, k))
+        return jaccard_once(seq.positional_kmers(a, k), seq.positional_kmers(b, k))
     if policy == "exact_reverse_complement":
         same = F.least(a, seq.reverse_complement(a)) == F.least(b, seq.reverse_complement(b))
         return same.cast("double")

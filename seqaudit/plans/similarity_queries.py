@@ -137,7 +137,7 @@ JAC = "len(list_intersect({0},{1}))::double/(len({0})+len({1})-len(list_intersec
 
 @query("JOIN1_kmer_jaccard", with_ctes(f"SELECT row_id, {r6(JAC.format('a', 'b'))} AS similarity FROM (SELECT row_id, {PK.format('parent')} AS a, {PK.format('child')} AS b FROM neighbors)", "neighbors"))
 def kmer_jaccard(spark, sf):
-    return neighbors(spark, sf).select("row_id", F.round(sim.jaccard(seq.kmers("parent", K), seq.kmers("child", K)), 6).alias("similarity"))
+    return neighbors(spark, sf).select("row_id", F.round(sim.jaccard_once(seq.kmers("parent", K), seq.kmers("child", K)), 6).alias("similarity"))
 
 
 @query("JOIN8_pair_scores", with_ctes(f"""SELECT row_id, {r6(JAC.format('pa', 'pb'))} AS motif, {r6('1-levenshtein(parent,child)::double/greatest(length(parent),length(child))')} AS edit,
