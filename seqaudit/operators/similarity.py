@@ -187,7 +187,7 @@ def pair_similarity(a, b, policy: str | None = None, k: int = 8, left_groups: li
         same = F.least(a, seq.reverse_complement(a)) == F.least(b, seq.reverse_complement(b))
         return same.cast("double")
     if policy == "edit_distance":
-        return edit_similarity(a, b)
+        return 1 - seq.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
     if policy == "customer_family_labels":
         if not left_groups or len(left_groups) != len(right_groups):
             raise ValueError("customer_family_labels needs the same group columns on both sides")

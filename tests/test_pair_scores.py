@@ -19,3 +19,10 @@ def test_tokens_are_derived_once_and_scores_are_the_same(spark):
         assert [r.once for r in got] == [r.plain for r in got]
     plan = df.select(sim.pair_similarity("a", "b", "canonical_kmer_jaccard", 4).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?=([ACGT]{4}))") == 4  # two strands of two sequences
+
+
+def test_edit_scores_come_from_batches(spark):
+    rows = [("ACGT", "AGT"), ("", ""), ("", "A"), (None, "A"), ("é😀", "e😀x")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("e", sim.pair_similarity("a", "b", "edit_distance"))
+    assert [r.e for r in df.collect()] == [r.e for r in df.withColumn("e", sim.edit_similarity(F.col("a"), F.col("b"))).collect()]
+    assert "levenshtein(" not in df._jdf.queryExecution().optimizedPlan().toString()
