@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .bit_distance import pair_distances
@@ -123,22 +124,22 @@ def kmer_code(c) -> Column:
 def kmer_codes(c, k: int) -> Column:
     """``kmer_code`` of every window of k symbols, left to right; null for null, empty below k symbols."""
 
-    @F.pandas_udf("array<bigint>")
-    def codes(seqs: pd.Series) -> pd.Series:
-        weights = 4 ** np.arange(k - 1, -1, -1)
-        out = []
-        for text in seqs.to_numpy():
-            if text is None or len(text) < k:
-                out.append(None if text is None else np.zeros(0, np.int64))
-                continue
-            base = _BASE_CODE[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
-            n = len(base) - k + 1
-            total, known = np.ones(n, np.int64), np.ones(n, bool)
-            for at, weight in enumerate(weights.tolist()):
-                total += base[at:at + n] * weight
-                known &= base[at:at + n] >= 0
-            out.append(np.where(known, total, 0))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<bigint>")
+    def codes(seqs: pa.Array) -> pa.Array:
+        texts = [t or "" for t in seqs.to_pylist()]
+        # a line end behind each sequence makes every window across two of them unknown; those are left out
+        base = _BASE_CODE[np.frombuffer("".join([t + "\n" for t in texts]).encode("ascii", "replace"), dtype=np.uint8)]
+        n = max(0, len(base) - k + 1)
+        total, known = np.zeros(n, np.int64), np.ones(n, bool)
+        for at in range(k):
+            total = total * 4 + base[at:at + n]
+            known &= base[at:at + n] >= 0
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        held = np.maximum(lengths - k + 1, 0)
+        ends = np.cumsum(held)
+        inside = np.arange(held.sum()) + np.repeat(np.cumsum(lengths + 1) - lengths - 1 - ends + held, held)
+        values = pa.array(np.where(known, total + 1, 0)[inside])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values, mask=pa.array(seqs.is_null()))
 
     return codes(col(c))
 
