@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqaudit.llm import near_copies, pseudonyms, quality_table, spaced_seeds, swap_packing
+from seqaudit.llm import near_copies, pseudonyms, quality_table, sliced_simhash, spaced_seeds, swap_packing
 from seqaudit.llm.queries import DEMO_KEY
 from seqaudit.session import ensure_checkpoint_dir, read
 
@@ -22,8 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard 0.8 or more): the one with the smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies: the one with the smallest id.
+
+    Links are those of ``sliced_simhash`` (2 or fewer differing bits) and, for copies that 64 bits do not show, the
+    verified ones of ``near_copies`` (5-word Jaccard 0.8 or more); groups are reached over links of both kinds.
+    """
+    prints = sliced_simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
+    return near_copies.keep_one(docs, links=prints.select(F.col("component_id").alias("src"), F.col("id").alias("dst")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

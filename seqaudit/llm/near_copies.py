@@ -360,12 +360,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return signed.select("id", "v").join(final.select("v", "root"), "v").join(least, "root").select("id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", links: DataFrame | None = None) -> DataFrame:
     """One row of each group: the one with the smallest id. Rows without an id take no part and stay.
 
-    Rows that repeat the surviving id are one document; the first in column order stays.
+    Rows that repeat the surviving id are one document; the first in column order stays. ``links`` (src, dst) between
+    ids, found by another method, join groups as well.
     """
-    chosen = groups(docs, id_col, text).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    found = groups(docs, id_col, text)
+    if links is not None:
+        found = cut(found)
+        joined = contract(links.unionByName(found.select(F.col("component_id").alias("src"), F.col("id").alias("dst"))))
+        found = found.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component_id"))
+    chosen = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
     order = [F.col(f"`{c}`") for c in docs.columns if c != id_col and not dict(docs.dtypes)[c].startswith("map")]
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(*(order or [F.col(id_col)])))
     kept = docs.join(chosen, id_col, "left_semi").select("*", place.alias("__place")).where("__place = 1")
