@@ -27,9 +27,10 @@ Featurize = Callable[[pd.DataFrame], np.ndarray]
 
 def gc_length_matrix(sequence_col: str) -> Featurize:
     def build(pdf: pd.DataFrame) -> np.ndarray:
-        s = pdf[sequence_col]
-        n = s.str.len().to_numpy(dtype=float)
-        gc = s.str.count("[GC]").to_numpy(dtype=float)
+        # no ``.str``: that accessor and its column hold each other, so whole batches would pile up in the worker
+        texts = pdf[sequence_col].tolist()
+        numbers = lambda f: np.array([f(t) if isinstance(t, str) else np.nan for t in texts], float)
+        n, gc = numbers(len), numbers(lambda t: t.count("G") + t.count("C"))
         return np.column_stack([np.log1p(n), gc / np.maximum(n, 1)])
 
     return build

@@ -393,7 +393,7 @@ def rarest_first(reps: DataFrame, keep: Column, frequent: int = FREQUENT, light:
     @F.pandas_udf("array<bigint>")
     def order(hashed: pd.Series, wanted: pd.Series) -> pd.Series:
         keys, held = table.value
-        sizes = hashed.str.len().to_numpy("int64")
+        sizes = np.fromiter(map(len, hashed), "int64", len(hashed))
         flat = np.concatenate([np.asarray(h, "int64") for h in hashed]) if len(hashed) else np.zeros(0, "int64")
         at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
         often = np.where(keys[at] == flat, held[at], 1) if len(keys) else np.ones(len(flat), "int64")
