@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seqaudit.functions.token_sets import CodedSets
-from seqaudit.operators import similarity as sim
+from seqaudit.operators import metric, similarity as sim
 from seqaudit.operators.components import connected_components
 from seqaudit.session import cut, forget, settle
 
@@ -68,3 +70,25 @@ def test_diagnostics_of_coded_sets_add_up(spark):
     comps = connected_components(df.select("id"), edges).select("component").distinct().count()
     assert (got["rows"], got["possible_pairs"], got["components"]) == (len(seqs), len(seqs) * (len(seqs) - 1) // 2, comps)
     assert got["candidate_pairs"] + got["skipped_pairs"] == got["possible_pairs"] and got["verified_pairs"] <= got["candidate_pairs"]
+
+
+def test_visits_of_a_batch_are_planned_in_bounded_shares(monkeypatch):
+    """A worker holds ``CELLS`` numbers at once, whatever the pivots and the cells visited; the visits are the same."""
+    rng = np.random.default_rng(3)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 8)))
+    rows, pivots = unit(300), unit(40)
+    gaps = np.sqrt(np.maximum(0, 2 - 2 * rows @ pivots.T))
+    own, reach = gaps.argmin(axis=1), np.where(np.arange(40) == 7, -1.0, 0.9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(list(rows)), pa.array(own.astype(np.int32)), pa.array(np.full(300, 0.8))],
+                                       ["v", "x", "own", "best"])
+
+    def planned():
+        parts = list(metric._next_cells(batch, pivots, reach, 2, 18))
+        return parts, [(v, c) for p in parts for v, c in zip(p.column(0).to_pylist(), p.column(2).to_pylist())]
+
+    whole, want = planned()
+    monkeypatch.setattr(metric, "CELLS", 2000)
+    shares, got = planned()
+    assert len(whole) == 1 and got == want and len(want) > 1000
+    assert max(p.num_rows * 8 for p in shares) <= 2000
+    assert all(np.allclose(p.column(1)[i].as_py(), rows[p.column(0)[i].as_py()]) for p in shares[:5] for i in range(p.num_rows))
