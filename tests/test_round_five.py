@@ -10,6 +10,7 @@ from seqaudit.functions.token_sets import CodedSets
 from seqaudit.operators import metric, similarity as sim
 from seqaudit.operators.components import connected_components
 from seqaudit.session import cut, forget, settle
+from test_similarity import as_map, components, levenshtein
 
 
 def letters(rnd, n):
@@ -92,3 +93,20 @@ def test_visits_of_a_batch_are_planned_in_bounded_shares(monkeypatch):
     assert len(whole) == 1 and got == want and len(want) > 1000
     assert max(p.num_rows * 8 for p in shares) <= 2000
     assert all(np.allclose(p.column(1)[i].as_py(), rows[p.column(0)[i].as_py()]) for p in shares[:5] for i in range(p.num_rows))
+
+
+def test_pieces_in_turns_lose_no_link(spark, monkeypatch):
+    """Above ``TURN_POSTINGS`` the pieces are joined in turns, each of which holds a part of the postings."""
+    rnd, seqs = random.Random(21), []
+    for length in (40, 41, 60):
+        s = letters(rnd, length)
+        seqs += [s, *("".join(rnd.choice("ACGT") if i % 11 == k else c for i, c in enumerate(s)) for k in range(4)), s[:5] + s[6:]]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, payload string")
+    pairs = [(i, j) for i in range(len(seqs)) for j in range(i + 1, len(seqs))
+             if 1 - levenshtein(seqs[i], seqs[j]) / max(len(seqs[i]), len(seqs[j])) >= 0.9 - 1e-12]
+    join, turns = sim.piece_pairs, []
+    monkeypatch.setattr(sim, "piece_pairs", lambda own, *rest: turns.append(own.count()) or join(own, *rest))
+    monkeypatch.setattr(sim, "TURN_POSTINGS", 100)
+    got = as_map(connected_components(df.select("id"), sim.edit_distance_edges(df, 0.9)))
+    assert got == components(pairs, range(len(seqs)))
+    assert len(turns) > 1 and max(turns) < sum(turns)
